@@ -1,7 +1,8 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, components.
 
-Lines are normalised (ASCII letters in lower case, digits as 0, white space as
-one space); equal ones are one from then on. The SimHash of a line's words is
+Lines are normalised (ASCII letters in lower case, digits as 0, all other ASCII
+as one space); equal ones are one from then on. The SimHash of a line's distinct
+words (else a word or bar that comes again and again would make the print) is
 cut into BLOCKS blocks; lines whose prints differ in at most RADIUS bits agree
 in BLOCKS - RADIUS blocks and meet under these. They link if their edit
 similarity (1 - distance / length of the longer) is SIMILAR or more. Of each
@@ -35,15 +36,15 @@ RADIUS = 3
 BLOCKS = 5
 MIN_CHARS = 20
 SEED = 42
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
+_FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(128)) + bytes(range(128, 256))
 
 
 def normal(line: str) -> bytes:
     return b" ".join(line.encode().translate(_FOLD).split())
 
 
-def prints(lines: list[list[bytes]]) -> np.ndarray:
-    """The 64-bit SimHash of the words of each line, which has one at least."""
+def prints(lines: list[set[bytes]]) -> np.ndarray:
+    """The 64-bit SimHash of the distinct words of each line, which has one at least."""
     if not lines:
         return np.empty(0, np.int64)
     digest = xxhash.xxh64_intdigest
@@ -64,7 +65,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append(row)
                     numbers.append(no)
                     ids.append(xxhash.xxh3_64_intdigest(norm))
-                    words.append(norm.split(b" "))
+                    words.append(set(norm.split(b" ")))
                     size += len(words[-1])
             if size > 100_000:
                 made.append(prints(words))
@@ -126,7 +127,7 @@ def links_if(a: tuple[str, int], b: tuple[str, int]) -> bool:
 
 
 def _prepared(content: bytes) -> tuple[str, int]:
-    return content.decode(), int(prints([content.split(b" ")])[0]) & (1 << 64) - 1
+    return content.decode(), int(prints([set(content.split(b" "))])[0]) & (1 << 64) - 1
 
 
 def _keys() -> Column:

@@ -198,7 +198,7 @@ def test_lines(spark, docs, texts, none):
     found = {(r["doc_id"], r["no"]): (r["keep_doc"], r["keep_no"]) for r in lines.duplicates(docs, scratch).collect()}
 
     def linked(a, b):
-        pa, pb = (int(lines.prints([x.split(b" ")])[0]) & (1 << 64) - 1 for x in (a, b))
+        pa, pb = (int(lines.prints([set(x.split(b" "))])[0]) & (1 << 64) - 1 for x in (a, b))
         return lines.links_if((a.decode(), pa), (b.decode(), pb))
 
     assert found == brute_units(texts, lines.normal, lambda x: len(lines.normal(x)) >= lines.MIN_CHARS, linked)

@@ -10,6 +10,7 @@ from datetime import datetime, timedelta, timezone
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASCII = str.maketrans(_UPPER, _LOWER)
@@ -96,10 +97,10 @@ def json_scalar(c: Column, kind: str) -> Column:
         for code in (*range(0x0A, 0x10), *range(0x1A, 0x20)):
             lower = F.replace(lower, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
         text = F.when(c.rlike(r"[\x00-\x1f]"), lower).otherwise(plain)
-    return F.coalesce(text, F.lit("null"))
+    return F.when(c.isNotNull(), text).otherwise("null")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_ip(values: pd.Series) -> pd.Series:
     """Addresses in canonical form; null where it is none. For ingest, where text of any spelling comes in."""
     known: dict[str, str | None] = {}

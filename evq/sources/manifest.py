@@ -98,7 +98,9 @@ def _rows(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, Callabl
         df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").csv(path)
         return df.withColumn("_row", F.monotonically_increasing_id()), _in_columns(df.columns)
     if kind == "jsonl":
-        df = spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("__v"), F.monotonically_increasing_id().alias("_row"))
+        # filters and parsing can end up in one expression, so blank lines must not break the parser either
+        line = F.when(F.trim("value") != "", F.col("value"))
+        df = spark.read.text(path).where(line.isNotNull()).select(F.parse_json(line).alias("__v"), F.monotonically_increasing_id().alias("_row"))
         return df, lambda p: _in_variant("__v", p)
     whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     items = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.variant_get("v", "$", "array<variant>")).otherwise(F.raise_error(F.lit(f"{path}: a json source must be an array of objects")))

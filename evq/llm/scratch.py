@@ -56,8 +56,13 @@ class Scratch:
         _written.append((spark, self.path))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the stored table."""
+        """Write ``df`` once and return the stored table.
+
+        Shuffle files of what led to it are of no more use; Spark removes them
+        when the driver collects its garbage, which would else seldom happen.
+        """
         df.write.parquet(f"{self.path}/{name}")
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
@@ -65,12 +70,14 @@ class Scratch:
         _delete(self.spark, f"{self.path}/{name}")
 
 
-#: Rows up to which a stored table may be sent to every executor.
+#: Rows up to which a stored table may be sent to every executor. For tables that
+#: follow from a benchmark or the like; what grows with the corpus is joined by a
+#: shuffle, or as Spark's own limit on broadcasts allows.
 BROADCAST_ROWS = 200_000
 
 
 def small_side(stored: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``stored`` marked for broadcasting if it has at most ``limit`` rows; else as it is, for a shuffled join."""
+    """``stored`` (narrow rows) marked for broadcasting if it has at most ``limit`` rows; else as it is, for a shuffled join."""
     return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
 
 

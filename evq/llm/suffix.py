@@ -16,8 +16,9 @@ parts that fit a task:
    prefixes of their windows. In a run of equal names, sorted by place, the
    previous and the next place are the previous and next smaller values of the
    suffix array, and the longest previous factor of all but the first is LENGTH
-   or more. An anchor of over CLASSES classes is put in order by a shuffle on
-   the names instead, so no task gathers it.
+   or more. The windows of an anchor with over CLASSES classes are put in order
+   by a shuffle on their names instead, first in SALTS parts and then between
+   the parts' first windows, and read as a stream, so no task gathers it.
 
 ``keep="first"`` removes what has an earlier match and keeps the first copy;
 ``keep="none"`` removes every copy. Grams, classes and names are 64-bit hashes,
@@ -39,12 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm.scratch import Scratch, small_side, table
+from evq.llm.scratch import Scratch, table
 
 LENGTH = 400
 GRAM = 32
-#: Classes up to which an anchor is put in order by one task.
-CLASSES = 512
+#: Classes up to which an anchor is put in order by one task: under 7 MB of text and 3.1 million windows.
+CLASSES = 8192
+#: Parts of each name's windows there, so that a passage that a third of all documents share is no single task's work.
+SALTS = 16
 #: Bytes of text that are winnowed at a time, and bits that hold a place in them.
 PIECE, PLACE = 1 << 21, 24
 
@@ -245,11 +248,42 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(lead), pa.array(name.view(np.int64)), batch.column(4).take(take), batch.column(5).take(take), pa.array(at)], names=["gram", "lead", "name", "doc_id", "text_id", "at"])
 
 
+def _marked(width: int, keep_first: bool):
+    """Rows sorted by their first ``width`` columns and place, read as a stream: hit tells the repeated ones, lone the first of each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, goes_on = None, False  # the last row waits for the next one; whether it goes on from the one before
+        for batch in _and_end(batches):
+            whole = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
+            if whole is None or not len(whole):
+                continue
+            keys = [c.to_numpy(zero_copy_only=False) for c in whole.columns[:width]]
+            same = np.ones(len(whole) - 1, bool)
+            for k in keys:
+                same &= k[1:] == k[:-1]
+            after = np.concatenate([[goes_on], same])
+            ready = len(whole) if batch is None else len(whole) - 1
+            hit = after.copy()
+            if not keep_first:
+                hit[:-1] |= same
+            if batch is not None:
+                held, goes_on = whole.slice(ready), bool(after[-1])
+            out = whole.slice(0, ready)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(hit[:ready]), pa.array(~after[:ready])], names=[*whole.schema.names, "hit", "lone"])
+
+    return run
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _contexts(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     """gram, rank, lead, context, doc_id, text_id, first of the ranges ``first``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     wanted = first.groupBy(F.col("doc_id").alias("w_doc"), F.col("text_id").alias("w_text")).agg(F.collect_list(F.struct("gram", "first", "last", "anchor")).alias("ranges"))
-    wanted = small_side(scratch.save(wanted, "wanted"))
+    wanted = scratch.save(wanted, "wanted").hint("shuffle_hash")
     # equal rows are one text here
     rows = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_id") == F.col("w_text"))).select("doc_id", "text_id", "text", "ranges")
 
@@ -292,6 +326,7 @@ def repeats(docs: DataFrame, keep: str, scratch: Scratch) -> DataFrame:
     several = scratch.save(several, "several")
     first = classes.join(several, F.col("gram") == F.col("g")).select("gram", "classes", "least.*")
     first = scratch.save(first, "first")
+    scratch.drop("classes")
     contexts = _contexts(docs, first, scratch).join(several.where(F.col("classes") > CLASSES).select(F.col("g").alias("big")), F.col("gram") == F.col("big"), "left")
     # ranks follow (doc_id, text_id, first)
     rows = contexts.select("gram", "lead", "context", "doc_id", "text_id", "first", "big")
@@ -300,12 +335,15 @@ def repeats(docs: DataFrame, keep: str, scratch: Scratch) -> DataFrame:
     ordered = small.mapInArrow(_in_order(keep == "first"), f"doc_id {kind}, text_id bigint, first bigint, last bigint")
 
     large = rows.where("big IS NOT NULL").select("gram", F.lit(0).cast("bigint").alias("rank"), "lead", "context", "doc_id", "text_id", "first")
-    windows = scratch.save(large.mapInArrow(_named, f"gram bigint, lead bigint, name bigint, doc_id {kind}, text_id bigint, at bigint"), "windows")
-    shared = windows.groupBy("gram", "lead", "name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_id", "at")).alias("least")).where("n > 1")
-    shared = scratch.save(shared.select(F.col("gram").alias("g"), F.col("lead").alias("l"), F.col("name").alias("m"), "least"), "shared")
-    marked = windows.join(shared, (F.col("gram") == F.col("g")) & (F.col("lead") == F.col("l")) & (F.col("name") == F.col("m")))
-    if keep == "first":
-        marked = marked.where(~F.struct("doc_id", "text_id", "at").eqNullSafe(F.col("least")))
+    windows = large.mapInArrow(_named, f"gram bigint, lead bigint, name bigint, doc_id {kind}, text_id bigint, at bigint")
+    salt = F.pmod(F.xxhash64("doc_id", "text_id"), F.lit(SALTS)).cast("int").alias("salt")
+    key, place = ["gram", "lead", "name"], ["doc_id", "text_id", "at"]
+    schema = f"gram bigint, lead bigint, name bigint, salt int, doc_id {kind}, text_id bigint, at bigint, hit boolean, lone boolean"
+    parts = windows.select(*key, salt, *place).repartition(*key, "salt").sortWithinPartitions(*key, "salt", *place)
+    parts = scratch.save(parts.mapInArrow(_marked(4, keep == "first"), schema), "parts")
+    between = parts.where("lone").select(*key, F.lit(0).alias("salt"), *place).repartition(*key).sortWithinPartitions(*key, *place)
+    between = between.mapInArrow(_marked(3, keep == "first"), schema)
+    marked = parts.select(*place, "hit").unionByName(between.select(*place, "hit")).where("hit")
     marked = marked.select("doc_id", "text_id", F.col("at").alias("first"), F.col("at").alias("last"))
     return copies.unionByName(ordered).unionByName(marked)
 
@@ -315,7 +353,7 @@ def remove(docs: DataFrame, keep: str = "first") -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(docs.sparkSession, "suffix")
     gone = repeats(docs, keep, scratch).groupBy(F.col("doc_id").alias("g_doc"), F.col("text_id").alias("g_text"))
-    gone = small_side(scratch.save(gone.agg(F.collect_set(F.struct("first", "last")).alias("gone")), "gone"))
+    gone = scratch.save(gone.agg(F.collect_set(F.struct("first", "last")).alias("gone")), "gone").hint("shuffle_hash")
     rows = _texts(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("text_id") == F.col("g_text")), "left").select("doc_id", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

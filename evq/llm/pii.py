@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evq.llm import spans as sp
-from evq.llm.scratch import Scratch, small_side, table
+from evq.llm.scratch import Scratch, table
 
 REACH = 80
 SUPPORT = 3
@@ -109,12 +109,9 @@ def _revealing(docs: DataFrame, contexts: DataFrame, scratch: Scratch) -> DataFr
     joint = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     about = contexts.groupBy("entity").agg(F.count("*").alias("n_entity"))
     joint = scratch.save(joint.where(F.col("n_both") >= SUPPORT).join(about, "entity"), "joint")
-    terms = small_side(scratch.save(joint.select("term").distinct(), "terms"))
-    # an empty word, which no term is, stands in for the number of all words
     everything = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), SPLIT)).alias("term")).where(F.col("term") != "")
-    counted = everything.agg(F.count("*").alias("n"))
-    n = max(1, counted.first()["n"])
-    corpus = everything.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    corpus = scratch.save(everything.groupBy("term").agg(F.count("*").alias("n_term")), "corpus")
+    n = max(1, corpus.agg(F.sum("n_term")).first()[0] or 0)
     pairs = joint.join(corpus, "term")
     # a term can stand near an entity on more than one line; no share is over 1
     given = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
@@ -129,7 +126,7 @@ def detect(docs: DataFrame) -> DataFrame:
     lines = scratch.save(_lines(docs), "lines")
     entities = scratch.save(_entities(lines), "entities")
     contexts = _contexts(entities)
-    revealing = small_side(scratch.save(_revealing(docs, contexts, scratch), "revealing"))
+    revealing = scratch.save(_revealing(docs, contexts, scratch), "revealing")
     terms = contexts.join(revealing, ["entity", "term"], "left_semi")
     base = entities.select("doc_id", "blob", F.explode("base").alias("b")).select("doc_id", "blob", "b.start", "b.rank", "b.stop", "b.kind")
     added = terms.select("doc_id", "blob", "start", F.lit(len(BASE)).alias("rank"), "stop", F.lit("term").alias("kind"))

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evq.llm import decontaminate, lines, packing, quality, simhash
-from evq.llm.scratch import Scratch, small_side, table
+from evq.llm.scratch import Scratch, table
 
 
 def _except(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """``docs`` without the documents in ``gone`` (doc_id)."""
     scratch = Scratch(docs.sparkSession, name)
-    gone = small_side(scratch.save(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
+    gone = scratch.save(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone").hint("shuffle_hash")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 

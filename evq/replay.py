@@ -13,6 +13,7 @@ from evq.catalog import ENTITIES, Catalog
 from evq.engine import Compiled, Engine, Execution, compile_source
 from evq.governance import contract as ct
 from evq.operators import findings as fd
+from evq.operators.correlate import key_intersection
 from evq.operators.records import sealed
 from evq.sources.manifest import Dataset
 
@@ -29,11 +30,19 @@ class Run:
         self.body = self.envelope["contract"]
         self.execution: Execution = Engine(catalog).execute(self.body["plan"], self.body["window"])
 
+    def reduced(self, stream: dict) -> DataFrame:
+        """The stream's records that can be part of its correlation: those whose keys all of its inputs have."""
+        frames, plan = self.execution.streams, self.body["plan"]
+        group = next((g for g in plan["reduce_groups"] if g["id"] == stream["reduce_group"]), None)
+        if group is None:
+            return frames[stream["id"]].df
+        return key_intersection([frames[s].df for s in group["streams"]], group["keys"])[group["streams"].index(stream["id"])]
+
     def evidence(self, stream: dict) -> DataFrame:
         """The stream's sealed records: evidence_id, time, sha256, json."""
         frame = self.execution.streams[stream["id"]]
         names = [f for f in frame.schemas[""] if f not in ("host", "time")]
-        return sealed(frame.df, stream["entity"], names, self.body["execution_id"], ct.contract_hash(self.envelope))
+        return sealed(self.reduced(stream), stream["entity"], names, self.body["execution_id"], ct.contract_hash(self.envelope))
 
     def write(self, folder: str) -> dict:
         """contract.json, evidence/<stream>.jsonl, findings.json, provenance/<finding>.json and result.json below a local folder.

@@ -48,6 +48,28 @@ def _cuts() -> list[int]:
     return masks
 
 
+_ONES = np.uint64(0x0101010101010101)
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run of ``sizes`` hashes the bits that are set in over half of them.
+
+    Eight sums over words whose bytes each count one bit; as a byte holds 255,
+    longer runs are summed in parts.
+    """
+    parts = -(-sizes // 255)
+    run = np.repeat(np.cumsum(sizes) - sizes, parts)
+    first = np.cumsum(parts) - parts
+    starts = run + 255 * (np.arange(len(run)) - np.repeat(first, parts))
+    counts = np.empty((len(starts), 64), np.int32)
+    for k in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(k)) & _ONES, starts)
+        counts[:, k::8] = sums.view(np.uint8).reshape(-1, 8)
+    if len(starts) > len(sizes):
+        counts = np.add.reduceat(counts, first, axis=0)
+    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def fingerprint(text: str | None) -> int:
     """Unsigned; a bit is 1 if it is set in over half of the shingles' hashes."""
     words = (text or "").encode().lower().split()
@@ -58,11 +80,7 @@ def fingerprint(text: str | None) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
     hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i : i + (1 << 14)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majority(hashes, np.array([len(hashes)]))[0])
 
 
 def _signed(x: int) -> int:

@@ -1,8 +1,8 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, components.
 
 Lines are normalised (ASCII letters in lower case, digits as 0, all other ASCII
-as one space); equal ones are one from then on. The SimHash of a line's distinct
-words (else a word or bar that comes again and again would make the print) is
+as one space); equal ones are one from then on. The SimHash of a line's words of
+LONG bytes or more (short ones come again and again and would make the print) is
 cut into BLOCKS blocks; lines whose prints differ in at most RADIUS bits agree
 in BLOCKS - RADIUS blocks and meet under these. They link if their edit
 similarity (1 - distance / length of the longer) is SIMILAR or more. Of each
@@ -24,57 +24,95 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evq.llm import units
 from evq.llm.scratch import Scratch, table
+from evq.llm.simhash import majority
 
 SIMILAR = 0.8
 RADIUS = 3
 BLOCKS = 5
 MIN_CHARS = 20
-SEED = 42
-_FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(128)) + bytes(range(128, 256))
+#: Of ASCII only letters and digits stay, and line ends.
+_FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 48 if chr(b).isdigit() else 10 if b == 10 else 32 for b in range(128)) + bytes(range(128, 256))
+#: Shorter words are no features of a print, unless a line has no other.
+LONG = 4
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def normal(line: str) -> bytes:
     return b" ".join(line.encode().translate(_FOLD).split())
 
 
-def prints(lines: list[set[bytes]]) -> np.ndarray:
-    """The 64-bit SimHash of the distinct words of each line, which has one at least."""
-    if not lines:
-        return np.empty(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(w, SEED) for words in lines for w in words], dtype="<u8")
-    sizes = np.array([len(x) for x in lines])
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _B
+    x = (x ^ (x >> np.uint64(29))) * _C
+    return x ^ (x >> np.uint64(32))
+
+
+def _folded(values: np.ndarray, sizes: np.ndarray, by: np.uint64) -> np.ndarray:
+    """A hash of each run of ``sizes`` values: a polynomial in ``by``, mixed with the size."""
+    starts = np.cumsum(sizes) - sizes
+    powers = np.cumprod(np.full(int(sizes.max()), by, np.uint64))
+    place = np.arange(len(values)) - np.repeat(starts, sizes)
+    return _mixed(np.add.reduceat(values * powers[place], starts) ^ (sizes.astype(np.uint64) * _A))
+
+
+def scanned(data: bytes) -> tuple[np.ndarray, ...]:
+    """Of the lines of folded bytes that have words: number, hash, length when normal, and print."""
+    chars = np.frombuffer(data, np.uint8)
+    inside = chars > 32
+    edge = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+    sizes = ends - starts
+    words = _folded(chars[inside].astype(np.uint64) + np.uint64(1), sizes, _A)
+    before = np.searchsorted(starts, np.flatnonzero(chars == 10))  # words before each line end
+    line = np.repeat(np.arange(len(before) + 1), np.diff(np.concatenate([[0], before, [len(starts)]])))
+    first = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1])
+    counts = np.diff(np.concatenate([first, [len(line)]]))
+    use = sizes >= LONG
+    use |= np.repeat(np.add.reduceat(use, first, dtype=np.int64) == 0, counts)
+    weights = np.add.reduceat(use, first, dtype=np.int64)
+    prints = majority(words[use], weights).view(np.int64)
+    return line[first], _folded(words, counts, _C), np.add.reduceat(sizes, first) + counts - 1, prints
+
+
+def print_of(content: bytes) -> int:
+    """The print of one normal line, unsigned."""
+    return int(scanned(content)[3][0]) & (1 << 64) - 1
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, numbers, ids, words, made, size = [], [], [], [], [], 0
+        rows: list[int] = []
+        held: list[bytes] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            lines_of = np.array([x.count(b"\n") + 1 for x in held])
+            begin = np.cumsum(lines_of) - lines_of
+            line, ids, length, prints = scanned(b"\n".join(held))
+            keep = length >= MIN_CHARS
+            text = np.searchsorted(begin, line[keep], side="right") - 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids[keep].view(np.int64)), pa.array(prints[keep]), batch.column(0).take(pa.array(np.array(rows)[text])), pa.array((line[keep] - begin[text]).astype(np.int32))],
+                names=["id", "print", "doc_id", "no"],
+            )
+
         for row, text in enumerate(batch.column(1)):
-            for no, line in enumerate((text.as_py() or "").split("\n")):
-                norm = normal(line)
-                if len(norm) >= MIN_CHARS:
-                    rows.append(row)
-                    numbers.append(no)
-                    ids.append(xxhash.xxh3_64_intdigest(norm))
-                    words.append(set(norm.split(b" ")))
-                    size += len(words[-1])
-            if size > 100_000:
-                made.append(prints(words))
-                words, size = [], 0
-        made.append(prints(words))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.concatenate(made)), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32())],
-            names=["id", "print", "doc_id", "no"],
-        )
+            if text := text.as_py():
+                rows.append(row)
+                held.append(text.encode().translate(_FOLD))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    yield done()
+                    rows, held, size = [], [], 0
+        if held:
+            yield done()
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -121,22 +159,34 @@ def similar(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= (1 - SIMILAR) * longer + 1e-9 and distance(a, b) <= (1 - SIMILAR) * longer + 1e-9
 
 
-def links_if(a: tuple[str, int], b: tuple[str, int]) -> bool:
+def linked(a: tuple[str, int], b: tuple[str, int]) -> bool:
     """Whether two lines with their prints link."""
     return (a[1] ^ b[1]).bit_count() <= RADIUS and similar(a[0], b[0])
 
 
-def _prepared(content: bytes) -> tuple[str, int]:
-    return content.decode(), int(prints([set(content.split(b" "))])[0]) & (1 << 64) - 1
+def _masks() -> list[int]:
+    """For each choice of BLOCKS - RADIUS blocks, their bits."""
+    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
+    return [sum(chosen) for chosen in combinations([(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])], BLOCKS - RADIUS)]
+
+
+_MASKS = _masks()
+
+
+def _first_linked(a: tuple[str, int, int], b: tuple[str, int, int]) -> bool:
+    """As ``linked``, but each pair is only looked at under the first of the keys that it shares."""
+    diff = a[1] ^ b[1]
+    return diff.bit_count() <= RADIUS and next(i for i, m in enumerate(_MASKS) if not diff & m) == a[2] and similar(a[0], b[0])
+
+
+def _prepared(content: bytes, band: int, found: int) -> tuple[str, int, int]:
+    return content.decode(), found & (1 << 64) - 1, band
 
 
 def _keys() -> Column:
-    """The print with all but BLOCKS - RADIUS blocks set to 0, for each choice of blocks."""
-    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    """The print with all bits but those of a mask set to 0, for each mask."""
     keys = []
-    for i, chosen in enumerate(combinations(masks, BLOCKS - RADIUS)):
-        m = sum(chosen)
+    for i, m in enumerate(_MASKS):
         keys.append(F.struct(F.lit(i).alias("band"), F.col("print").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")))
     return F.explode(F.array(*keys))
 
@@ -150,16 +200,16 @@ def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.save(members, "members")
     first = members.select("id").distinct().join(distinct, "id").select("id", "first.doc_id", "first.no")
     texts = units.contents(docs, first, normal, scratch)
-    edges = units.verified(members, texts, _prepared, links_if, scratch)
+    edges = units.verified(members, texts, _prepared, _first_linked, scratch)
     return units.repeated(found, units.keepers(distinct, edges, scratch))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, its text without near-duplicate lines, and removed_units (how many)."""
+    """All columns of ``docs``, its text without near-duplicate lines, and units.REMOVED (how many)."""
     scratch = Scratch(docs.sparkSession, "lines")
     return units.without(docs, duplicates(docs, scratch), scratch)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.col("removed_units").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return rows.select("doc_id", F.col(units.REMOVED).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

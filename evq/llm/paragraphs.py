@@ -91,7 +91,7 @@ def _content(part: str) -> bytes:
     return np.unique(np.array(shingles(part.encode().lower().split()), np.uint64)).tobytes()
 
 
-def _prepared(content: bytes) -> np.ndarray:
+def _prepared(content: bytes, band: int, found: int) -> np.ndarray:
     return np.frombuffer(content, np.uint64)
 
 
@@ -118,7 +118,7 @@ def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, its text without near-duplicate paragraphs, and removed_units (how many)."""
+    """All columns of ``docs``, its text without near-duplicate paragraphs, and units.REMOVED (how many)."""
     scratch = Scratch(docs.sparkSession, "paragraphs")
     return units.without(docs, duplicates(docs, scratch), scratch)
 

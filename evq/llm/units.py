@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evq.llm.components import components
-from evq.llm.scratch import Scratch, small_side
+from evq.llm.scratch import Scratch
 
 #: Members of a chunk.
 CELL = 1024
+#: The column that tells how many units a document has lost; no table has one of that name.
+REMOVED = "__removed"
 
 
 def meeting(rows: DataFrame, near: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """band, key, id of the rows (band, key, id, print) that meet another under their key; ``near`` tells which prints of a key have a partner."""
+    """band, key, id, print of the rows that meet another under their key; ``near`` tells which prints of a key have a partner."""
     rows = rows.select("band", "key", "id", "print").repartition("band", "key").sortWithinPartitions("band", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,9 +52,9 @@ def meeting(rows: DataFrame, near: Callable[[np.ndarray], np.ndarray] | None = N
                 for i in np.flatnonzero(sizes > 1):
                     keep[bounds[i] : bounds[i + 1]] = near(prints[bounds[i] : bounds[i + 1]])
             take = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (band, key, ids)], names=["band", "key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (band, key, ids, prints)], names=["band", "key", "id", "print"])
 
-    return rows.mapInArrow(run, "band int, key bigint, id bigint")
+    return rows.mapInArrow(run, "band int, key bigint, id bigint, print bigint")
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -61,13 +63,13 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 
 def _cells(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """``members`` (band, key, id) with a cell; the members of a large key stand in a cell for each other chunk."""
+    """``members`` (band, key, id, print) with a cell; the members of a large key stand in a cell for each other chunk."""
     large = members.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     large = scratch.save(large.select("band", "key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), "large-keys")
-    rows = members.join(small_side(large), ["band", "key"], "left")
+    rows = members.join(large, ["band", "key"], "left")
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     others = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != chunk), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk))
-    return rows.select("band", "key", "id", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("cell"))
+    return rows.select("band", "key", "id", "print", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("cell"))
 
 
 def forest(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool]) -> Iterator[tuple[int, int]]:
@@ -85,26 +87,27 @@ def forest(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bo
         groups = [*apart, joined]
 
 
-def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes], Any], similar: Callable[[Any, Any], bool], scratch: Scratch) -> DataFrame:
-    """src, dst: verified links among the ``members`` (band, key, id) of each key; ``contents`` has id and content (binary)."""
-    rows = _cells(members, scratch).join(contents, "id").select("band", "key", "cell", "id", "content")
+def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes, int, int], Any], similar: Callable[[Any, Any], bool], scratch: Scratch) -> DataFrame:
+    """src, dst: verified links among the ``members`` (band, key, id, print) of each key; ``contents`` has id and content (binary), and ``prepare`` makes of content, band and print what ``similar`` compares."""
+    rows = _cells(members, scratch).join(contents, "id").select("band", "key", "cell", "id", "print", "content")
     rows = rows.repartition("band", "key", "cell").sortWithinPartitions("band", "key", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, held = None, [], []
+        at, ids, prints, held = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            edges = list(forest(ids, [prepare(x) for x in held], similar))
+            edges = list(forest(ids, [prepare(x, at[0], p) for x, p in zip(held, prints)], similar))
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
         for batch in batches:
             keys = list(zip(*(c.to_pylist() for c in batch.columns[:3])))
-            for key, unit, content in zip(keys, batch.column(3).to_pylist(), batch.column(4)):
+            for key, unit, found, content in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
                 if key != at:
                     if len(ids) > 1:
                         yield done()
-                    at, ids, held = key, [], []
+                    at, ids, prints, held = key, [], [], []
                 ids.append(unit)
+                prints.append(found)
                 held.append(content.as_py())
         if len(ids) > 1:
             yield done()
@@ -115,7 +118,7 @@ def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes],
 def contents(docs: DataFrame, first: DataFrame, content: Callable[[str], bytes], scratch: Scratch) -> DataFrame:
     """id, content of the units that stand first at ``first`` (id, doc_id, no)."""
     wanted = first.groupBy(F.col("doc_id").alias("w_doc")).agg(F.collect_list(F.struct("no", "id")).alias("units"))
-    wanted = small_side(scratch.save(wanted, "wanted"))
+    wanted = scratch.save(wanted, "wanted").hint("shuffle_hash")
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc"))).select("text", "units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +155,11 @@ def repeated(occurrences: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, removed: DataFrame, scratch: Scratch) -> DataFrame:
-    """All columns of ``docs``, its text without the ``removed`` units (doc_id, no), and ``removed_units``; a text that loses all its words is null."""
+    """All columns of ``docs``, its text without the ``removed`` units (doc_id, no), and ``REMOVED`` (how many of its own); a text that loses all its words is null."""
     gone = removed.groupBy(F.col("doc_id").alias("__gone_doc")).agg(F.collect_set("no").alias("__gone"))
-    gone = small_side(scratch.save(gone, "gone"))
+    gone = scratch.save(gone, "gone").hint("shuffle_hash")
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_doc"]), "left").select(*(docs[c] for c in docs.columns), "__gone")
-    at, names = docs.columns.index("text"), [*docs.columns, "removed_units"]
+    at, names = docs.columns.index("text"), [*docs.columns, REMOVED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,4 +175,4 @@ def without(docs: DataFrame, removed: DataFrame, scratch: Scratch) -> DataFrame:
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=names)
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("removed_units", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(REMOVED, T.LongType())]))

@@ -193,20 +193,36 @@ def test_distance():
         assert lines.distance(a, b) == plain_distance(a, b)
 
 
+def test_prints_and_ids():
+    """Prints from bit counts over the long words; equal lines and no others share an id, wherever they stand."""
+    rng = random.Random(8)
+    texts = ["\n".join(" ".join(words(rng, rng.randrange(0, 9), 9)) + rng.choice(["", "!", " É𝒳"]) for _ in range(5)) for _ in range(40)]
+    line, ids, length, prints = lines.scanned("\n".join(texts).encode().translate(lines._FOLD))
+    norm = [lines.normal(x) for x in "\n".join(texts).split("\n")]
+    assert [i for i, x in enumerate(norm) if x] == line.tolist() and [len(x) for x in norm if x] == length.tolist()
+    seen = defaultdict(set)
+    for i, h, p in zip(line, ids, prints):
+        seen[int(h)].add(norm[i])
+        assert int(p) & (1 << 64) - 1 == lines.print_of(norm[i])
+    assert all(len(x) == 1 for x in seen.values()) and len(seen) == len({x for x in norm if x})
+    one = lines.print_of(b"word")
+    assert one == int(lines._folded(np.frombuffer(b"word", np.uint8).astype(np.uint64) + np.uint64(1), np.array([4]), lines._A)[0])
+    assert lines.print_of(b"word of word to") == one and lines.print_of(b"of") != one
+
+
 def test_lines(spark, docs, texts, none):
     scratch = Scratch(spark, "test-lines")
     found = {(r["doc_id"], r["no"]): (r["keep_doc"], r["keep_no"]) for r in lines.duplicates(docs, scratch).collect()}
 
     def linked(a, b):
-        pa, pb = (int(lines.prints([set(x.split(b" "))])[0]) & (1 << 64) - 1 for x in (a, b))
-        return lines.links_if((a.decode(), pa), (b.decode(), pb))
+        return lines.linked((a.decode(), lines.print_of(a)), (b.decode(), lines.print_of(b)))
 
     assert found == brute_units(texts, lines.normal, lambda x: len(lines.normal(x)) >= lines.MIN_CHARS, linked)
     out = got(lines.dedup(docs))
-    assert set(docs.columns) | {"removed_units"} == set(out[0])
+    assert set(docs.columns) | {"__removed"} == set(out[0])
     for i, t in enumerate(texts):
         left = [x for no, x in enumerate((t or "").split("\n")) if (i, no) not in found]
-        gone = (i, 0) in found or out[i]["removed_units"] > 0
+        gone = (i, 0) in found or out[i]["__removed"] > 0
         assert out[i]["text"] == (t if not gone else "\n".join(left) if any(x.split() for x in left) else None)
     assert lines.dedup(none).count() == 0
 

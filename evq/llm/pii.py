@@ -98,10 +98,13 @@ def _contexts(lines: DataFrame) -> DataFrame:
     """doc_id, blob, entity, term, start, stop: each word near each entity, once for an entity that stands twice nearby."""
     near = F.transform(
         "base",
-        lambda b: F.struct(b["entity"].alias("entity"), F.filter("words", lambda w: (w["stop"] > b["start"] - REACH) & (w["start"] < b["stop"] + REACH)).alias("words")),
+        lambda b: F.transform(
+            F.filter("words", lambda w: (w["stop"] > b["start"] - REACH) & (w["start"] < b["stop"] + REACH)),
+            lambda w: F.struct(b["entity"].alias("entity"), w["value"].alias("term"), w["start"].alias("start"), w["stop"].alias("stop")),
+        ),
     )
-    rows = lines.select("doc_id", "blob", F.explode(near).alias("x")).select("doc_id", "blob", "x.entity", F.explode("x.words").alias("w"))
-    return rows.select("doc_id", "blob", "entity", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.stop").alias("stop"))
+    return lines.select("doc_id", "blob", F.explode(F.array_distinct(F.flatten(near))).alias("x")).select("doc_id", "blob", "x.*")
+
 
 
 def _revealing(docs: DataFrame, contexts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -168,8 +171,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def base_oracle() -> str:
-    """doc_id, counts and base_sha256 in DuckDB's SQL, from the plain patterns; terms are tested against a brute-force version."""
+def _oracle() -> str:
+    """The same in DuckDB's SQL, from the plain patterns."""
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
@@ -177,22 +180,41 @@ def base_oracle() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     }
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
-    luhn = f"list_sum(list_transform(range(0, length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr({digits}, length({digits}) - i, 1) AS INT) ELSE (CAST(substr({digits}, length({digits}) - i, 1) AS INT) * 2) // 10 + (CAST(substr({digits}, length({digits}) - i, 1) AS INT) * 2) % 10 END)) % 10 = 0"
+    digit = f"CAST(substr({digits}, length({digits}) - i, 1) AS INT)"
+    luhn = f"list_sum(list_transform(range(0, length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN {digit} ELSE ({digit} * 2) // 10 + ({digit} * 2) % 10 END)) % 10 = 0"
     keep = {
         "ip": "list_max(list_transform(string_split(v, '.'), lambda p: CAST(p AS HUGEINT))) <= 255",
         "card": f"CASE WHEN length({digits}) BETWEEN 12 AND 19 THEN {luhn} ELSE false END",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
     }
-    parts = []
-    for rank, kind in enumerate(BASE):
-        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, s, s + length(v) AS e FROM (
-  SELECT doc_id, ps[i] AS v, coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) AS s FROM (
-    SELECT doc_id, ps, unnest(range(2, len(ps), 2)) AS i FROM (
-      SELECT doc_id, string_split(regexp_replace(t, '({plain[kind]})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) AS ps FROM d)))
-  WHERE {keep.get(kind, 'true')}""")
-    join = "string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank)"
-    return f"""WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(57344), chr(57345)) AS t FROM documents),
-m AS ({' UNION ALL '.join(parts)}),
-g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, {join} AS b FROM m GROUP BY doc_id)
-SELECT documents.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(b, '')) AS base_sha256
-FROM documents LEFT JOIN g ON documents.doc_id = g.doc_id"""
+
+    def found(pattern: str, where: str) -> str:
+        """rid, v, s, e and the number of the line for the matches of a pattern."""
+        return f"""SELECT rid, v, s, s + length(v) AS e, len(string_split(substr(t, 1, CAST(s AS BIGINT)), chr(10))) AS line FROM (
+  SELECT rid, t, ps[i] AS v, coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) AS s FROM (
+    SELECT rid, t, ps, unnest(range(2, len(ps), 2)) AS i FROM (
+      SELECT rid, t, string_split(regexp_replace(t, '({pattern})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) AS ps FROM {where})))"""
+
+    kinds = " UNION ALL ".join(
+        f"SELECT *, '{k}' AS kind, {i} AS rank, '{k}:' || {'lower(v)' if k in ('email', 'ip') else digits} AS entity FROM ({found(plain[k], 'd')}) WHERE {keep.get(k, 'true')}" for i, k in enumerate(BASE)
+    )
+    word, split = WORD, SPLIT
+    join = "string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank, e)"
+    share = "CASE WHEN -ln(n_entity / n) > 0 THEN 1 + ln(least(1.0, n_both / n_term)) / -ln(n_entity / n) ELSE 0.0 END"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, replace(coalesce(text, ''), chr(57344), chr(57345)) AS t FROM documents),
+m AS MATERIALIZED ({kinds}),
+w AS MATERIALIZED (SELECT rid, lower(v) AS term, s, e, line FROM ({found(word, '(SELECT * FROM d WHERE rid IN (SELECT rid FROM m))')}) x
+  WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.rid = x.rid AND m.s < x.e AND x.s < m.e)),
+c AS MATERIALIZED (SELECT DISTINCT m.rid, entity, term, w.s, w.e FROM m JOIN w ON m.rid = w.rid AND m.line = w.line AND w.e > m.s - {REACH} AND w.s < m.e + {REACH}),
+j AS (SELECT entity, term, count(*) AS n_both FROM c GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+a AS (SELECT entity, count(*) AS n_entity FROM c GROUP BY entity),
+u AS MATERIALIZED (SELECT unnest(string_split_regex(lower(t), '{split}')) AS term FROM d),
+k AS (SELECT term, count(*) AS n_term FROM u WHERE term <> '' GROUP BY term),
+z AS (SELECT count(*) AS n FROM u WHERE term <> ''),
+r AS (SELECT entity, term FROM j JOIN a USING (entity) JOIN k USING (term), z WHERE {share} >= {DISCLOSURE}),
+f AS (SELECT rid, kind, rank, s, e FROM m UNION SELECT DISTINCT rid, 'term', {len(BASE)}, s, e FROM c JOIN r USING (entity, term)),
+g AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, {join} FILTER (kind <> 'term') AS b, {join} AS x FROM f GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(x, '') AS spans FROM d LEFT JOIN g ON d.rid = g.rid"""
+
+
+ORACLE = _oracle()

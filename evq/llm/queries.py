@@ -22,4 +22,5 @@ ORACLES = {
     "op2_warc": warc.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op7_secrets": secrets.ORACLE,
+    "op10_pii": pii.ORACLE,
 }

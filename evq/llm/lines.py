@@ -121,11 +121,37 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_occurrences, f"id bigint, print bigint, doc_id {kind}, no int")
 
 
+#: Prints up to which all pairs of a key are compared at once.
+PAIRS = 4096
+
+
 def near(found: np.ndarray) -> np.ndarray:
-    """Which prints have another one within RADIUS bits."""
-    out, step = np.empty(len(found), bool), max(1, (1 << 21) // len(found))
-    for i in range(0, len(found), step):
-        out[i : i + step] = (np.bitwise_count(found[i : i + step, None] ^ found[None, :]) <= RADIUS).sum(axis=1) > 1
+    """Which prints have another one within RADIUS bits.
+
+    Many prints are split once more: of RADIUS + 1 groups of the bits in which
+    they differ at all, two near prints agree in one.
+    """
+    # unsigned, as numpy counts the bits of a number's absolute value
+    unique, back, counts = np.unique(found.view(np.uint64), return_inverse=True, return_counts=True)
+    return (_near(unique) | (counts > 1))[back]
+
+
+def _near(prints: np.ndarray) -> np.ndarray:
+    """The same for prints that all differ."""
+    out = np.zeros(len(prints), bool)
+    vary = [i for i in range(64) if int(np.bitwise_or.reduce(prints ^ prints[0])) >> i & 1] if len(prints) > PAIRS else []
+    if len(vary) <= RADIUS:
+        step = max(1, (1 << 21) // len(prints))
+        for i in range(0, len(prints), step):
+            out[i : i + step] = (np.bitwise_count(prints[i : i + step, None] ^ prints[None, :]) <= RADIUS).sum(axis=1) > 1
+        return out
+    for part in range(RADIUS + 1):
+        key = prints & np.uint64(sum(1 << i for i in vary[part :: RADIUS + 1]))
+        order = np.argsort(key, kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(order)]])
+        for i in np.flatnonzero(np.diff(cut) > 1):
+            some = order[cut[i] : cut[i + 1]]
+            out[some] |= _near(prints[some])
     return out
 
 

@@ -210,6 +210,18 @@ def test_prints_and_ids():
     assert lines.print_of(b"word of word to") == one and lines.print_of(b"of") != one
 
 
+def test_near_prints(monkeypatch):
+    rng = random.Random(3)
+    centres = [rng.getrandbits(64) for _ in range(40)]
+    found = [c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 6))) for c in centres for _ in range(4)] + centres[:3]
+    prints = np.array([simhash._signed(x) for x in found], np.int64)
+    want = [any(i != j and (a ^ b).bit_count() <= lines.RADIUS for j, b in enumerate(found)) for i, a in enumerate(found)]
+    for pairs in (4096, 8):
+        monkeypatch.setattr(lines, "PAIRS", pairs)
+        assert lines.near(prints).tolist() == want
+    assert any(want) and not all(want)
+
+
 def test_lines(spark, docs, texts, none):
     scratch = Scratch(spark, "test-lines")
     found = {(r["doc_id"], r["no"]): (r["keep_doc"], r["keep_no"]) for r in lines.duplicates(docs, scratch).collect()}

@@ -70,17 +70,18 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned; a bit is 1 if it is set in over half of the shingles' hashes."""
+def _hashes(text: str | None) -> list[int]:
+    """Of each shingle, repeats included."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     if len(words) < SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
-    return int(majority(hashes, np.array([len(hashes)]))[0])
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
+    return [xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(SHINGLE)))]
+
+
+def fingerprint(text: str | None) -> int:
+    """Unsigned; a bit is 1 if it is set in over half of the shingles' hashes."""
+    hashes = np.array(_hashes(text), dtype=np.uint64)
+    return int(majority(hashes, np.array([len(hashes)]))[0]) if len(hashes) else 0
 
 
 def _signed(x: int) -> int:
@@ -89,8 +90,19 @@ def _signed(x: int) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [_signed(fingerprint(t.as_py())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        prints = np.zeros(len(batch), np.uint64)
+        rows: list[int] = []
+        held: list[np.ndarray] = []
+        size = 0
+        for row, text in enumerate(batch.column(1)):
+            if found := _hashes(text.as_py()):
+                rows.append(row)
+                held.append(np.array(found, dtype=np.uint64))
+                size += len(found)
+            if held and (size > 200_000 or row == len(batch) - 1):
+                prints[rows] = majority(np.concatenate(held), np.array([len(x) for x in held]))
+                rows, held, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

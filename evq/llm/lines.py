@@ -1,15 +1,16 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, components.
+"""Fuzzy line dedup: MinHash bands, edit similarity, components.
 
-Lines are normalised (ASCII letters in lower case, digits as 0, all other ASCII
-as one space); equal ones are one from then on. The SimHash of a line's words of
-LONG bytes or more (short ones come again and again and would make the print) is
-cut into BLOCKS blocks; lines whose prints differ in at most RADIUS bits agree
-in BLOCKS - RADIUS blocks and meet under these. They link if their edit
-similarity (1 - distance / length of the longer) is SIMILAR or more. Of each
-connected group the occurrence with the smallest (doc_id, line number) stays.
+Lines are compared in ASCII lower case with single spaces; equal ones are one
+from then on. They link if their edit similarity (1 - distance / length of the
+longer) is SIMILAR or more. Candidates come from one-permutation MinHash over
+the lines' grams of GRAM bytes, in any script: lines meet if both minima of one
+of BANDS bands agree, and AGREE of the TESTS bytes of their sketches (minima of
+other bins), and their lengths allow the similarity. That is no guarantee; the
+README has the measured recall against edit similarity alone. Of each connected
+group the occurrence with the smallest (doc_id, line number) stays.
 
-Lines of under MIN_CHARS characters are no evidence of copying and always stay.
-Lines are told apart by a 64-bit hash of their normalised text.
+Lines of under MIN_CHARS characters are no evidence of copying and always stay,
+as do lines of ASCII punctuation alone. Lines are told apart by a 64-bit hash.
 
 Defined cases: a null or empty text has no lines to remove; rows that share a
 doc_id are one document; a document that loses all lines with words has a null
@@ -19,12 +20,11 @@ text; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evq.llm import units
@@ -33,17 +33,26 @@ from evq.llm.simhash import majority
 
 SIMILAR = 0.8
 RADIUS = 3
-BLOCKS = 5
 MIN_CHARS = 20
-#: Of ASCII only letters and digits stay, and line ends.
-_FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 48 if chr(b).isdigit() else 10 if b == 10 else 32 for b in range(128)) + bytes(range(128, 256))
+#: ASCII letters in lower case, control characters but line ends as spaces.
+_FOLD = bytes(ord(chr(b).lower()) if 32 < b < 127 else 10 if b == 10 else 32 for b in range(128)) + bytes(range(128, 256))
+#: Bytes of letters and digits; a line without any has no words.
+_WORDY = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+GRAM = 8
+BANDS, ROWS = 16, 2
+TESTS, AGREE = 7, 2
+_BINS = BANDS * ROWS + TESTS
+#: Steps of the logarithm of a length to one factor of SIMILAR.
+_STEPS = 4
 #: Shorter words are no features of a print, unless a line has no other.
 LONG = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def normal(line: str) -> bytes:
-    return b" ".join(line.encode().translate(_FOLD).split())
+    """What is compared of a line; nothing if it has no words."""
+    words = line.encode().translate(_FOLD).split()
+    return b" ".join(words) if _WORDY[list(b"".join(words))].any() else b""
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,25 +69,136 @@ def _folded(values: np.ndarray, sizes: np.ndarray, by: np.uint64) -> np.ndarray:
     return _mixed(np.add.reduceat(values * powers[place], starts) ^ (sizes.astype(np.uint64) * _A))
 
 
-def scanned(data: bytes) -> tuple[np.ndarray, ...]:
-    """Of the lines of folded bytes that have words: number, hash, length when normal, and print."""
-    chars = np.frombuffer(data, np.uint8)
+def _parsed(data: bytes, least: int = 0) -> tuple[np.ndarray, ...]:
+    """Of the lines of folded bytes that have words and ``least`` characters: the normal bytes of all, each with a space behind, the sizes and hashes of their words, words and number of each line, and its characters."""
+    chars = np.frombuffer(data + b"\n", np.uint8)
     inside = chars > 32
-    edge = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
+    edge = np.diff(np.concatenate([[False], inside]).view(np.int8), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
-    sizes = ends - starts
-    words = _folded(chars[inside].astype(np.uint64) + np.uint64(1), sizes, _A)
     before = np.searchsorted(starts, np.flatnonzero(chars == 10))  # words before each line end
-    line = np.repeat(np.arange(len(before) + 1), np.diff(np.concatenate([[0], before, [len(starts)]])))
-    first = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1])
-    counts = np.diff(np.concatenate([first, [len(line)]]))
+    counts = np.diff(before, prepend=0)
+    number = np.flatnonzero(counts)
+    counts = counts[number]
+    first = np.cumsum(counts) - counts
+    if len(counts):
+        wordy, heads = (np.concatenate([[0], np.cumsum(x)]) for x in (_WORDY[chars], inside))
+        begin, end = starts[first], ends[first + counts - 1]
+        length = np.add.reduceat(heads[ends] - heads[starts], first) + counts - 1
+        keep = (wordy[end] > wordy[begin]) & (length >= least)
+        stay = np.repeat(keep, counts)
+        starts, ends, number, counts, length = starts[stay], ends[stay], number[keep], counts[keep], length[keep]
+    if not len(counts):
+        return tuple(np.empty(0, t) for t in (np.uint8, np.int64, np.uint64, np.int64, np.int64, np.int64))
+    turn = np.zeros(len(chars) + 1, np.int8)
+    turn[starts] += 1
+    turn[ends + 1] -= 1
+    flat = chars[np.cumsum(turn[:-1], dtype=np.int8).view(bool)]
+    flat = np.where(flat > 32, flat, np.uint8(32))
+    sizes = ends - starts
+    words = _folded(flat[flat > 32].astype(np.uint64) + np.uint64(1), sizes, _A)
+    return flat, sizes, words, counts, number, length
+
+
+def scanned(data: bytes) -> tuple[np.ndarray, ...]:
+    """Of the lines of folded bytes that have words: number, hash, bytes when normal, and SimHash of the words of LONG bytes or more."""
+    _, sizes, words, counts, number, _ = _parsed(data)
+    if not len(counts):
+        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+    first = np.cumsum(counts) - counts
     use = sizes >= LONG
     use |= np.repeat(np.add.reduceat(use, first, dtype=np.int64) == 0, counts)
-    weights = np.add.reduceat(use, first, dtype=np.int64)
-    prints = majority(words[use], weights).view(np.int64)
-    return line[first], _folded(words, counts, _C), np.add.reduceat(sizes, first) + counts - 1, prints
+    prints = majority(words[use], np.add.reduceat(use, first, dtype=np.int64)).view(np.int64)
+    return number, _folded(words, counts, _C), np.add.reduceat(sizes, first) + counts - 1, prints
+
+
+def minima(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The least hash of the grams of each line in each of _BINS bins; an empty bin has that of another, the same for the same grams. ASCII punctuation counts as space here."""
+    flat = np.where(_WORDY[flat], flat, np.uint8(32))
+    stay = (flat != 32) | np.concatenate([[False], flat[:-1] != 32])
+    sizes = np.add.reduceat(stay, np.cumsum(sizes) - sizes, dtype=np.int64)
+    flat = flat[stay]
+    grams = np.ndarray(len(flat), "<u8", np.concatenate([flat, np.zeros(8, np.uint8)]).tobytes(), 0, (1,)) & np.uint64((1 << 8 * GRAM) - 1)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    whole = np.arange(len(flat)) <= np.repeat(np.cumsum(sizes) - GRAM, sizes)
+    short = np.flatnonzero(sizes < GRAM)  # their one gram is all they have
+    at = (np.cumsum(sizes) - sizes)[short]
+    grams[at] &= (np.uint64(1) << (8 * sizes[short]).astype(np.uint64)) - np.uint64(1)
+    whole[at] = True
+    found = _mixed(grams[whole] * _A)
+    place = row[whole] * _BINS + ((found >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
+    out = np.full(len(sizes) * _BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(out, place, found.astype(np.uint32))
+    full = np.zeros(len(out), bool)
+    full[place] = True
+    empty, turn = np.flatnonzero(~full), 0
+    while len(empty):
+        turn += 1
+        tried = (_mixed((empty % _BINS + _BINS * turn).astype(np.uint64) * _A) % np.uint64(_BINS)).astype(np.int64) + empty // _BINS * _BINS
+        hit = full[tried]
+        out[empty[hit]] = out[tried[hit]]
+        empty = empty[~hit]
+    return out.reshape(-1, _BINS)
+
+
+def sketched(least: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The BANDS keys of each line, and its sketch: TESTS bytes and above them a class of its length."""
+    pairs = least[:, : BANDS * ROWS].astype(np.uint64)
+    keys = (_mixed((pairs[:, ::ROWS] << np.uint64(32) | pairs[:, 1::ROWS]) * _A) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    sketch = np.minimum(255, np.log(length) / -np.log(SIMILAR) * _STEPS).astype(np.uint64)
+    for k in range(TESTS):
+        sketch = sketch << np.uint64(8) | (least[:, BANDS * ROWS + k] & np.uint32(255)).astype(np.uint64)
+    return keys, sketch.view(np.int64)
+
+
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of sketches may be similar lines."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    x = a ^ b
+    for k in (4, 2, 1):
+        x |= x >> np.uint64(k)
+    apart = np.bitwise_count(x & np.uint64(0x01010101010101))
+    top = np.uint64(56)
+    return (apart <= TESTS - AGREE) & (np.abs((a >> top).view(np.int64) - (b >> top).view(np.int64)) <= _STEPS + 1)
+
+
+def partnered(key: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Which rows have a ``close`` one of the same key (sorted). Each row is held against others until it has one; keys of over PAIRS rows are split by the sketch."""
+    out = np.zeros(len(key), bool)
+    bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    sizes = np.diff(bounds)
+    end = np.repeat(bounds[1:], sizes)
+    at, step = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= PAIRS), sizes)), 1
+    while len(at := at[at + step < end[at]]):
+        some = at[~(out[at] & out[at + step])]
+        some = some[close(prints[some], prints[some + step])]
+        out[some] = out[some + step] = True
+        step += 1
+    for i in np.flatnonzero(sizes > PAIRS):
+        out[bounds[i] : bounds[i + 1]] = _split(prints[bounds[i] : bounds[i + 1]])
+    return out
+
+
+def _split(prints: np.ndarray) -> np.ndarray:
+    """``partnered`` for the rows of one large key: under each two bytes of the sketch only those that agree in both are compared."""
+    unique, back, counts = np.unique(prints, return_inverse=True, return_counts=True)
+    out = counts > 1
+    for first in range(TESTS):
+        for second in range(first + 1, TESTS):
+            if out.all():
+                return out[back]
+            cell = (unique >> np.int64(8 * first) & np.int64(255)) << np.int64(8) | (unique >> np.int64(8 * second) & np.int64(255))
+            order = np.lexsort((unique, cell))
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) != 0]))
+            end = np.repeat(np.append(cut[1:], len(order)), np.diff(np.append(cut, len(order))))
+            at, step = np.arange(len(order)), 1
+            while len(at := at[at + step < end[at]]):
+                a, b = order[at], order[at + step]
+                use = ~(out[a] & out[b])
+                a, b = a[use], b[use]
+                hit = close(unique[a], unique[b])
+                out[a[hit]] = out[b[hit]] = True
+                step += 1
+    return out[back]
 
 
 def print_of(content: bytes) -> int:
@@ -88,6 +208,7 @@ def print_of(content: bytes) -> int:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("keys", pa.list_(pa.int32())), ("doc_id", batch.schema.field(0).type), ("no", pa.int32())])
         rows: list[int] = []
         held: list[bytes] = []
         size = 0
@@ -95,13 +216,14 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
             lines_of = np.array([x.count(b"\n") + 1 for x in held])
             begin = np.cumsum(lines_of) - lines_of
-            line, ids, length, prints = scanned(b"\n".join(held))
-            keep = length >= MIN_CHARS
-            text = np.searchsorted(begin, line[keep], side="right") - 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids[keep].view(np.int64)), pa.array(prints[keep]), batch.column(0).take(pa.array(np.array(rows)[text])), pa.array((line[keep] - begin[text]).astype(np.int32))],
-                names=["id", "print", "doc_id", "no"],
-            )
+            flat, sizes, words, counts, line, length = _parsed(b"\n".join(held), MIN_CHARS)
+            if not len(counts):
+                return pa.RecordBatch.from_pylist([], schema)
+            first = np.cumsum(counts) - counts
+            keys, prints = sketched(minima(flat, np.add.reduceat(sizes + 1, first)), length)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            text = np.searchsorted(begin, line, side="right") - 1
+            return pa.RecordBatch.from_arrays([pa.array(_folded(words, counts, _C).view(np.int64)), pa.array(prints), lists, batch.column(0).take(pa.array(np.array(rows)[text])), pa.array((line - begin[text]).astype(np.int32))], schema=schema)
 
         for row, text in enumerate(batch.column(1)):
             if text := text.as_py():
@@ -116,9 +238,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """id, print, doc_id, no of every line that is long enough."""
+    """id, print, keys, doc_id, no of every line that is long enough."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_occurrences, f"id bigint, print bigint, doc_id {kind}, no int")
+    return docs.select("doc_id", "text").mapInArrow(_occurrences, f"id bigint, print bigint, keys array<int>, doc_id {kind}, no int")
 
 
 #: Prints up to which all pairs of a key are compared at once.
@@ -155,6 +277,10 @@ def _near(prints: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Characters that must agree for an alignment to go on.
+ANCHOR = 8
+
+
 def distance(a: str, b: str) -> int:
     """Levenshtein's, by bit vectors as long as the shorter text."""
     head = len(commonprefix((a, b)))
@@ -180,53 +306,71 @@ def distance(a: str, b: str) -> int:
     return score
 
 
+def _at_most(a: str, b: str, limit: float) -> bool:
+    """Whether a plain alignment shows that the distance is ``limit`` or less: behind each difference it goes on at the next place in ``b`` of ANCHOR characters of ``a``."""
+    i = j = cost = 0
+    while True:
+        step = 64
+        while step:
+            if a[i : i + step] == b[j : j + step] and i + step <= len(a) and j + step <= len(b):
+                i, j, step = i + step, j + step, step * 2
+            else:
+                step //= 2
+        room = int(limit - cost)
+        for skip in range(1, room + 1):
+            if i + skip + ANCHOR > len(a):
+                break
+            k = b.find(a[i + skip : i + skip + ANCHOR], j, j + room + ANCHOR)
+            if k >= 0:
+                cost += max(skip, k - j)
+                i, j = i + skip, k
+                break
+        else:
+            return cost + max(len(a) - i, len(b) - j) <= limit
+        if i + skip + ANCHOR > len(a):
+            return cost + max(len(a) - i, len(b) - j) <= limit
+
+
 def similar(a: str, b: str) -> bool:
     longer = max(len(a), len(b))
-    return abs(len(a) - len(b)) <= (1 - SIMILAR) * longer + 1e-9 and distance(a, b) <= (1 - SIMILAR) * longer + 1e-9
+    limit = (1 - SIMILAR) * longer + 1e-9
+    if abs(len(a) - len(b)) > limit:
+        return False
+    return _at_most(a, b, limit) or _bag(a, b) <= limit and distance(a, b) <= limit
 
 
-def linked(a: tuple[str, int], b: tuple[str, int]) -> bool:
-    """Whether two lines with their prints link."""
-    return (a[1] ^ b[1]).bit_count() <= RADIUS and similar(a[0], b[0])
+def _bag(a: str, b: str) -> int:
+    """No more than the distance: characters that one has and the other lacks."""
+    return max(sum(max(0, x.count(c) - y.count(c)) for c in set(x)) for x, y in ((a, b), (b, a)))
 
 
-def _masks() -> list[int]:
-    """For each choice of BLOCKS - RADIUS blocks, their bits."""
-    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-    return [sum(chosen) for chosen in combinations([(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])], BLOCKS - RADIUS)]
+def linked(a: tuple[str, int], b: tuple[str, int]) -> bool:
+    """Whether two lines link, whatever their prints."""
+    return similar(a[0], b[0])
 
 
-_MASKS = _masks()
+def _prepared(content: bytes, band: int, found: int) -> tuple[str, int, list[bytes], int]:
+    keys, line = content.split(b"\n", 1)
+    return line.decode(), found, keys.split(b","), band
 
 
-def _first_linked(a: tuple[str, int, int], b: tuple[str, int, int]) -> bool:
+def _first_linked(a: tuple[str, int, list[bytes], int], b: tuple[str, int, list[bytes], int]) -> bool:
     """As ``linked``, but each pair is only looked at under the first of the keys that it shares."""
-    diff = a[1] ^ b[1]
-    return diff.bit_count() <= RADIUS and next(i for i, m in enumerate(_MASKS) if not diff & m) == a[2] and similar(a[0], b[0])
-
-
-def _prepared(content: bytes, band: int, found: int) -> tuple[str, int, int]:
-    return content.decode(), found & (1 << 64) - 1, band
-
-
-def _keys() -> Column:
-    """The print with all bits but those of a mask set to 0, for each mask."""
-    keys = []
-    for i, m in enumerate(_MASKS):
-        keys.append(F.struct(F.lit(i).alias("band"), F.col("print").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")))
-    return F.explode(F.array(*keys))
+    return next(i for i, (x, y) in enumerate(zip(a[2], b[2])) if x == y) == a[3] and similar(a[0], b[0])
 
 
 def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, no, keep_doc, keep_no, class_id: the lines to remove and the one that stays instead."""
     found = scratch.save(occurrences(docs), "occurrences")
-    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n"), F.min("print").alias("print"))
+    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n"), F.min("print").alias("print"), F.first("keys").alias("keys"))
     distinct = scratch.save(distinct, "distinct")
-    members = units.meeting(distinct.select("id", "print", _keys().alias("k")).select("k.band", "k.key", "id", "print"), near)
+    banded = distinct.select("id", "print", F.posexplode("keys").alias("band", "k")).select("band", F.col("k").cast("bigint").alias("key"), "id", "print")
+    members = units.meeting(banded, partnered)
     members = scratch.save(members, "members")
     first = members.select("id").distinct().join(distinct, "id").select("id", "first.doc_id", "first.no")
-    texts = units.contents(docs, first, normal, scratch)
-    edges = units.verified(members, texts, _prepared, _first_linked, scratch)
+    texts = units.contents(docs, first, normal, scratch).join(distinct.select("id", "keys"), "id")
+    texts = texts.select("id", F.concat(F.encode(F.concat_ws(",", F.col("keys").cast("array<string>")), "utf-8"), F.lit(b"\n"), "content").alias("content"))
+    edges = units.verified(members, texts, _prepared, _first_linked, scratch, close)
     return units.repeated(found, units.keepers(distinct, edges, scratch))
 
 

@@ -29,8 +29,8 @@ CELL = 1024
 REMOVED = "__removed"
 
 
-def meeting(rows: DataFrame, near: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """band, key, id, print of the rows that meet another under their key; ``near`` tells which prints of a key have a partner."""
+def meeting(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """band, key, id, print of the rows that meet another under their key; ``near`` tells which of the rows of sorted keys (numbers, prints) have a partner."""
     rows = rows.select("band", "key", "id", "print").repartition("band", "key").sortWithinPartitions("band", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,8 +49,8 @@ def meeting(rows: DataFrame, near: Callable[[np.ndarray], np.ndarray] | None = N
             sizes = np.diff(bounds)
             keep = np.repeat(sizes > 1, sizes)
             if near is not None:
-                for i in np.flatnonzero(sizes > 1):
-                    keep[bounds[i] : bounds[i + 1]] = near(prints[bounds[i] : bounds[i + 1]])
+                some = np.flatnonzero(keep)
+                keep[some] = near(np.repeat(np.arange(len(sizes)), sizes)[some], prints[some])
             take = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (band, key, ids, prints)], names=["band", "key", "id", "print"])
 
@@ -87,8 +87,18 @@ def forest(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bo
         groups = [*apart, joined]
 
 
-def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes, int, int], Any], similar: Callable[[Any, Any], bool], scratch: Scratch) -> DataFrame:
-    """src, dst: verified links among the ``members`` (band, key, id, print) of each key; ``contents`` has id and content (binary), and ``prepare`` makes of content, band and print what ``similar`` compares."""
+def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], prints: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """As ``forest``, of the links between members with ``close`` prints."""
+    root = np.arange(len(ids))
+    for i in range(1, len(ids)):
+        for j in np.flatnonzero(close(prints[:i], prints[i : i + 1])):
+            if root[i] != root[j] and similar(contents[i], contents[j]):
+                yield ids[i], ids[j]
+                root[root == root[i]] = root[j]
+
+
+def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes, int, int], Any], similar: Callable[[Any, Any], bool], scratch: Scratch, close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """src, dst: verified links among the ``members`` (band, key, id, print) of each key; ``contents`` has id and content (binary), and ``prepare`` makes of content, band and print what ``similar`` compares. With ``close`` only members with close prints are compared."""
     rows = _cells(members, scratch).join(contents, "id").select("band", "key", "cell", "id", "print", "content")
     rows = rows.repartition("band", "key", "cell").sortWithinPartitions("band", "key", "cell")
 
@@ -96,7 +106,8 @@ def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes,
         at, ids, prints, held = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            edges = list(forest(ids, [prepare(x, at[0], p) for x, p in zip(held, prints)], similar))
+            made = [prepare(x, at[0], p) for x, p in zip(held, prints)]
+            edges = list(forest(ids, made, similar) if close is None else sparse(ids, made, similar, np.array(prints), close))
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
         for batch in batches:

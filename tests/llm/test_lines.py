@@ -40,6 +40,18 @@ def test_changed_words_are_found(spark):
         assert sum((2 * i + 1, 0) in gone for i in range(60 * k, 60 * k + 60)) >= 54
 
 
+def test_short_words_count(spark):
+    """Lines of short words link by their edit similarity like any others, the few long words they have being different."""
+    rng = random.Random(12)
+    made = []
+    while len(made) < 60:
+        ws = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(24)]
+        a, b = (" ".join([*ws[:12], word(rng), *ws[12:]]) for _ in "ab")
+        if lines.similar(a, b):
+            made.append((a, b))
+    assert sum(i % 2 for i, _ in removed(spark, [t for pair in made for t in pair])) >= 54
+
+
 def test_large_keys_are_exact(monkeypatch):
     """Which rows have a partner is the same however large a key may be before it is split."""
     rng = np.random.default_rng(5)

@@ -81,7 +81,7 @@ def _parsed(data: bytes, least: int = 0) -> tuple[np.ndarray, ...]:
     counts = counts[number]
     first = np.cumsum(counts) - counts
     if len(counts):
-        wordy, heads = (np.concatenate([[0], np.cumsum(x)]) for x in (_WORDY[chars], inside))
+        wordy, heads = (np.concatenate([[0], np.cumsum(x)]) for x in (_WORDY[chars], inside & (chars & 0xC0 != 0x80)))
         begin, end = starts[first], ends[first + counts - 1]
         length = np.add.reduceat(heads[ends] - heads[starts], first) + counts - 1
         keep = (wordy[end] > wordy[begin]) & (length >= least)

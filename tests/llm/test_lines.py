@@ -65,3 +65,9 @@ def test_large_keys_are_exact(monkeypatch):
         monkeypatch.setattr(lines, "PAIRS", pairs)
         assert lines.partnered(key, prints).tolist() == want
     assert any(want) and not all(want)
+
+
+def test_short_lines_by_characters(spark):
+    """The limit is in characters, so alike in all scripts."""
+    assert len("ключевые слова тут".encode()) > lines.MIN_CHARS > len("ключевые слова тут")
+    assert removed(spark, ["ключевые слова тут"] * 3 + ["ключевые слова и тут"] * 2 + ["twelve letters and one"] * 2) == {(4, 0), (6, 0)}

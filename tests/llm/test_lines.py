@@ -71,3 +71,10 @@ def test_short_lines_by_characters(spark):
     """The limit is in characters, so alike in all scripts."""
     assert len("ключевые слова тут".encode()) > lines.MIN_CHARS > len("ключевые слова тут")
     assert removed(spark, ["ключевые слова тут"] * 3 + ["ключевые слова и тут"] * 2 + ["twelve letters and one"] * 2) == {(4, 0), (6, 0)}
+
+
+def test_numbers_and_marks_are_told_apart(spark):
+    """Rows that only share a format stay; case and spaces make no difference, a few other marks little."""
+    table = ["2021-03-04 1234.50 77.1", "1998-12-31 9876.99 50.8", "2007-06-15 4402.17 13.4"]
+    same = ["The quick brown fox, they said, jumped.", "the quick  brown fox they said jumped", "the QUICK brown fox, they said, jumped. "]
+    assert removed(spark, table + same + ["-" * 40] * 2) == {(4, 0), (5, 0)}

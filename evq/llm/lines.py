@@ -29,13 +29,11 @@ from pyspark.sql import functions as F
 
 from evq.llm import units
 from evq.llm.scratch import Scratch, table
-from evq.llm.simhash import majority
 
 SIMILAR = 0.8
-RADIUS = 3
 MIN_CHARS = 20
 #: ASCII letters in lower case, control characters but line ends as spaces.
-_FOLD = bytes(ord(chr(b).lower()) if 32 < b < 127 else 10 if b == 10 else 32 for b in range(128)) + bytes(range(128, 256))
+FOLD = bytes(ord(chr(b).lower()) if 32 < b < 127 else 10 if b == 10 else 32 for b in range(128)) + bytes(range(128, 256))
 #: Bytes of letters and digits; a line without any has no words.
 _WORDY = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 GRAM = 8
@@ -44,29 +42,27 @@ TESTS, AGREE = 7, 2
 _BINS = BANDS * ROWS + TESTS
 #: Steps of the logarithm of a length to one factor of SIMILAR.
 _STEPS = 4
-#: Shorter words are no features of a print, unless a line has no other.
-LONG = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def normal(line: str) -> bytes:
     """What is compared of a line; nothing if it has no words."""
-    words = line.encode().translate(_FOLD).split()
+    words = line.encode().translate(FOLD).split()
     return b" ".join(words) if _WORDY[list(b"".join(words))].any() else b""
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _B
     x = (x ^ (x >> np.uint64(29))) * _C
     return x ^ (x >> np.uint64(32))
 
 
-def _folded(values: np.ndarray, sizes: np.ndarray, by: np.uint64) -> np.ndarray:
+def folded(values: np.ndarray, sizes: np.ndarray, by: np.uint64) -> np.ndarray:
     """A hash of each run of ``sizes`` values: a polynomial in ``by``, mixed with the size."""
     starts = np.cumsum(sizes) - sizes
     powers = np.cumprod(np.full(int(sizes.max()), by, np.uint64))
     place = np.arange(len(values)) - np.repeat(starts, sizes)
-    return _mixed(np.add.reduceat(values * powers[place], starts) ^ (sizes.astype(np.uint64) * _A))
+    return mixed(np.add.reduceat(values * powers[place], starts) ^ (sizes.astype(np.uint64) * _A))
 
 
 def _parsed(data: bytes, least: int = 0) -> tuple[np.ndarray, ...]:
@@ -95,22 +91,10 @@ def _parsed(data: bytes, least: int = 0) -> tuple[np.ndarray, ...]:
     flat = chars[np.cumsum(turn[:-1], dtype=np.int8).view(bool)]
     flat = np.where(flat > 32, flat, np.uint8(32))
     sizes = ends - starts
-    words = _folded(flat[flat > 32].astype(np.uint64) + np.uint64(1), sizes, _A)
+    words = folded(flat[flat > 32].astype(np.uint64) + np.uint64(1), sizes, _A)
     return flat, sizes, words, counts, number, length
 
 
-def scanned(data: bytes) -> tuple[np.ndarray, ...]:
-    """Of the lines of folded bytes that have words: number, hash, bytes when normal, and SimHash of the words of LONG bytes or more."""
-    _, sizes, words, counts, number, _ = _parsed(data)
-    if not len(counts):
-        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
-    first = np.cumsum(counts) - counts
-    use = sizes >= LONG
-    use |= np.repeat(np.add.reduceat(use, first, dtype=np.int64) == 0, counts)
-    prints = majority(words[use], np.add.reduceat(use, first, dtype=np.int64)).view(np.int64)
-    return number, _folded(words, counts, _C), np.add.reduceat(sizes, first) + counts - 1, prints
-
-
 def minima(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The least hash of the grams of each line in each of _BINS bins; an empty bin has that of another, the same for the same grams. ASCII punctuation counts as space here."""
     flat = np.where(_WORDY[flat], flat, np.uint8(32))
@@ -124,7 +108,7 @@ def minima(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     at = (np.cumsum(sizes) - sizes)[short]
     grams[at] &= (np.uint64(1) << (8 * sizes[short]).astype(np.uint64)) - np.uint64(1)
     whole[at] = True
-    found = _mixed(grams[whole] * _A)
+    found = mixed(grams[whole] * _A)
     place = row[whole] * _BINS + ((found >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
     out = np.full(len(sizes) * _BINS, 0xFFFFFFFF, np.uint32)
     np.minimum.at(out, place, found.astype(np.uint32))
@@ -133,7 +117,7 @@ def minima(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     empty, turn = np.flatnonzero(~full), 0
     while len(empty):
         turn += 1
-        tried = (_mixed((empty % _BINS + _BINS * turn).astype(np.uint64) * _A) % np.uint64(_BINS)).astype(np.int64) + empty // _BINS * _BINS
+        tried = (mixed((empty % _BINS + _BINS * turn).astype(np.uint64) * _A) % np.uint64(_BINS)).astype(np.int64) + empty // _BINS * _BINS
         hit = full[tried]
         out[empty[hit]] = out[tried[hit]]
         empty = empty[~hit]
@@ -143,7 +127,7 @@ def minima(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def sketched(least: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The BANDS keys of each line, and its sketch: TESTS bytes and above them a class of its length."""
     pairs = least[:, : BANDS * ROWS].astype(np.uint64)
-    keys = (_mixed((pairs[:, ::ROWS] << np.uint64(32) | pairs[:, 1::ROWS]) * _A) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    keys = (mixed((pairs[:, ::ROWS] << np.uint64(32) | pairs[:, 1::ROWS]) * _A) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     sketch = np.minimum(255, np.log(length) / -np.log(SIMILAR) * _STEPS).astype(np.uint64)
     for k in range(TESTS):
         sketch = sketch << np.uint64(8) | (least[:, BANDS * ROWS + k] & np.uint32(255)).astype(np.uint64)
@@ -201,11 +185,6 @@ def _split(prints: np.ndarray) -> np.ndarray:
     return out[back]
 
 
-def print_of(content: bytes) -> int:
-    """The print of one normal line, unsigned."""
-    return int(scanned(content)[3][0]) & (1 << 64) - 1
-
-
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("keys", pa.list_(pa.int32())), ("doc_id", batch.schema.field(0).type), ("no", pa.int32())])
@@ -223,12 +202,12 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, prints = sketched(minima(flat, np.add.reduceat(sizes + 1, first)), length)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             text = np.searchsorted(begin, line, side="right") - 1
-            return pa.RecordBatch.from_arrays([pa.array(_folded(words, counts, _C).view(np.int64)), pa.array(prints), lists, batch.column(0).take(pa.array(np.array(rows)[text])), pa.array((line - begin[text]).astype(np.int32))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(folded(words, counts, _C).view(np.int64)), pa.array(prints), lists, batch.column(0).take(pa.array(np.array(rows)[text])), pa.array((line - begin[text]).astype(np.int32))], schema=schema)
 
         for row, text in enumerate(batch.column(1)):
             if text := text.as_py():
                 rows.append(row)
-                held.append(text.encode().translate(_FOLD))
+                held.append(text.encode().translate(FOLD))
                 size += len(held[-1])
                 if size > 1 << 20:
                     yield done()
@@ -247,36 +226,6 @@ def occurrences(docs: DataFrame) -> DataFrame:
 PAIRS = 4096
 
 
-def near(found: np.ndarray) -> np.ndarray:
-    """Which prints have another one within RADIUS bits.
-
-    Many prints are split once more: of RADIUS + 1 groups of the bits in which
-    they differ at all, two near prints agree in one.
-    """
-    # unsigned, as numpy counts the bits of a number's absolute value
-    unique, back, counts = np.unique(found.view(np.uint64), return_inverse=True, return_counts=True)
-    return (_near(unique) | (counts > 1))[back]
-
-
-def _near(prints: np.ndarray) -> np.ndarray:
-    """The same for prints that all differ."""
-    out = np.zeros(len(prints), bool)
-    vary = [i for i in range(64) if int(np.bitwise_or.reduce(prints ^ prints[0])) >> i & 1] if len(prints) > PAIRS else []
-    if len(vary) <= RADIUS:
-        step = max(1, (1 << 21) // len(prints))
-        for i in range(0, len(prints), step):
-            out[i : i + step] = (np.bitwise_count(prints[i : i + step, None] ^ prints[None, :]) <= RADIUS).sum(axis=1) > 1
-        return out
-    for part in range(RADIUS + 1):
-        key = prints & np.uint64(sum(1 << i for i in vary[part :: RADIUS + 1]))
-        order = np.argsort(key, kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(order)]])
-        for i in np.flatnonzero(np.diff(cut) > 1):
-            some = order[cut[i] : cut[i + 1]]
-            out[some] |= _near(prints[some])
-    return out
-
-
 #: Characters that must agree for an alignment to go on.
 ANCHOR = 8
 
@@ -359,25 +308,36 @@ def _first_linked(a: tuple[str, int, list[bytes], int], b: tuple[str, int, list[
     return next(i for i, (x, y) in enumerate(zip(a[2], b[2])) if x == y) == a[3] and similar(a[0], b[0])
 
 
+def _contents(text: str, numbers: list[int]) -> list[bytes | None]:
+    parts = text.split("\n")
+    return [normal(parts[i]) if i < len(parts) else None for i in numbers]
+
+
+def without_lines(text: str, numbers: set[int]) -> str | None:
+    """``text`` without the lines of these numbers; None if no word is left."""
+    left = [x for i, x in enumerate(text.split("\n")) if i not in numbers]
+    return "\n".join(left) if any(x.split() for x in left) else None
+
+
 def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, no, keep_doc, keep_no, class_id: the lines to remove and the one that stays instead."""
     found = scratch.save(occurrences(docs), "occurrences")
-    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n"), F.min("print").alias("print"), F.first("keys").alias("keys"))
+    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.max(F.struct("doc_id", "no")).alias("last"), F.count("*").alias("n"), F.min("print").alias("print"), F.first("keys").alias("keys"))
     distinct = scratch.save(distinct, "distinct")
     banded = distinct.select("id", "print", F.posexplode("keys").alias("band", "k")).select("band", F.col("k").cast("bigint").alias("key"), "id", "print")
     members = units.meeting(banded, partnered)
     members = scratch.save(members, "members")
     first = members.select("id").distinct().join(distinct, "id").select("id", "first.doc_id", "first.no")
-    texts = units.contents(docs, first, normal, scratch).join(distinct.select("id", "keys"), "id")
+    texts = units.contents(docs, first, _contents, scratch).join(distinct.select("id", "keys"), "id")
     texts = texts.select("id", F.concat(F.encode(F.concat_ws(",", F.col("keys").cast("array<string>")), "utf-8"), F.lit(b"\n"), "content").alias("content"))
     edges = units.verified(members, texts, _prepared, _first_linked, scratch, close)
     return units.repeated(found, units.keepers(distinct, edges, scratch))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, its text without near-duplicate lines, and units.REMOVED (how many)."""
+    """All columns of ``docs``, its text without near-duplicate lines, and last how many it lost (units.REMOVED, with underscores if ``docs`` has that)."""
     scratch = Scratch(docs.sparkSession, "lines")
-    return units.without(docs, duplicates(docs, scratch), scratch)
+    return units.without(docs, duplicates(docs, scratch), scratch, without_lines)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

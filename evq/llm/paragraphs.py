@@ -1,94 +1,162 @@
-"""Paragraph dedup: MinHash bands, exact Jaccard, components.
-
-A paragraph is a run of text between line ends with SHINGLE words or more; equal
-ones (words in ASCII lower case) are one from then on. BANDS bands of ROWS
-minima find a pair at Jaccard similarity 0.8 with probability 0.998; pairs that
-share a band are verified on their whole sets of word shingles. Of each
-connected group the paragraph with the smallest (doc_id, number) stays.
+"""Repeated passages: paragraph MinHash bands, exact Jaccard, components.
+
+A paragraph is a line with words; one of over LONG words is cut where the text
+itself says so, at words whose next three have the least hash of SPREAD words to
+either side, so that a passage is cut alike wherever it stands. The paragraphs of
+a text make up all its words. Equal ones (words in ASCII lower case) are one from
+then on. BANDS bands of ROWS minima over their shingles of SHINGLE words find a
+pair at Jaccard similarity 0.8 with probability 0.99; pairs that share a band are
+verified on their whole sets of shingles, and the classes are the connected
+groups. A paragraph of fewer words than a shingle only equals its like.
+
+A paragraph repeats if its class stands in two documents, and consecutive
+repeating paragraphs of PASSAGE words or more are a passage, whatever line ends
+it runs across; a common line alone is none. Of each class the occurrence with
+the smallest (doc_id, text, number) stays, and the others go where they are
+part of a passage. What repeats within its own document alone is left to the
+quality rules.
 
 Paragraphs are told apart by a 64-bit hash of their words.
 
-Defined cases: a null or empty text has no paragraphs; rows that share a doc_id
-are one document; a document that loses all its words has a null text; an empty
-table gives no rows; other columns are ignored.
+Defined cases: a null or empty text has no paragraphs; rows that share doc_id
+and text are one document; a document that loses all its words has a null text;
+an empty table gives no rows; other columns are ignored by ``passages`` and kept
+by ``dedup``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evq.llm import units
+from evq.llm.lines import FOLD, folded, mixed
 from evq.llm.scratch import Scratch, table
+from evq.llm.suffix import window_least
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 5, 2
+#: Words of a line from which it is cut, and words to either side that a cut is the least of.
+LONG, SPREAD = 40, 8
+#: Words of consecutive repeating paragraphs that make a passage. Of a passage within a long line the words up to its first cut and behind its last are in no repeating paragraph, so this is less than the 50 words that are looked for.
+PASSAGE = 35
+#: Bytes of text that are cut up at a time.
+BLOCK = 1 << 20
 SEED = 42
 _random = np.random.default_rng(SEED)
 _TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(words: list[bytes]) -> list[int]:
-    digest = xxhash.xxh64_intdigest
-    return [digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(SHINGLE)))]
-
-
-def bands(sets: list[list[int]]) -> np.ndarray:
-    """The BANDS keys of each list of shingle hashes, one row for each."""
-    if not sets:
-        return np.empty((0, BANDS), np.int64)
-    sizes = np.array([len(s) for s in sets])
-    hashes = np.array([h for s in sets for h in s], dtype=np.uint64)
+_MIX, _WORD, _UNIT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407), np.uint64(0xD6E8FEB86659FD93)
+
+
+class Cut(NamedTuple):
+    """The paragraphs of joined texts, in order."""
+
+    line: np.ndarray  # the line that each stands in
+    ids: np.ndarray
+    n_words: np.ndarray
+    begin: np.ndarray  # bytes from its first word to the end of its last one
+    end: np.ndarray
+    shingles: np.ndarray  # of all paragraphs, and how many each has
+    sizes: np.ndarray
+
+
+def cut_up(data: bytes) -> Cut:
+    """The paragraphs of folded bytes."""
+    chars = np.frombuffer(data + b"\n", np.uint8)
+    inside = chars > 32
+    edge = np.diff(np.concatenate([[False], inside]).view(np.int8), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    n = len(starts)
+    if not n:
+        none = np.empty(0, np.int64)
+        return Cut(none, none.view(np.uint64), none, none, none, none.view(np.uint64), none)
+    words = folded(chars[inside].astype(np.uint64) + np.uint64(1), ends - starts, _WORD)
+    counts = np.diff(np.searchsorted(starts, np.flatnonzero(chars == 10)), prepend=0)
+    line = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+    ahead = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
+    runs = words  # hashes of the words from each place on, first three and then SHINGLE of them
+    new = place == 0
+    for k in range(1, SHINGLE):
+        runs = mixed(runs * _MIX + ahead[k : k + n])
+        if k == 2:
+            rim = np.full(SPREAD, np.iinfo(np.uint64).max, np.uint64)
+            least = window_least(np.concatenate([rim, runs, rim]), 2 * SPREAD + 1)
+            new |= (counts[line] > LONG) & (place >= SPREAD) & (place + SPREAD + 3 <= counts[line]) & (runs == least)
+    first = np.flatnonzero(new)
+    n_words = np.diff(np.append(first, n))
+    ids = folded(words, n_words, _UNIT)
+    left = np.repeat(n_words, n_words) - (np.arange(n) - np.repeat(first, n_words))  # words to the end of the paragraph
+    short = n_words < SHINGLE
+    runs[first[short]] = ids[short]
+    use = left >= SHINGLE
+    use[first[short]] = True
+    return Cut(line[first], ids, n_words, starts[first], ends[first + n_words - 1], runs[use], np.maximum(n_words - (SHINGLE - 1), 1))
+
+
+def bands(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The BANDS keys of each run of ``sizes`` shingles, one row for each."""
+    keys = np.zeros((len(sizes), BANDS), np.uint64)
+    if not len(sizes):
+        return keys.view(np.int64)
     starts = np.cumsum(sizes) - sizes
-    keys = np.zeros((len(sets), BANDS), np.uint64)
     for band in range(BANDS):
         for row in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat(hashes * _TIMES[row] + _PLUS[row], starts)
-            mixed = (keys[:, band] ^ least) * _MIX
-            keys[:, band] = mixed ^ (mixed >> np.uint64(32))
+            least = np.minimum.reduceat(shingles * _TIMES[row] + _PLUS[row], starts)
+            mix = (keys[:, band] ^ least) * _MIX
+            keys[:, band] = mix ^ (mix >> np.uint64(32))
     return keys.view(np.int64)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, numbers, ids, sets, made, size = [], [], [], [], [], 0
-        for row, text in enumerate(batch.column(1)):
-            for no, part in enumerate((text.as_py() or "").split("\n")):
-                words = part.encode().lower().split()
-                if len(words) >= SHINGLE:
-                    rows.append(row)
-                    numbers.append(no)
-                    ids.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                    sets.append(shingles(words))
-                    size += len(words)
-            if size > 100_000:
-                made.append(bands(sets))
-                sets, size = [], 0
-        made.append(bands(sets))
-        keys = np.concatenate(made)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(ids, np.uint64).view(np.int64)), lists, batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32())],
-            names=["id", "keys", "doc_id", "no"],
-        )
+        rows: list[int] = []
+        held: list[bytes] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            lines_of = np.array([x.count(b"\n") + 1 for x in held])
+            found = cut_up(b"\n".join(held))
+            text = np.searchsorted(np.cumsum(lines_of), found.line, side="right")
+            of_text = np.bincount(text, minlength=len(held))
+            no = np.arange(len(text)) - (np.cumsum(of_text) - of_text)[text]
+            keys = bands(found.shingles, found.sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            take = pa.array(np.array(rows)[text])
+            columns = [pa.array(found.ids.view(np.int64)), lists, batch.column(0).take(take), batch.column(1).take(take), pa.array(no.astype(np.int32)), pa.array(found.n_words.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "keys", "doc_id", "text_id", "no", "n_words"])
+
+        for row, text in enumerate(batch.column(2)):
+            if text := text.as_py():
+                rows.append(row)
+                held.append(text.encode().translate(FOLD))
+                size += len(held[-1])
+                if size > BLOCK:
+                    yield done()
+                    rows, held, size = [], [], 0
+        if held:
+            yield done()
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """id, keys, doc_id, no of every paragraph that is long enough."""
+    """id, keys, doc_id, text_id (xxhash64 of the text), no and n_words of every paragraph."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_occurrences, f"id bigint, keys array<bigint>, doc_id {kind}, no int")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    return rows.mapInArrow(_occurrences, f"id bigint, keys array<bigint>, doc_id {kind}, text_id bigint, no int, n_words int")
 
 
-def _content(part: str) -> bytes:
-    return np.unique(np.array(shingles(part.encode().lower().split()), np.uint64)).tobytes()
+def _contents(text: str, numbers: list[int]) -> list[bytes | None]:
+    found = cut_up(text.encode().translate(FOLD))
+    end = np.cumsum(found.sizes)
+    return [np.unique(found.shingles[end[i] - found.sizes[i] : end[i]]).tobytes() if i < len(end) else None for i in numbers]
 
 
 def _prepared(content: bytes, band: int, found: int) -> np.ndarray:
@@ -104,29 +172,82 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (small + large - both) - 1e-9
 
 
-def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, no, keep_doc, keep_no, class_id: the paragraphs to remove and the one that stays instead."""
+def matrix(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets are ``similar``, all pairs at once."""
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = np.flatnonzero(counts > 1)
+    number = np.full(len(counts), -1)
+    number[shared] = np.arange(len(shared))
+    at = number[column]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, len(shared), 4096):
+        some = (at >= low) & (at < low + 4096)
+        has = np.zeros((len(sets), min(4096, len(shared) - low)), np.float32)
+        has[row[some], at[some] - low] = 1
+        both += has @ has.T
+    return both >= SIMILAR * (sizes[:, None] + sizes[None, :] - both) - 1e-3
+
+
+def passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text_id, no, n_words, class_id, class_size (occurrences), keep_doc, keep_no and kept, for every paragraph of a passage."""
     found = scratch.save(occurrences(docs), "occurrences")
-    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    place = F.struct("doc_id", "text_id", "no")
+    distinct = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     distinct = scratch.save(distinct, "distinct")
     banded = distinct.select("id", F.posexplode("keys").alias("band", "key")).select("band", "key", "id", F.lit(0).cast("bigint").alias("print"))
     members = scratch.save(units.meeting(banded), "members")
-    first = members.select("id").distinct().join(distinct, "id").select("id", "first.doc_id", "first.no")
-    sets = units.contents(docs, first, _content, scratch)
-    edges = units.verified(members, sets, _prepared, similar, scratch)
-    return units.repeated(found, units.keepers(distinct, edges, scratch))
+    first = members.select("id").distinct().join(distinct, "id").select("id", "first.*")
+    sets = units.contents(docs, first, _contents, scratch, by_text=True)
+    edges = units.verified(members, sets, _prepared, similar, scratch, matrix=matrix)
+    kept = units.keepers(distinct, edges, scratch)
+    for name in ("distinct", "members", "contents"):
+        scratch.drop(name)
+    # classes of one document alone don't repeat
+    document = [F.col(f"keep.{c}").eqNullSafe(F.col(f"last.{c}")) for c in ("doc_id", "text_id")]
+    kept = kept.where(~(document[0] & document[1]))
+    rows = found.select("id", "doc_id", "text_id", "no", "n_words").join(kept.select("id", "class_id", "keep", "size"), "id")
+    rows = rows.repartition("doc_id", "text_id").dropDuplicates(["doc_id", "text_id", "no"])
+    text = ["doc_id", "text_id"]
+    rows = rows.withColumn("run", F.col("no") - F.row_number().over(W.partitionBy(*text).orderBy("no")))
+    rows = rows.withColumn("words", F.sum("n_words").over(W.partitionBy(*text, "run"))).where(F.col("words") >= PASSAGE)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_id") == F.col("keep.text_id")) & (F.col("no") == F.col("keep.no"))
+    return rows.select(
+        "doc_id", "text_id", "no", F.col("n_words").cast("bigint").alias("n_words"), "class_id", F.col("size").alias("class_size"),
+        F.col("keep.doc_id").alias("keep_doc"), F.col("keep.no").alias("keep_no"), stays.alias("kept"),
+    )
+
+
+def without_units(text: str, numbers: set[int]) -> str | None:
+    """``text`` without the paragraphs of these numbers and the space or line end behind each; None if no word is left."""
+    data = text.encode()
+    found = cut_up(data.translate(FOLD))
+    # a paragraph reaches to the next one of its line, or to the end of the line
+    out, at = [], 0
+    for i in sorted(n for n in numbers if n < len(found.ids)):
+        begin, line_end = int(found.begin[i]), data.find(b"\n", int(found.end[i]))
+        if i + 1 < len(found.ids) and found.line[i + 1] == found.line[i]:
+            end = int(found.begin[i + 1])
+        else:
+            end = len(data) if line_end < 0 else line_end + 1
+        out.append(data[at:begin])
+        at = end
+    left = b"".join([*out, data[at:]])
+    return left.decode() if left.translate(FOLD).split() else None
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, its text without near-duplicate paragraphs, and units.REMOVED (how many)."""
+    """All columns of ``docs``, its text without repeated passages but for the occurrence that stays, and last how many paragraphs it lost (units.REMOVED, with underscores if ``docs`` has that)."""
     scratch = Scratch(docs.sparkSession, "paragraphs")
-    return units.without(docs, duplicates(docs, scratch), scratch)
+    removed = passages(docs, scratch).where(~F.col("kept"))
+    return units.without(docs, removed, scratch, without_units, by_text=True)
 
 
 def query_rows(docs: DataFrame) -> DataFrame:
-    """A row for each paragraph that repeats an earlier one: where it stands and what stays instead."""
-    rows = duplicates(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "paragraphs"))
-    return rows.select("doc_id", F.col("no").alias("paragraph"), F.col("keep_doc").alias("keep_doc_id"), F.col("keep_no").alias("keep_paragraph"), "class_id")
+    """A row for each paragraph of a repeated passage: where it stands, its class, which occurrence stays and whether it is that one."""
+    rows = passages(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "paragraphs"))
+    return rows.select("doc_id", F.col("no").alias("paragraph"), "n_words", "class_id", "class_size", F.col("keep_doc").alias("keep_doc_id"), F.col("keep_no").alias("keep_paragraph"), "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+#: Spark's switch that a finished query's shuffle files go.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_root: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
@@ -56,13 +58,16 @@ class Scratch:
         _written.append((spark, self.path))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the stored table.
-
-        Shuffle files of what led to it are of no more use; Spark removes them
-        when the driver collects its garbage, which would else seldom happen.
-        """
-        df.write.parquet(f"{self.path}/{name}")
-        self.spark.sparkContext._jvm.System.gc()
+        """Write ``df`` once and return the stored table. Spark removes the shuffle files of what led to it, which are of no more use."""
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.path}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:

@@ -82,7 +82,7 @@ def names(data: np.ndarray, length: int) -> np.ndarray:
     return x
 
 
-def _window_least(x: np.ndarray, width: int) -> np.ndarray:
+def window_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by running minima within blocks."""
     count = len(x) - width + 1
     blocks = -(-len(x) // width)
@@ -101,7 +101,7 @@ def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     grams = names(data, GRAM)
     low = np.uint64((1 << PLACE) - 1)
     tagged = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (_window_least(tagged, LENGTH - GRAM + 1) & low).astype(np.int64)
+    anchor = (window_least(tagged, LENGTH - GRAM + 1) & low).astype(np.int64)
     text = np.repeat(np.arange(len(starts)), ends - starts)
     at = np.arange(len(anchor))
     good = np.flatnonzero(at + LENGTH <= ends[text[: len(at)]]) if len(starts) else at[:0]

@@ -1,12 +1,16 @@
 """Near-duplicate lines and paragraphs: what line and paragraph dedup share.
 
-A unit is a part of a text between line ends; its number counts from 0. Equal
-units (after normalising) share an id, and everything but the first and the last
-step works on distinct units. Candidates are units that meet under a key. The
-members of a key get their contents, and a spanning forest of the verified links
-comes out of each key, so that a group of n variants gives n - 1 rows and not
-n * n. A key with more than CELL members is dealt into chunks, and each pair of
-chunks is a cell of its own, so that no task gathers more than two chunks.
+A unit is a part of a text; its number counts from 0. Equal units (after
+normalising) share an id, and everything but the first and the last step works
+on distinct units. Candidates are units that meet under a key. The members of a
+key get their contents, and a spanning forest of the verified links comes out
+of each key, so that a group of n variants gives n - 1 rows and not n * n.
+
+A key with more than CELL members is dealt into chunks. First each chunk is
+compared with itself and with chunk 0, which joins variants of one text in work
+that grows with their number. Only members that are then still outside the
+key's largest group are compared with all others, chunk by chunk, so that no
+link is lost and no task gathers more than two chunks.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,100 +29,126 @@ from evq.llm.scratch import Scratch
 
 #: Members of a chunk.
 CELL = 1024
-#: The column that tells how many units a document has lost; no table has one of that name.
+#: Rows of one key that are held at once; a longer key passes without a look at its members.
+HELD = 1 << 16
+#: The column that tells how many units a document has lost; ``without`` adds underscores while the table has one of that name.
 REMOVED = "__removed"
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def meeting(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """band, key, id, print of the rows that meet another under their key; ``near`` tells which of the rows of sorted keys (numbers, prints) have a partner."""
+    """band, key, id, print of the rows that meet another under their key; ``near`` tells which of the rows of sorted keys (numbers, prints) have a partner. Keys of over HELD rows are read as a stream and keep all their rows."""
     rows = rows.select("band", "key", "id", "print").repartition("band", "key").sortWithinPartitions("band", "key")
 
+    def out(columns: list[np.ndarray], take: np.ndarray | slice) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[take]) for x in columns], names=["band", "key", "id", "print"])
+
+    def settled(columns: list[np.ndarray]) -> pa.RecordBatch:
+        """Of whole keys."""
+        band, key, ids, prints = columns
+        new = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1
+        sizes = np.diff(np.concatenate([[0], new, [len(ids)]]))
+        keep = np.repeat(sizes > 1, sizes)
+        if near is not None:
+            some = np.flatnonzero(keep)
+            keep[some] = near(np.repeat(np.arange(len(sizes)), sizes)[some], prints[some])
+        return out(columns, np.flatnonzero(keep))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int32)] + [np.empty(0, np.int64)] * 3
-        for batch in _and_end(batches):
-            if batch is not None:
-                rest = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(rest, batch.columns)]
-            band, key, ids, prints = rest
-            if not len(ids):
+        held: list[list[np.ndarray]] = []  # rows of the last key, which may go on
+        size, passing = 0, None  # rows held, and a long key whose rows pass
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
                 continue
-            new = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1
-            bounds = np.concatenate([[0], new, [len(ids)]])
-            if batch is not None:  # the last key may go on in the next batch
-                rest = [a[bounds[-2] :] for a in rest]
-                bounds = bounds[:-1]
-            sizes = np.diff(bounds)
-            keep = np.repeat(sizes > 1, sizes)
-            if near is not None:
-                some = np.flatnonzero(keep)
-                keep[some] = near(np.repeat(np.arange(len(sizes)), sizes)[some], prints[some])
-            take = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (band, key, ids, prints)], names=["band", "key", "id", "print"])
+            if passing is not None:
+                same = (columns[0] == passing[0]) & (columns[1] == passing[1])
+                n = int(np.argmin(same)) if not same.all() else len(same)
+                yield out(columns, slice(0, n))
+                columns = [c[n:] for c in columns]
+                if not len(columns[0]):
+                    continue
+                passing = None
+            last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
+            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if held and (cut or held[0][0][0] != columns[0][0] or held[0][1][0] != columns[1][0]):
+                yield settled([np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns])])
+                held, size = [], 0
+            elif cut:
+                yield settled([c[:cut] for c in columns])
+            held.append([c[cut:] for c in columns])
+            size += len(held[-1][0])
+            if size > HELD:
+                passing = held[0][0][0], held[0][1][0]
+                yield out([np.concatenate(x) for x in zip(*held)], slice(None))
+                held, size = [], 0
+        if held:
+            yield settled([np.concatenate(x) for x in zip(*held)])
 
     return rows.mapInArrow(run, "band int, key bigint, id bigint, print bigint")
 
 
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def _cells(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """``members`` (band, key, id, print) with a cell; the members of a large key stand in a cell for each other chunk."""
-    large = members.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    large = scratch.save(large.select("band", "key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), "large-keys")
-    rows = members.join(large, ["band", "key"], "left")
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != chunk), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk))
-    return rows.select("band", "key", "id", "print", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("cell"))
-
-
-def forest(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool]) -> Iterator[tuple[int, int]]:
-    """Verified links that connect what all verified links connect. A new member is held against the others until one of each group is similar."""
-    groups: list[list[int]] = []
-    for i in range(len(ids)):
-        apart, joined = [], [i]
-        for group in groups:
-            hit = next((j for j in group if similar(contents[i], contents[j])), None)
+def forest(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], parts: list[int]) -> Iterator[tuple[int, int]]:
+    """Verified links that connect what all verified links connect. A member is held against the others until one of each group is similar; those that share a part are one group from the start."""
+    groups: dict[int, list[int]] = {}
+    for i, part in enumerate(parts):
+        groups.setdefault(part, []).append(i)
+    made: list[list[int]] = []
+    for some in groups.values():
+        apart = []
+        for group in made:
+            hit = next(((i, j) for i in some for j in group if similar(contents[i], contents[j])), None)
             if hit is None:
                 apart.append(group)
             else:
-                yield ids[i], ids[hit]
-                joined += group
-        groups = [*apart, joined]
+                yield ids[hit[0]], ids[hit[1]]
+                some = some + group
+        made = [*apart, some]
 
 
-def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], prints: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], parts: list[int], prints: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
     """As ``forest``, of the links between members with ``close`` prints."""
-    root = np.arange(len(ids))
+    root = np.unique(parts, return_inverse=True)[1]
     for i in range(1, len(ids)):
-        for j in np.flatnonzero(close(prints[:i], prints[i : i + 1])):
+        for j in np.flatnonzero(close(prints[:i], prints[i : i + 1]) & (root[:i] != root[i])):
             if root[i] != root[j] and similar(contents[i], contents[j]):
                 yield ids[i], ids[j]
                 root[root == root[i]] = root[j]
 
 
-def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes, int, int], Any], similar: Callable[[Any, Any], bool], scratch: Scratch, close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """src, dst: verified links among the ``members`` (band, key, id, print) of each key; ``contents`` has id and content (binary), and ``prepare`` makes of content, band and print what ``similar`` compares. With ``close`` only members with close prints are compared."""
-    rows = _cells(members, scratch).join(contents, "id").select("band", "key", "cell", "id", "print", "content")
+def _solved(rows: DataFrame, contents: DataFrame, prepare, similar, close, matrix) -> DataFrame:
+    """src, dst of the links in each cell of ``rows`` (band, key, cell, id, print, part) between members of different parts."""
+    rows = rows.join(contents, "id").select("band", "key", "cell", "id", "print", "part", "content")
     rows = rows.repartition("band", "key", "cell").sortWithinPartitions("band", "key", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, prints, held = None, [], [], []
+        at, ids, prints, parts, held = None, [], [], [], []
 
         def done() -> pa.RecordBatch:
             made = [prepare(x, at[0], p) for x, p in zip(held, prints)]
-            edges = list(forest(ids, made, similar) if close is None else sparse(ids, made, similar, np.array(prints), close))
+            if matrix is not None and len(ids) > 32:
+                edges = list(_spanning(ids, matrix(made), parts))
+            else:
+                edges = list(forest(ids, made, similar, parts) if close is None else sparse(ids, made, similar, parts, np.array(prints), close))
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
         for batch in batches:
             keys = list(zip(*(c.to_pylist() for c in batch.columns[:3])))
-            for key, unit, found, content in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+            for key, unit, found, part, content in zip(keys, *(batch.column(i).to_pylist() for i in (3, 4, 5)), batch.column(6)):
                 if key != at:
                     if len(ids) > 1:
                         yield done()
-                    at, ids, prints, held = key, [], [], []
+                    at, ids, prints, parts, held = key, [], [], [], []
                 ids.append(unit)
                 prints.append(found)
+                parts.append(part)
                 held.append(content.as_py())
         if len(ids) > 1:
             yield done()
@@ -126,18 +156,60 @@ def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes,
     return rows.mapInArrow(run, "src bigint, dst bigint")
 
 
-def contents(docs: DataFrame, first: DataFrame, content: Callable[[str], bytes], scratch: Scratch) -> DataFrame:
-    """id, content of the units that stand first at ``first`` (id, doc_id, no)."""
-    wanted = first.groupBy(F.col("doc_id").alias("w_doc")).agg(F.collect_list(F.struct("no", "id")).alias("units"))
+def _spanning(ids: list[int], linked: np.ndarray, parts: list[int]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links of a symmetric matrix."""
+    waiting = np.ones(len(ids), bool)
+    for i in range(len(ids)):
+        todo = [i] if waiting[i] else []
+        waiting[i] = False
+        while todo:
+            a = todo.pop()
+            for b in np.flatnonzero(linked[a] & waiting):
+                waiting[b] = False
+                todo.append(int(b))
+                if parts[a] != parts[b]:
+                    yield ids[a], ids[b]
+
+
+def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes, int, int], Any], similar: Callable[[Any, Any], bool], scratch: Scratch, close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, matrix: Callable[[list[Any]], np.ndarray] | None = None) -> DataFrame:
+    """src, dst: verified links among the ``members`` (band, key, id, print) of each key; ``contents`` has id and content (binary), and ``prepare`` makes of content, band and print what ``similar`` compares. With ``close`` only members with close prints are compared; ``matrix`` tells all similar pairs of many contents at once."""
+    large = members.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    large = scratch.save(large.select("band", "key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), "large-keys")
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    cells = F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).when(chunk == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
+    rows = members.join(large, ["band", "key"], "left").select("band", "key", "id", "print", F.col("id").alias("part"), F.explode(cells).alias("cell"))
+    links = scratch.save(_solved(rows, contents, prepare, similar, close, matrix), "links")
+    if large.isEmpty():
+        return links
+    parts = scratch.save(components(links, scratch), "large-parts").select(F.col("node").alias("id"), "component")
+    rows = members.join(large, ["band", "key"]).join(parts, "id", "left").select("band", "key", "id", "print", F.coalesce("component", "id").alias("part"))
+    rows = scratch.save(rows, "large-members")
+    sizes = rows.groupBy("band", "key", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = sizes.select("band", "key", F.col("most.part").alias("main"), F.ceil(F.col("most.n") / CELL).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most.n")) / CELL).cast("int").alias("others"))
+    rows = rows.join(scratch.save(sizes, "large-sizes"), ["band", "key"])
+    # cell (i, j): chunk i of the members outside the main part, and chunk j of those (j < others) or of the main part
+    wide = F.col("mains") + F.col("others")
+    i, j = (F.pmod(F.xxhash64("id"), F.col(c)).cast("int") for c in ("others", "mains"))
+    outside = F.transform(F.sequence(F.lit(0), wide - 1), lambda k: F.when(k < i, k * wide + i).otherwise(i * wide + k))
+    inside = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: k * wide + F.col("others") + j)
+    rows = rows.select("band", "key", "id", "print", "part", F.explode(F.when(F.col("part") == F.col("main"), inside).otherwise(outside)).alias("cell"))
+    return links.union(scratch.save(_solved(rows, contents, prepare, similar, close, matrix), "large-links"))
+
+
+def contents(docs: DataFrame, first: DataFrame, content: Callable[[str, list[int]], list[bytes | None]], scratch: Scratch, by_text: bool = False) -> DataFrame:
+    """id, content of the units that stand first at ``first`` (id, doc_id, no); with ``by_text`` also text_id, xxhash64 of the text. ``content`` gives the contents of the numbers of a text; None where it has no such unit."""
+    wanted = first.groupBy(F.col("doc_id").alias("w_doc"), (F.col("text_id") if by_text else F.lit(0)).alias("w_text")).agg(F.collect_list(F.struct("no", "id")).alias("units"))
     wanted = scratch.save(wanted, "wanted").hint("shuffle_hash")
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc"))).select("text", "units")
+    on = F.col("doc_id").eqNullSafe(F.col("w_doc"))
+    rows = docs.select("doc_id", "text").join(wanted, on & F.xxhash64("text").eqNullSafe(F.col("w_text")) if by_text else on).select("text", "units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):
-                parts = (batch.column(0)[at].as_py() or "").split("\n")
                 units = batch.column(1)[at].as_py()
-                found = [(u["id"], content(parts[u["no"]])) for u in units if u["no"] < len(parts)]
+                made = zip((u["id"] for u in units), content(batch.column(0)[at].as_py() or "", [u["no"] for u in units]))
+                found = [x for x in made if x[1] is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["id", "content"])
 
     # a document that stands twice gives its units twice
@@ -145,45 +217,46 @@ def contents(docs: DataFrame, first: DataFrame, content: Callable[[str], bytes],
 
 
 def keepers(distinct: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, keep_doc, keep_no, class_id: for every id that occurs twice or is linked, the first occurrence of its group.
+    """id, class_id, keep, last, size: for every id that occurs twice or is linked, the first and the last occurrence of its group and how many there are.
 
-    ``distinct`` has id, first (a struct doc_id, no) and n. An unlinked id is its own class.
+    ``distinct`` has id, n, first and last (structs that order the occurrences). An unlinked id is its own class.
     """
-    parts = scratch.save(components(scratch.save(links, "links"), scratch), "parts")
+    parts = scratch.save(components(links, scratch), "parts")
     linked = distinct.join(parts.withColumnRenamed("node", "id"), "id", "left")
-    linked = linked.where((F.col("n") > 1) | F.col("component").isNotNull()).select("id", "first", F.coalesce("component", "id").alias("class_id"))
+    linked = linked.where((F.col("n") > 1) | F.col("component").isNotNull()).select("id", "n", "first", "last", F.coalesce("component", "id").alias("class_id"))
     linked = scratch.save(linked, "linked")
-    least = scratch.save(linked.groupBy(F.col("class_id").alias("c")).agg(F.min("first").alias("keep")), "least")
-    out = linked.join(least, F.col("class_id") == F.col("c")).select("id", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.no").alias("keep_no"), "class_id")
+    least = scratch.save(linked.groupBy(F.col("class_id").alias("c")).agg(F.min("first").alias("keep"), F.max("last").alias("last"), F.sum("n").alias("size")), "least")
+    out = linked.select("id", "class_id").join(least, F.col("class_id") == F.col("c")).select("id", "class_id", "keep", "last", "size")
     return scratch.save(out, "keepers")
 
 
 def repeated(occurrences: DataFrame, kept: DataFrame) -> DataFrame:
     """doc_id, no, keep_doc, keep_no, class_id of the ``occurrences`` (id, doc_id, no) that aren't the one that is kept."""
     rows = occurrences.select("id", "doc_id", "no").join(kept, "id")
-    same = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("no") == F.col("keep_no"))
-    return rows.where(~same).select("doc_id", "no", "keep_doc", "keep_no", "class_id")
+    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("no") == F.col("keep.no"))
+    return rows.where(~same).select("doc_id", "no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.no").alias("keep_no"), "class_id")
 
 
-def without(docs: DataFrame, removed: DataFrame, scratch: Scratch) -> DataFrame:
-    """All columns of ``docs``, its text without the ``removed`` units (doc_id, no), and ``REMOVED`` (how many of its own); a text that loses all its words is null."""
-    gone = removed.groupBy(F.col("doc_id").alias("__gone_doc")).agg(F.collect_set("no").alias("__gone"))
+def without(docs: DataFrame, removed: DataFrame, scratch: Scratch, cut: Callable[[str, set[int]], str | None], by_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, its text as ``cut`` leaves it without the ``removed`` units (doc_id, no; with ``by_text`` also text_id), and as the last column, REMOVED or ``fresh``, how many it has lost."""
+    key, lost, count = (fresh(docs.columns, x) for x in ("__gone_key", "__gone", REMOVED))
+    ids = ["doc_id", "text_id"] if by_text else ["doc_id"]
+    gone = removed.groupBy(F.struct(*ids).alias(key)).agg(F.collect_set("no").alias(lost))
     gone = scratch.save(gone, "gone").hint("shuffle_hash")
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_doc"]), "left").select(*(docs[c] for c in docs.columns), "__gone")
-    at, names = docs.columns.index("text"), [*docs.columns, REMOVED]
+    texts: list[Column] = [docs["doc_id"], F.xxhash64(docs["text"])][: len(ids)]
+    on = [a.eqNullSafe(gone[key][x]) for a, x in zip(texts, ids)]
+    rows = docs.join(gone, on[0] & on[1] if by_text else on[0], "left").select(*(docs[c] for c in docs.columns), lost)
+    at, names = docs.columns.index("text"), [*docs.columns, count]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, lost in zip(batch.column(at), batch.column(len(names) - 1)):
-                text, lost = text.as_py(), set(lost.as_py() or ())
-                if lost and text is not None:
-                    left = [x for i, x in enumerate(text.split("\n")) if i not in lost]
-                    text = "\n".join(left) if any(x.split() for x in left) else None
-                texts.append(text)
-                counts.append(len(lost))
+            for text, numbers in zip(batch.column(at), batch.column(len(names) - 1)):
+                text, numbers = text.as_py(), set(numbers.as_py() or ())
+                texts.append(cut(text, numbers) if numbers and text is not None else text)
+                counts.append(len(numbers))
             columns = list(batch.columns[: len(names) - 1])
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=names)
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(REMOVED, T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())]))

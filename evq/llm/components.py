@@ -29,8 +29,9 @@ def _small(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node), for the nodes of ``edges`` (src, dst, bigint). Loops and repeated edges do no harm."""
+    scratch = Scratch(edges.sparkSession, "components")
     src, dst = F.col("src"), F.col("dst")
     now = edges.where(src != dst).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
     now, before, turn = scratch.save(now, "edges-0"), None, 0

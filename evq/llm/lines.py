@@ -322,16 +322,16 @@ def without_lines(text: str, numbers: set[int]) -> str | None:
 def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, no, keep_doc, keep_no, class_id: the lines to remove and the one that stays instead."""
     found = scratch.save(occurrences(docs), "occurrences")
-    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.max(F.struct("doc_id", "no")).alias("last"), F.count("*").alias("n"), F.min("print").alias("print"), F.first("keys").alias("keys"))
+    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "no")).alias("low"), F.count("*").alias("n"), F.min("print").alias("print"), F.first("keys").alias("keys"))
     distinct = scratch.save(distinct, "distinct")
     banded = distinct.select("id", "print", F.posexplode("keys").alias("band", "k")).select("band", F.col("k").cast("bigint").alias("key"), "id", "print")
     members = units.meeting(banded, partnered)
     members = scratch.save(members, "members")
-    first = members.select("id").distinct().join(distinct, "id").select("id", "first.doc_id", "first.no")
+    first = members.select("id").distinct().join(distinct, "id").select("id", "low.doc_id", "low.no")
     texts = units.contents(docs, first, _contents, scratch).join(distinct.select("id", "keys"), "id")
     texts = texts.select("id", F.concat(F.encode(F.concat_ws(",", F.col("keys").cast("array<string>")), "utf-8"), F.lit(b"\n"), "content").alias("content"))
     edges = units.verified(members, texts, _prepared, _first_linked, scratch, close)
-    return units.repeated(found, units.keepers(distinct, edges, scratch))
+    return units.repeated(found, units.classes(distinct.select("id", "n", "low", F.col("low").alias("high")), edges, scratch))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -50,6 +50,7 @@ PASSAGE = 35
 #: Bytes of text that are cut up at a time.
 BLOCK = 1 << 20
 SEED = 42
+_KEYS = [f"key{k}" for k in range(BANDS)]
 _random = np.random.default_rng(SEED)
 _TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -129,10 +130,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of_text = np.bincount(text, minlength=len(held))
             no = np.arange(len(text)) - (np.cumsum(of_text) - of_text)[text]
             keys = bands(found.shingles, found.sizes)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             take = pa.array(np.array(rows)[text])
-            columns = [pa.array(found.ids.view(np.int64)), lists, batch.column(0).take(take), batch.column(1).take(take), pa.array(no.astype(np.int32)), pa.array(found.n_words.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, names=["id", "keys", "doc_id", "text_id", "no", "n_words"])
+            columns = [pa.array(found.ids.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(no.astype(np.int32)), pa.array(found.n_words.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(keys[:, k]) for k in range(BANDS))], names=["id", "doc_id", "text_id", "no", "n_words", *_KEYS])
 
         for row, text in enumerate(batch.column(2)):
             if text := text.as_py():
@@ -147,10 +147,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """id, keys, doc_id, text_id (xxhash64 of the text), no and n_words of every paragraph."""
+    """id, doc_id, text_id (xxhash64 of the text), no, n_words and the bands' keys of every paragraph."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    return rows.mapInArrow(_occurrences, f"id bigint, keys array<bigint>, doc_id {kind}, text_id bigint, no int, n_words int")
+    return rows.mapInArrow(_occurrences, f"id bigint, doc_id {kind}, text_id bigint, no int, n_words int, {', '.join(f'{k} bigint' for k in _KEYS)}")
 
 
 def _contents(text: str, numbers: list[int]) -> list[bytes | None]:
@@ -193,28 +193,30 @@ def matrix(sets: list[np.ndarray]) -> np.ndarray:
 def passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_id, no, n_words, class_id, class_size (occurrences), keep_doc, keep_no and kept, for every paragraph of a passage."""
     found = scratch.save(occurrences(docs), "occurrences")
-    place = F.struct("doc_id", "text_id", "no")
-    distinct = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    document = F.xxhash64("doc_id", "text_id")
+    # any occurrence of a paragraph will do to fetch it, so that rows are hashed and not sorted
+    distinct = found.groupBy("id").agg(F.min(document).alias("low"), F.max(document).alias("high"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "text_id", "no", *_KEYS)))
     distinct = scratch.save(distinct, "distinct")
-    banded = distinct.select("id", F.posexplode("keys").alias("band", "key")).select("band", "key", "id", F.lit(0).cast("bigint").alias("print"))
-    members = scratch.save(units.meeting(banded), "members")
-    first = members.select("id").distinct().join(distinct, "id").select("id", "first.*")
+    banded = distinct.select("id", F.inline(F.array(*(F.struct(F.lit(i).alias("band"), F.col(k).alias("key")) for i, k in enumerate(_KEYS)))))
+    members = scratch.save(units.meeting(banded.select("band", "key", "id", F.lit(0).cast("bigint").alias("print"))), "members")
+    first = members.select("id").distinct().join(distinct.select("id", "doc_id", "text_id", "no"), "id")
     sets = units.contents(docs, first, _contents, scratch, by_text=True)
     edges = units.verified(members, sets, _prepared, similar, scratch, matrix=matrix)
-    kept = units.keepers(distinct, edges, scratch)
-    for name in ("distinct", "members", "contents"):
+    # what stands in two documents, and classes that do
+    kept = units.classes(distinct.select("id", "n", "low", "high"), edges, scratch).where("low <> high").select("id", "class_id", "size")
+    rows = scratch.save(found.select("id", "doc_id", "text_id", "no", "n_words").join(kept, "id").drop("id"), "repeated")
+    for name in ("occurrences", "distinct", "members", "contents"):
         scratch.drop(name)
-    # classes of one document alone don't repeat
-    document = [F.col(f"keep.{c}").eqNullSafe(F.col(f"last.{c}")) for c in ("doc_id", "text_id")]
-    kept = kept.where(~(document[0] & document[1]))
-    rows = found.select("id", "doc_id", "text_id", "no", "n_words").join(kept.select("id", "class_id", "keep", "size"), "id")
-    rows = rows.repartition("doc_id", "text_id").dropDuplicates(["doc_id", "text_id", "no"])
+    least = rows.groupBy(F.col("class_id").alias("c")).agg(F.min(F.struct("doc_id", "text_id", "no")).alias("keep"))
+    least = scratch.save(least, "least")
     text = ["doc_id", "text_id"]
+    rows = rows.repartition(*text).dropDuplicates([*text, "no"])
     rows = rows.withColumn("run", F.col("no") - F.row_number().over(W.partitionBy(*text).orderBy("no")))
     rows = rows.withColumn("words", F.sum("n_words").over(W.partitionBy(*text, "run"))).where(F.col("words") >= PASSAGE)
+    rows = rows.join(least, F.col("class_id") == F.col("c"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_id") == F.col("keep.text_id")) & (F.col("no") == F.col("keep.no"))
     return rows.select(
-        "doc_id", "text_id", "no", F.col("n_words").cast("bigint").alias("n_words"), "class_id", F.col("size").alias("class_size"),
+        *text, "no", F.col("n_words").cast("bigint").alias("n_words"), "class_id", F.col("size").alias("class_size"),
         F.col("keep.doc_id").alias("keep_doc"), F.col("keep.no").alias("keep_no"), stays.alias("kept"),
     )
 

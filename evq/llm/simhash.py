@@ -212,7 +212,7 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = scratch.save(fingerprints(docs), "fingerprints")
     prints = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     edges = scratch.save(links(prints.select("fp")), "links")
-    parts = scratch.save(components(edges, scratch), "components")
+    parts = scratch.save(components(edges), "components")
     joined = prints.join(parts.withColumnRenamed("node", "fp"), "fp")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = scratch.save(joined.join(scratch.save(least, "least"), "component").select("fp", "component_id"), "linked")

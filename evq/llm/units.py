@@ -181,7 +181,7 @@ def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes,
     links = scratch.save(_solved(rows, contents, prepare, similar, close, matrix), "links")
     if large.isEmpty():
         return links
-    parts = scratch.save(components(links, scratch), "large-parts").select(F.col("node").alias("id"), "component")
+    parts = scratch.save(components(links), "large-parts").select(F.col("node").alias("id"), "component")
     rows = members.join(large, ["band", "key"]).join(parts, "id", "left").select("band", "key", "id", "print", F.coalesce("component", "id").alias("part"))
     rows = scratch.save(rows, "large-members")
     sizes = rows.groupBy("band", "key", "part").agg(F.count("*").alias("n"))
@@ -216,25 +216,24 @@ def contents(docs: DataFrame, first: DataFrame, content: Callable[[str, list[int
     return scratch.save(rows.mapInArrow(run, "id bigint, content binary"), "contents").dropDuplicates(["id"])
 
 
-def keepers(distinct: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, class_id, keep, last, size: for every id that occurs twice or is linked, the first and the last occurrence of its group and how many there are.
+def classes(distinct: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, class_id, low, high, size: for every id that occurs twice or is linked, the least and the greatest place of its group and how many occurrences there are.
 
-    ``distinct`` has id, n, first and last (structs that order the occurrences). An unlinked id is its own class.
+    ``distinct`` has id, n, low and high (any type that has an order). An unlinked id is its own class.
     """
-    parts = scratch.save(components(links, scratch), "parts")
+    parts = scratch.save(components(links), "parts")
     linked = distinct.join(parts.withColumnRenamed("node", "id"), "id", "left")
-    linked = linked.where((F.col("n") > 1) | F.col("component").isNotNull()).select("id", "n", "first", "last", F.coalesce("component", "id").alias("class_id"))
+    linked = linked.where((F.col("n") > 1) | F.col("component").isNotNull()).select("id", "n", "low", "high", F.coalesce("component", "id").alias("class_id"))
     linked = scratch.save(linked, "linked")
-    least = scratch.save(linked.groupBy(F.col("class_id").alias("c")).agg(F.min("first").alias("keep"), F.max("last").alias("last"), F.sum("n").alias("size")), "least")
-    out = linked.select("id", "class_id").join(least, F.col("class_id") == F.col("c")).select("id", "class_id", "keep", "last", "size")
-    return scratch.save(out, "keepers")
+    least = scratch.save(linked.groupBy(F.col("class_id").alias("c")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("size")), "classes")
+    return scratch.save(linked.select("id", "class_id").join(least, F.col("class_id") == F.col("c")).drop("c"), "keepers")
 
 
 def repeated(occurrences: DataFrame, kept: DataFrame) -> DataFrame:
-    """doc_id, no, keep_doc, keep_no, class_id of the ``occurrences`` (id, doc_id, no) that aren't the one that is kept."""
+    """doc_id, no, keep_doc, keep_no, class_id of the ``occurrences`` (id, doc_id, no) that aren't the first (low) of their class."""
     rows = occurrences.select("id", "doc_id", "no").join(kept, "id")
-    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("no") == F.col("keep.no"))
-    return rows.where(~same).select("doc_id", "no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.no").alias("keep_no"), "class_id")
+    same = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("no") == F.col("low.no"))
+    return rows.where(~same).select("doc_id", "no", F.col("low.doc_id").alias("keep_doc"), F.col("low.no").alias("keep_no"), "class_id")
 
 
 def without(docs: DataFrame, removed: DataFrame, scratch: Scratch, cut: Callable[[str, set[int]], str | None], by_text: bool = False) -> DataFrame:

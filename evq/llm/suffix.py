@@ -1,28 +1,32 @@
-"""Exact substring dedup by longest-previous-factor arrays over suffix groups.
+"""Exact substring dedup by longest-previous-factor arrays of suffix buckets.
 
 Whether a byte goes depends on strings of one length only (LENGTH bytes), so
-suffixes need no order beyond their first LENGTH bytes. The order is made in
-parts that fit a task:
-
-1. Winnowing picks, for every LENGTH-byte window, its smallest GRAM-byte gram as
-   the anchor. Equal windows have equal anchors at equal distances, so only
-   windows of one anchor need to be put in order together. Consecutive windows
-   with one anchor make a range.
-2. Ranges whose whole text and place around the anchor are equal are a class.
-   All windows of a class with two ranges repeat. An anchor with one class of
-   one range has no match at all; this is most of a corpus.
-3. For anchors with several classes the classes' first ranges are put in suffix
-   order: prefix doubling names the 8, 16, ... 256 and at last LENGTH byte
-   prefixes of their windows. In a run of equal names, sorted by place, the
-   previous and the next place are the previous and next smaller values of the
-   suffix array, and the longest previous factor of all but the first is LENGTH
-   or more. The windows of an anchor with over CLASSES classes are put in order
-   by a shuffle on their names instead, first in SALTS parts and then between
-   the parts' first windows, and read as a stream, so no task gathers it.
+suffixes need no order beyond their first LENGTH bytes (windows). The suffix
+order is made bucket by bucket:
+
+1. Winnowing picks, for every window, its smallest GRAM-byte gram as the anchor.
+   Equal windows have equal anchors at equal distances (their lead), so the
+   windows of one anchor make a bucket. Consecutive windows with one anchor make
+   a range.
+2. Ranges whose whole text and place around the anchor are equal are a class,
+   which collapses to its first range: the windows of the others have an earlier
+   match there. A bucket of one class needs no order; this is most of a corpus.
+3. The first ranges of a bucket of up to CLASSES classes get a suffix array, by
+   prefix doubling of ranks from the bytes. The previous and next smaller
+   positions in suffix order are the only places where the longest earlier match
+   of a suffix can start; its length there is read off the ranks. That is the
+   longest-previous-factor array, cut at LENGTH. The same over positions from
+   the end gives the longest later match.
+4. A bucket of more classes is split by what its windows must share: those with
+   leads in one band of WIDTHS have all but the band's width of bytes in common
+   places, so they are dealt by those bytes. Sub-ranges that are now equal
+   collapse like classes; buckets that are still large are split by the next
+   width, and at width 1 a bucket is one string. So a passage that a third of all
+   documents share is no single task's work, and no link is lost.
 
 ``keep="first"`` removes what has an earlier match and keeps the first copy;
-``keep="none"`` removes every copy. Grams, classes and names are 64-bit hashes,
-and texts match only if all three agree.
+``keep="none"`` removes every copy. Grams, classes and buckets are told apart by
+64-bit hashes; within a bucket bytes are compared.
 
 Defined cases: a null text is empty; a text of under LENGTH bytes loses
 nothing; rows that share doc_id and text are copies of each other; an empty
@@ -44,10 +48,10 @@ from evq.llm.scratch import Scratch, table
 
 LENGTH = 400
 GRAM = 32
-#: Classes up to which an anchor is put in order by one task: under 7 MB of text and 3.1 million windows.
-CLASSES = 8192
-#: Parts of each name's windows there, so that a passage that a third of all documents share is no single task's work.
-SALTS = 16
+#: Classes up to which a bucket gets its suffix array from one task.
+CLASSES = 1024
+#: Leads of the windows that stay together when a larger bucket is split, once and again.
+WIDTHS = (64, 8, 1)
 #: Bytes of text that are winnowed at a time, and bits that hold a place in them.
 PIECE, PLACE = 1 << 21, 24
 
@@ -150,7 +154,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(gram.view(np.int64)), pa.array(np.array(classes, np.uint64).view(np.int64)),
                      pa.array(first + shift), pa.array(last + shift), pa.array(anchor + shift)],
-                    names=["doc_id", "text_id", "gram", "class", "first", "last", "anchor"],
+                    names=["doc_id", "text_id", "bucket", "class", "first", "last", "anchor"],
                 )
 
 
@@ -159,26 +163,69 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """A row for each range: doc_id, text_id, gram, class, first and last window, anchor (bytes in the text)."""
+    """A row for each range: doc_id, text_id, bucket (its anchor's gram), class, first and last window, anchor (bytes in the text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs).mapInArrow(_anchors, f"doc_id {kind}, text_id bigint, gram bigint, class bigint, first bigint, last bigint, anchor bigint")
-
-
-def lpf_marks(name: np.ndarray, place: np.ndarray, keep_first: bool) -> np.ndarray:
-    """Which suffixes have a match of LENGTH or more: an earlier one if ``keep_first``, else any.
-
-    ``name`` stands for each suffix's first LENGTH bytes, ``place`` for its rank
-    in the corpus. In suffix order with ties by place, a suffix has a previous
-    smaller place with a common prefix of LENGTH exactly if its left neighbour
-    has its name, and a next one if its right neighbour has.
+    return _texts(docs).mapInArrow(_anchors, f"doc_id {kind}, text_id bigint, bucket bigint, class bigint, first bigint, last bigint, anchor bigint")
+
+
+def _ranked(x: np.ndarray) -> np.ndarray:
+    """The rank of each value among all."""
+    order = np.argsort(x)
+    ranks = np.empty(len(x), np.uint32)
+    ranks[order] = np.cumsum(np.concatenate([[0], np.diff(x[order]) != 0]), dtype=np.uint32)
+    return ranks
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """By prefix doubling from 8 bytes (or ``length``, at least 8), the ranks of the strings of 8, 16, ... and at last ``length`` bytes at each place that has so many."""
+    first = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,)).astype(np.uint64)
+    found = [(8, _ranked(first))]
+    while (size := found[-1][0]) < length:
+        step, ranks = min(size, length - size), found[-1][1]
+        pairs = ranks[: len(ranks) - step].astype(np.uint64) << np.uint64(32) | ranks[step:]
+        found.append((size + step, _ranked(pairs)))
+    return found
+
+
+def smaller(values: np.ndarray) -> np.ndarray:
+    """For each value the index of the nearest smaller one to its left, or -1. A larger neighbour is passed by way of its own nearest one so far."""
+    back = np.arange(-1, len(values) - 1)
+    todo = np.arange(len(values))
+    while len(todo := todo[(back[todo] >= 0) & (values[back[todo]] >= values[todo])]):
+        back[todo] = back[back[todo]]
+    return back
+
+
+def common(ranks: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Length of the common prefix of the strings at places a and b, at most ``length``."""
+    whole = ranks[-1][1]
+    same, at = whole[a] == whole[b], np.zeros(len(a), np.int64)
+    for size, rank in reversed(ranks[:-1]):
+        i, j = np.minimum(a + at, len(rank) - 1), np.minimum(b + at, len(rank) - 1)
+        at += np.where((rank[i] == rank[j]) & (i == a + at) & (j == b + at), size, 0)
+    eights = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    i, j = np.minimum(a + at, len(eights) - 1), np.minimum(b + at, len(eights) - 1)
+    apart = eights[i].astype(np.uint64) ^ eights[j].astype(np.uint64)
+    at += sum((apart < np.uint64(1) << np.uint64(8 * k)).astype(np.int64) for k in range(8))
+    return np.where(same, length, np.minimum(at, length))
+
+
+def previous_factors(ranks: list[tuple[int, np.ndarray]], data: np.ndarray, starts: np.ndarray, length: int, reverse: bool = False) -> np.ndarray:
+    """For each of the suffixes at ``starts`` (ascending) the length of its longest match with one before it, or behind it if ``reverse``, cut at ``length``.
+
+    In suffix order such a match starts at the previous or the next smaller
+    position; ``reverse`` counts positions from the end.
     """
-    order = np.lexsort((place, name))
-    same = name[order][1:] == name[order][:-1]
-    marks = np.zeros(len(name), bool)
-    marks[order[1:]] |= same
-    if not keep_first:
-        marks[order[:-1]] |= same
-    return marks
+    order = np.argsort(ranks[-1][1][starts], kind="stable")
+    position = len(starts) - 1 - order if reverse else order
+    left = smaller(position)
+    right = len(order) - 1 - smaller(position[::-1])[::-1]
+    factors = np.zeros(len(starts), np.int64)
+    for other in (left, right):
+        has = np.flatnonzero((other >= 0) & (other < len(order)))
+        match = common(ranks, data, starts[order[has]], starts[order[other[has]]], length)
+        factors[order[has]] = np.maximum(factors[order[has]], match)
+    return factors
 
 
 def _runs(flags: np.ndarray, group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,37 +237,23 @@ def _runs(flags: np.ndarray, group: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return hit[np.concatenate([[0], cut])], hit[np.concatenate([cut, [len(hit)]]) - 1]
 
 
-def _windows(contexts: list[bytes], lead: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of the contexts: the context, the distance from window to anchor, and the name."""
+def _windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of the joined contexts: its context, its number there, and its place."""
     sizes = np.array([len(x) for x in contexts])
-    starts = np.cumsum(sizes) - sizes
-    named = names(np.frombuffer(b"".join(contexts), np.uint8), LENGTH)
     counts = sizes - LENGTH + 1
     context = np.repeat(np.arange(len(contexts)), counts)
     nth = np.arange(len(context)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return context, np.array(lead)[context] - nth, named[starts[context] + nth]
+    return context, nth, (np.cumsum(sizes) - sizes)[context] + nth
 
 
 def _in_order(keep_first: bool):
-    """Rows (gram, rank of the first range, lead, context, doc_id, text_id, first), sorted by gram: the repeated stretches of each first range."""
-
-    def solved(rows: list[tuple]) -> pa.RecordBatch | None:
-        context, lead, name = _windows([r[3] for r in rows], [r[2] for r in rows])
-        grams = np.array([r[0] for r in rows], np.int64)[context]
-        rank = np.array([r[1] for r in rows], np.int64)[context]
-        # windows of different anchors, or at different distances from it, differ; the name says so too
-        name = name * _A ^ (grams.view(np.uint64) * _B) ^ (lead.astype(np.uint64) * _C)
-        a, b = _runs(lpf_marks(name, rank, keep_first), context, -lead)
-        who = context[a]
-        starts = np.array([r[6] for r in rows])[who] + np.array([r[2] for r in rows])[who] - lead[a]
-        return starts, starts + (b - a), who
+    """Rows (bucket, context, doc_id, text_id, first), sorted by bucket and then by the rest in order: the stretches of windows with an earlier match, or with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns):
-                # many anchors are put in order at once; one is never torn
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                # many buckets are put in order at once; one is never torn
                 if len(rows) >= 2048 and rows[-1][0] != row[0]:
                     yield done(rows, batch.schema)
                     rows = []
@@ -229,60 +262,55 @@ def _in_order(keep_first: bool):
             yield done(rows, batch.schema)
 
     def done(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        starts, ends, who = solved(rows)
-        ids = [pa.array([r[k] for r in rows], schema.field(name).type).take(pa.array(who)) for k, name in ((4, "doc_id"), (5, "text_id"))]
-        return pa.RecordBatch.from_arrays([*ids, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "text_id", "first", "last"])
+        contexts = [r[1] for r in rows]
+        context, nth, starts = _windows(contexts)
+        data = np.frombuffer(b"".join(contexts), np.uint8)
+        ranks = suffix_ranks(data, LENGTH)
+        hit = previous_factors(ranks, data, starts, LENGTH) >= LENGTH
+        if not keep_first:
+            hit |= previous_factors(ranks, data, starts, LENGTH, reverse=True) >= LENGTH
+        a, b = _runs(hit, context, nth)
+        who = context[a]
+        begin = np.array([r[4] for r in rows])[who] + nth[a]
+        ids = [pa.array([r[k] for r in rows], schema.field(name).type).take(pa.array(who)) for k, name in ((2, "doc_id"), (3, "text_id"))]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(begin, pa.int64()), pa.array(begin + (b - a), pa.int64())], names=["doc_id", "text_id", "first", "last"])
 
     return run
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as for _in_order: a row for each window, for anchors with many classes."""
-    for whole in batches:
-        for cut in range(0, len(whole), 512):
-            batch = whole.slice(cut, 512)
-            columns = [c.to_pylist() for c in batch.columns]
-            context, lead, name = _windows(columns[3], columns[2])
-            take = pa.array(context)
-            at = np.array(columns[6])[context] + np.array(columns[2])[context] - lead
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(lead), pa.array(name.view(np.int64)), batch.column(4).take(take), batch.column(5).take(take), pa.array(at)], names=["gram", "lead", "name", "doc_id", "text_id", "at"])
-
-
-def _marked(width: int, keep_first: bool):
-    """Rows sorted by their first ``width`` columns and place, read as a stream: hit tells the repeated ones, lone the first of each run."""
+def _split(width: int):
+    """Rows (bucket, lead, context, doc_id, text_id, first): a row for each band of ``width`` leads, in the bucket of what all windows with such leads share."""
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, goes_on = None, False  # the last row waits for the next one; whether it goes on from the one before
-        for batch in _and_end(batches):
-            whole = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
-            if whole is None or not len(whole):
-                continue
-            keys = [c.to_numpy(zero_copy_only=False) for c in whole.columns[:width]]
-            same = np.ones(len(whole) - 1, bool)
-            for k in keys:
-                same &= k[1:] == k[:-1]
-            after = np.concatenate([[goes_on], same])
-            ready = len(whole) if batch is None else len(whole) - 1
-            hit = after.copy()
-            if not keep_first:
-                hit[:-1] |= same
-            if batch is not None:
-                held, goes_on = whole.slice(ready), bool(after[-1])
-            out = whole.slice(0, ready)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(hit[:ready]), pa.array(~after[:ready])], names=[*whole.schema.names, "hit", "lone"])
+        for whole in batches:
+            for cut in range(0, len(whole), 512):
+                batch = whole.slice(cut, 512)
+                take, out = [], []
+                for row, (bucket, lead, context, first) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 5)))):
+                    least = lead - (len(context) - LENGTH)  # of its last window
+                    for band in range(least // width, lead // width + 1):
+                        low, high = max(least, band * width), min(lead, (band + 1) * width - 1)
+                        part = context[lead - high : lead - low + LENGTH]
+                        shared = context[lead - band * width : lead - (band + 1) * width + 1 + LENGTH] if width > 1 else part
+                        key = digest(b"%d %d " % (bucket, band) + shared)
+                        take.append(row)
+                        out.append((key, digest(part, high), first + lead - high, first + lead - low, high, part))
+                keys, names, firsts, lasts, leads, parts = zip(*out)
+                where = pa.array(take)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(names, np.uint64).view(np.int64)), batch.column(3).take(where), batch.column(4).take(where),
+                     pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64()), pa.array(leads, pa.int64()), pa.array(parts, pa.binary())],
+                    names=["bucket", "class", "doc_id", "text_id", "first", "last", "lead", "context"],
+                )
 
     return run
 
 
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
 def _contexts(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """gram, rank, lead, context, doc_id, text_id, first of the ranges ``first``."""
+    """bucket, lead, context, doc_id, text_id, first of the ranges ``first``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = first.groupBy(F.col("doc_id").alias("w_doc"), F.col("text_id").alias("w_text")).agg(F.collect_list(F.struct("gram", "first", "last", "anchor")).alias("ranges"))
+    wanted = first.groupBy(F.col("doc_id").alias("w_doc"), F.col("text_id").alias("w_text")).agg(F.collect_list(F.struct("bucket", "first", "last", "anchor")).alias("ranges"))
     wanted = scratch.save(wanted, "wanted").hint("shuffle_hash")
     # equal rows are one text here
     rows = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_id") == F.col("w_text"))).select("doc_id", "text_id", "text", "ranges")
@@ -294,58 +322,58 @@ def _contexts(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
                 found = batch.column(3)[i].as_py()
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["gram"] for r in found], pa.int64()), pa.array([r["anchor"] - r["first"] for r in found], pa.int64()),
+                    [pa.array([r["bucket"] for r in found], pa.int64()), pa.array([r["anchor"] - r["first"] for r in found], pa.int64()),
                      pa.array([data[r["first"] : r["last"] + LENGTH] for r in found], pa.binary()), batch.column(0).take(pa.array([i] * n)),
                      batch.column(1).take(pa.array([i] * n)), pa.array([r["first"] for r in found], pa.int64())],
-                    names=["gram", "lead", "context", "doc_id", "text_id", "first"],
+                    names=["bucket", "lead", "context", "doc_id", "text_id", "first"],
                 )
 
-    found = rows.mapInArrow(run, f"gram bigint, lead bigint, context binary, doc_id {kind}, text_id bigint, first bigint")
-    return scratch.save(found.dropDuplicates(["doc_id", "text_id", "gram", "first"]), "contexts")
+    found = rows.mapInArrow(run, f"bucket bigint, lead bigint, context binary, doc_id {kind}, text_id bigint, first bigint")
+    return scratch.save(found.dropDuplicates(["doc_id", "text_id", "bucket", "first"]), "contexts")
+
+
+def _collapsed(found: DataFrame, keep: str, scratch: Scratch, level: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The stretches that copies of a class make (doc_id, text_id, first, last), and of the buckets with several classes (how many: classes) each class's first range."""
+    place = ["doc_id", "text_id", "first", "last"]
+    least = F.min(F.struct(*place, *carry)).alias("least")
+    classes = scratch.save(found.groupBy("bucket", "class").agg(F.count("*").alias("n"), least), f"classes-{level}")
+    many = scratch.save(classes.where("n > 1").select(F.col("bucket").alias("b"), F.col("class").alias("c"), *(F.col(f"least.{x}").alias(f"least_{x}") for x in place)), f"many-{level}")
+    copies = found.join(many, (F.col("bucket") == F.col("b")) & (F.col("class") == F.col("c")))
+    if keep == "first":
+        same = F.lit(True)
+        for x in place:
+            same = same & F.col(x).eqNullSafe(F.col(f"least_{x}"))
+        copies = copies.where(~same)
+    several = classes.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("classes")).where("classes > 1")
+    several = scratch.save(several, f"several-{level}")
+    first = classes.join(several, F.col("bucket") == F.col("b")).select("bucket", "classes", "least.*")
+    return copies.select(*place), scratch.save(first, f"first-{level}")
 
 
 def repeats(docs: DataFrame, keep: str, scratch: Scratch) -> DataFrame:
     """doc_id, text_id, first, last: stretches of windows to remove."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = scratch.save(anchors(docs), "anchors")
-    where = ["doc_id", "text_id", "first", "last"]
-    classes = found.groupBy("gram", "class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_id", "first", "last", "anchor")).alias("least"))
-    classes = scratch.save(classes, "classes")
-    by_gram = classes.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("classes"), F.sum("n").alias("total")).where("total > 1")
-    by_gram = scratch.save(by_gram, "grams")
-
-    # classes with copies: all their ranges, or all but the first
-    many = scratch.save(classes.where("n > 1").select(F.col("gram").alias("g"), F.col("class").alias("c"), "least"), "many")
-    copies = found.join(many, (F.col("gram") == F.col("g")) & (F.col("class") == F.col("c")))
-    if keep == "first":
-        copies = copies.where(~F.struct("doc_id", "text_id", "first", "last", "anchor").eqNullSafe(F.col("least")))
-    copies = copies.select(*where)
-
-    # anchors with several classes: suffix order over the classes' first ranges. A class with copies takes part, but is settled already unless the first copy stays.
-    several = by_gram.where("classes > 1").select("g", "classes")
-    several = scratch.save(several, "several")
-    first = classes.join(several, F.col("gram") == F.col("g")).select("gram", "classes", "least.*")
-    first = scratch.save(first, "first")
-    scratch.drop("classes")
-    contexts = _contexts(docs, first, scratch).join(several.where(F.col("classes") > CLASSES).select(F.col("g").alias("big")), F.col("gram") == F.col("big"), "left")
-    # ranks follow (doc_id, text_id, first)
-    rows = contexts.select("gram", "lead", "context", "doc_id", "text_id", "first", "big")
-    small = rows.where("big IS NULL").repartition("gram").sortWithinPartitions("gram", "doc_id", "text_id", "first")
-    small = small.select("gram", F.monotonically_increasing_id().alias("rank"), "lead", "context", "doc_id", "text_id", "first")
-    ordered = small.mapInArrow(_in_order(keep == "first"), f"doc_id {kind}, text_id bigint, first bigint, last bigint")
-
-    large = rows.where("big IS NOT NULL").select("gram", F.lit(0).cast("bigint").alias("rank"), "lead", "context", "doc_id", "text_id", "first")
-    windows = large.mapInArrow(_named, f"gram bigint, lead bigint, name bigint, doc_id {kind}, text_id bigint, at bigint")
-    salt = F.pmod(F.xxhash64("doc_id", "text_id"), F.lit(SALTS)).cast("int").alias("salt")
-    key, place = ["gram", "lead", "name"], ["doc_id", "text_id", "at"]
-    schema = f"gram bigint, lead bigint, name bigint, salt int, doc_id {kind}, text_id bigint, at bigint, hit boolean, lone boolean"
-    parts = windows.select(*key, salt, *place).repartition(*key, "salt").sortWithinPartitions(*key, "salt", *place)
-    parts = scratch.save(parts.mapInArrow(_marked(4, keep == "first"), schema), "parts")
-    between = parts.where("lone").select(*key, F.lit(0).alias("salt"), *place).repartition(*key).sortWithinPartitions(*key, *place)
-    between = between.mapInArrow(_marked(3, keep == "first"), schema)
-    marked = parts.select(*place, "hit").unionByName(between.select(*place, "hit")).where("hit")
-    marked = marked.select("doc_id", "text_id", F.col("at").alias("first"), F.col("at").alias("last"))
-    return copies.unionByName(ordered).unionByName(marked)
+    marked, first = _collapsed(found, keep, scratch, 0, ["anchor"])
+    scratch.drop("classes-0")
+    large = scratch.save(first.where(F.col("classes") > CLASSES).select(F.col("bucket").alias("large")).distinct(), "large")
+    rows = _contexts(docs, first, scratch).join(large, F.col("bucket") == F.col("large"), "left")
+    columns = ["bucket", "lead", "context", "doc_id", "text_id", "first"]
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        rows = rows.select("bucket", "context", "doc_id", "text_id", "first").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text_id", "first")
+        return rows.mapInArrow(_in_order(keep == "first"), f"doc_id {kind}, text_id bigint, first bigint, last bigint")
+
+    marked = marked.unionByName(ordered(rows.where("large IS NULL")))
+    rows, schema = rows.where("large IS NOT NULL").select(*columns), f"bucket bigint, class bigint, doc_id {kind}, text_id bigint, first bigint, last bigint, lead bigint, context binary"
+    for level, width in enumerate(WIDTHS, 1):
+        if rows.isEmpty():
+            break
+        part = scratch.save(rows.mapInArrow(_split(width), schema), f"split-{level}")
+        copies, first = _collapsed(part, keep, scratch, level, ["lead", "context"])
+        marked = marked.unionByName(copies).unionByName(ordered(first.where(F.col("classes") <= CLASSES)))
+        rows = first.where(F.col("classes") > CLASSES).select(*columns)
+    return marked
 
 
 def remove(docs: DataFrame, keep: str = "first") -> DataFrame:
@@ -378,4 +406,4 @@ def remove(docs: DataFrame, keep: str = "first") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove(table(spark, sf_dir, "documents"), keep="none")
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))

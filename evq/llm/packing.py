@@ -17,9 +17,9 @@ packed each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,21 +41,45 @@ REACH = 3.0
 
 
 def vocabulary() -> str:
-    """The installed rank file of the byte-level vocabulary."""
+    """The installed tokenizer file of the byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 is itself, the others follow from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE of a rank file; it gives the same ids as the tokenizer file of the same vocabulary, several times as fast."""
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """The ids that ``tokenizers`` gives with the file at ``path``, without special tokens around them.
+
+    A text that holds one of the file's added tokens goes through ``tokenizers``;
+    the others through ``tiktoken``, which gives the same ids from the file's
+    vocabulary several times as fast, as its merges are in the order of the ids.
+    """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        parsed = json.load(f)
+    byte, added = _bytes_of(), [t["content"] for t in parsed["added_tokens"]]
+    ranks = {bytes(byte[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in added}
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError(f"{path}: ids of over 16 bits")
+    fast, exact = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path)
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return exact.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return encode
 
 
 @lru_cache(maxsize=1)
@@ -65,15 +89,14 @@ def _matrix(size: int = 1 << 16) -> np.ndarray:
 
 def _tokens(path: str, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, matrix, pack = encoder(path), _matrix(), zstandard.ZstdCompressor(level=1)
+        encode, matrix, pack = encoder(path), _matrix(), zstandard.ZstdCompressor(level=1)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 sizes, vectors, blobs = [], [], []
                 for text in part.column(1):
-                    ids = enc.encode_ordinary(text.as_py() or "")
-                    ids.append(END)
+                    ids = [*encode(text.as_py() or ""), END]
                     array = np.array(ids, dtype="<u2")
                     sizes.append(len(array))
                     vectors.append(matrix[array].mean(axis=0, dtype=np.float64) * np.sqrt(len(array)))

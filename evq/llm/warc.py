@@ -37,6 +37,8 @@ from evq.llm.scratch import Scratch, table
 
 #: Bytes of record data after which a task starts another archive.
 ARCHIVE_BYTES = 64 << 20
+#: Archives that a task normalises, and bytes of archives that one reads, where that makes more tasks than there are cores.
+ARCHIVES, READ_BYTES = 8, 64 << 20
 #: Bytes that are inflated, copied or hashed at a time.
 BLOCK = 1 << 18
 DATE = "1970-01-01T00:00:00Z"
@@ -211,8 +213,11 @@ def _schema() -> pa.Schema:
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """INDEX rows of the archives (column archive) as rewritten below ``folder``."""
-    return archives.select("archive").repartition("archive").mapInArrow(_normaliser(folder), INDEX)
+    """INDEX rows of the archives (column archive, a stored table) as rewritten below ``folder``."""
+    # a number of its own, as adaptive execution would join the few bytes of all these rows in one task
+    many = archives.count()
+    tasks = max(many // ARCHIVES, min(many, archives.sparkSession.sparkContext.defaultParallelism), 1)
+    return archives.select("archive").repartitionByRange(tasks, "archive").mapInArrow(_normaliser(folder), INDEX)
 
 
 def sidecar(path: str) -> list[tuple]:
@@ -261,7 +266,11 @@ _PAGES = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_dige
 
 
 def read_pages(index: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records that INDEX rows point to."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records that INDEX rows (a stored table) point to."""
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(size // READ_BYTES, index.sparkSession.sparkContext.defaultParallelism)
+    # each task reads a stretch of archives from front to back
+    index = index.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return index.mapInArrow(_reader, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 

@@ -455,8 +455,7 @@ def test_packing(spark, docs, texts, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    odd = ["<|endoftext|> don't  \n\n \t x　 y", "١٢٣ ½ ²", "é‍👩‍👩", "\x00\x01\x85 ", " " * 300 + "a", "\r\n" * 50, "ǅ ⅷ ª"]
+    odd = ["<|endoftext|>", "a <|endoftext|>\n<|endoftext|>b <|endoftext", "<|endoftext|> don't  \n\n \t x　 y", "١٢٣ ½ ²", "é‍👩‍👩", "\x00\x01\x85 ", " " * 300 + "a", "\r\n" * 50, "ǅ ⅷ ª"]
     texts = texts + odd
     frame = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)] + [(3, texts[3], 1)], "doc_id long, text string, uid int").repartition(3)
     ids = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]

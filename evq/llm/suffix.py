@@ -12,11 +12,11 @@ order is made bucket by bucket:
    which collapses to its first range: the windows of the others have an earlier
    match there. A bucket of one class needs no order; this is most of a corpus.
 3. The first ranges of a bucket of up to CLASSES classes get a suffix array, by
-   prefix doubling of ranks from the bytes. The previous and next smaller
+   prefix multiplying of ranks from the bytes. The previous and next smaller
    positions in suffix order are the only places where the longest earlier match
    of a suffix can start; its length there is read off the ranks. That is the
-   longest-previous-factor array, cut at LENGTH. The same over positions from
-   the end gives the longest later match.
+   longest-previous-factor array, cut at LENGTH. A window with a later match
+   only is the source of another one's factor.
 4. A bucket of more classes is split by what its windows must share: those with
    leads in one band of WIDTHS have all but the band's width of bytes in common
    places, so they are dealt by those bytes. Sub-ranges that are now equal
@@ -50,6 +50,8 @@ LENGTH = 400
 GRAM = 32
 #: Classes up to which a bucket gets its suffix array from one task.
 CLASSES = 1024
+#: Bytes of buckets that get one suffix array together; ranks of 16 bits are joined by four.
+JOINED = 60_000
 #: Leads of the windows that stay together when a larger bucket is split, once and again.
 WIDTHS = (64, 8, 1)
 #: Bytes of text that are winnowed at a time, and bits that hold a place in them.
@@ -177,13 +179,16 @@ def _ranked(x: np.ndarray) -> np.ndarray:
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
-    """By prefix doubling from 8 bytes (or ``length``, at least 8), the ranks of the strings of 8, 16, ... and at last ``length`` bytes at each place that has so many."""
+    """By prefix multiplying, the ranks of the strings of 8 bytes, of some lengths between and at last of ``length`` bytes (8 or more) at each place that has so many. As many ranks as fit 64 bits make the next one."""
     first = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,)).astype(np.uint64)
-    found = [(8, _ranked(first))]
+    found, bits = [(8, _ranked(first))], len(data).bit_length()
     while (size := found[-1][0]) < length:
-        step, ranks = min(size, length - size), found[-1][1]
-        pairs = ranks[: len(ranks) - step].astype(np.uint64) << np.uint64(32) | ranks[step:]
-        found.append((size + step, _ranked(pairs)))
+        ranks, longer = found[-1][1], min(size * (64 // bits), length)
+        count = len(data) - longer + 1
+        joined = np.zeros(count, np.uint64)
+        for at in [*range(0, longer - size, size), longer - size]:
+            joined = joined << np.uint64(bits) | ranks[at : at + count]
+        found.append((longer, _ranked(joined)))
     return found
 
 
@@ -196,36 +201,39 @@ def smaller(values: np.ndarray) -> np.ndarray:
     return back
 
 
-def common(ranks: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Length of the common prefix of the strings at places a and b, at most ``length``."""
-    whole = ranks[-1][1]
+def common(ranks: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the strings at places a and b that have the length of the last ranks; at most that."""
+    length, whole = ranks[-1]
     same, at = whole[a] == whole[b], np.zeros(len(a), np.int64)
-    for size, rank in reversed(ranks[:-1]):
-        i, j = np.minimum(a + at, len(rank) - 1), np.minimum(b + at, len(rank) - 1)
-        at += np.where((rank[i] == rank[j]) & (i == a + at) & (j == b + at), size, 0)
+    for (size, rank), (longer, _) in list(zip(ranks, ranks[1:]))[::-1]:
+        for _ in range(-(-longer // size) - 1):
+            fits = at <= length - size
+            step = np.where(fits, at, 0)
+            at += np.where(fits & (rank[a + step] == rank[b + step]), size, 0)
+    step = np.minimum(at, length - 8)  # the last 8 bytes or less, byte by byte
     eights = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
-    i, j = np.minimum(a + at, len(eights) - 1), np.minimum(b + at, len(eights) - 1)
-    apart = eights[i].astype(np.uint64) ^ eights[j].astype(np.uint64)
-    at += sum((apart < np.uint64(1) << np.uint64(8 * k)).astype(np.int64) for k in range(8))
-    return np.where(same, length, np.minimum(at, length))
+    apart = eights[a + step].astype(np.uint64) ^ eights[b + step].astype(np.uint64)
+    tail = sum((apart < np.uint64(1) << np.uint64(8 * k)).astype(np.int64) for k in range(8))
+    return np.where(same, length, np.maximum(at, step + tail))
 
 
-def previous_factors(ranks: list[tuple[int, np.ndarray]], data: np.ndarray, starts: np.ndarray, length: int, reverse: bool = False) -> np.ndarray:
-    """For each of the suffixes at ``starts`` (ascending) the length of its longest match with one before it, or behind it if ``reverse``, cut at ``length``.
+def previous_factors(ranks: list[tuple[int, np.ndarray]], data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the suffixes at ``starts`` (ascending) the length of its longest match with an earlier one, cut at the length of the last ranks, and the number of that earlier one.
 
     In suffix order such a match starts at the previous or the next smaller
-    position; ``reverse`` counts positions from the end.
+    position.
     """
-    order = np.argsort(ranks[-1][1][starts], kind="stable")
-    position = len(starts) - 1 - order if reverse else order
-    left = smaller(position)
-    right = len(order) - 1 - smaller(position[::-1])[::-1]
-    factors = np.zeros(len(starts), np.int64)
-    for other in (left, right):
+    whole = ranks[-1][1]
+    order = np.argsort(whole[starts], kind="stable")
+    factors, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    for other in (smaller(order), len(order) - 1 - smaller(order[::-1])[::-1]):
         has = np.flatnonzero((other >= 0) & (other < len(order)))
-        match = common(ranks, data, starts[order[has]], starts[order[other[has]]], length)
-        factors[order[has]] = np.maximum(factors[order[has]], match)
-    return factors
+        to = order[other[has]]
+        has = order[has]
+        match = common(ranks, data, starts[has], starts[to])
+        better = match > factors[has]
+        factors[has[better]], source[has[better]] = match[better], to[better]
+    return factors, source
 
 
 def _runs(flags: np.ndarray, group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,13 +259,15 @@ def _in_order(keep_first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 # many buckets are put in order at once; one is never torn
-                if len(rows) >= 2048 and rows[-1][0] != row[0]:
+                if size >= JOINED and rows[-1][0] != row[0]:
                     yield done(rows, batch.schema)
-                    rows = []
+                    rows, size = [], 0
                 rows.append(row)
+                size += len(row[1])
         if rows:
             yield done(rows, batch.schema)
 
@@ -266,9 +276,10 @@ def _in_order(keep_first: bool):
         context, nth, starts = _windows(contexts)
         data = np.frombuffer(b"".join(contexts), np.uint8)
         ranks = suffix_ranks(data, LENGTH)
-        hit = previous_factors(ranks, data, starts, LENGTH) >= LENGTH
-        if not keep_first:
-            hit |= previous_factors(ranks, data, starts, LENGTH, reverse=True) >= LENGTH
+        factors, source = previous_factors(ranks, data, starts)
+        hit = factors == LENGTH
+        if not keep_first:  # the first of equal windows is the source of the second
+            hit[source[hit]] = True
         a, b = _runs(hit, context, nth)
         who = context[a]
         begin = np.array([r[4] for r in rows])[who] + nth[a]

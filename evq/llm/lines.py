@@ -293,18 +293,13 @@ def _bag(a: str, b: str) -> int:
     return max(sum(max(0, x.count(c) - y.count(c)) for c in set(x)) for x, y in ((a, b), (b, a)))
 
 
-def linked(a: tuple[str, int], b: tuple[str, int]) -> bool:
-    """Whether two lines link, whatever their prints."""
-    return similar(a[0], b[0])
-
-
 def _prepared(content: bytes, band: int, found: int) -> tuple[str, int, list[bytes], int]:
     keys, line = content.split(b"\n", 1)
     return line.decode(), found, keys.split(b","), band
 
 
 def _first_linked(a: tuple[str, int, list[bytes], int], b: tuple[str, int, list[bytes], int]) -> bool:
-    """As ``linked``, but each pair is only looked at under the first of the keys that it shares."""
+    """As ``similar``, but each pair is only looked at under the first of the keys that it shares."""
     return next(i for i, (x, y) in enumerate(zip(a[2], b[2])) if x == y) == a[3] and similar(a[0], b[0])
 
 

@@ -1,20 +1,19 @@
 """Repeated passages: paragraph MinHash bands, exact Jaccard, components.
 
-A paragraph is a line with words; one of over LONG words is cut where the text
-itself says so, at words whose next three have the least hash of SPREAD words to
-either side, so that a passage is cut alike wherever it stands. The paragraphs of
-a text make up all its words. Equal ones (words in ASCII lower case) are one from
+Texts are cut into paragraphs where their words say so, at words whose next
+three have the least hash of SPREAD words to either side, so that a passage is
+cut alike wherever it stands and whatever line ends it has. The paragraphs of a
+text make up all its words. Equal ones (words in ASCII lower case) are one from
 then on. BANDS bands of ROWS minima over their shingles of SHINGLE words find a
 pair at Jaccard similarity 0.8 with probability 0.99; pairs that share a band are
 verified on their whole sets of shingles, and the classes are the connected
 groups. A paragraph of fewer words than a shingle only equals its like.
 
 A paragraph repeats if its class stands in two documents, and consecutive
-repeating paragraphs of PASSAGE words or more are a passage, whatever line ends
-it runs across; a common line alone is none. Of each class the occurrence with
-the smallest (doc_id, text, number) stays, and the others go where they are
-part of a passage. What repeats within its own document alone is left to the
-quality rules.
+repeating paragraphs of PASSAGE words or more are a passage; a common sentence
+alone is none. Of each class the occurrence with the smallest (doc_id, text,
+number) stays, and the others go where they are part of a passage. What repeats
+within its own document alone is left to the quality rules.
 
 Paragraphs are told apart by a 64-bit hash of their words.
 
@@ -43,13 +42,15 @@ from evq.llm.suffix import window_least
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 5, 2
-#: Words of a line from which it is cut, and words to either side that a cut is the least of.
-LONG, SPREAD = 40, 8
-#: Words of consecutive repeating paragraphs that make a passage. Of a passage within a long line the words up to its first cut and behind its last are in no repeating paragraph, so this is less than the 50 words that are looked for.
-PASSAGE = 35
+#: Words to either side that a cut is the least of.
+SPREAD = 8
+#: Words of consecutive repeating paragraphs that make a passage. A passage's words up to its first cut and behind its last are in no repeating paragraph (17 on average), so this is less than the 50 words that are looked for.
+PASSAGE = 25
 #: Bytes of text that are cut up at a time.
 BLOCK = 1 << 20
 SEED = 42
+#: All white space and control characters as spaces.
+_SPACED = FOLD[:10] + b" " + FOLD[11:]
 _KEYS = [f"key{k}" for k in range(BANDS)]
 _random = np.random.default_rng(SEED)
 _TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,7 +61,7 @@ _MIX, _WORD, _UNIT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407
 class Cut(NamedTuple):
     """The paragraphs of joined texts, in order."""
 
-    line: np.ndarray  # the line that each stands in
+    text: np.ndarray  # the text that each stands in
     ids: np.ndarray
     n_words: np.ndarray
     begin: np.ndarray  # bytes from its first word to the end of its last one
@@ -69,8 +70,12 @@ class Cut(NamedTuple):
     sizes: np.ndarray
 
 
+def spaced(text: str) -> bytes:
+    return text.encode().translate(_SPACED)
+
+
 def cut_up(data: bytes) -> Cut:
-    """The paragraphs of folded bytes."""
+    """The paragraphs of texts with a line end between them."""
     chars = np.frombuffer(data + b"\n", np.uint8)
     inside = chars > 32
     edge = np.diff(np.concatenate([[False], inside]).view(np.int8), append=np.int8(0))
@@ -81,7 +86,7 @@ def cut_up(data: bytes) -> Cut:
         return Cut(none, none.view(np.uint64), none, none, none, none.view(np.uint64), none)
     words = folded(chars[inside].astype(np.uint64) + np.uint64(1), ends - starts, _WORD)
     counts = np.diff(np.searchsorted(starts, np.flatnonzero(chars == 10)), prepend=0)
-    line = np.repeat(np.arange(len(counts)), counts)
+    text = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
     ahead = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
     runs = words  # hashes of the words from each place on, first three and then SHINGLE of them
@@ -91,7 +96,7 @@ def cut_up(data: bytes) -> Cut:
         if k == 2:
             rim = np.full(SPREAD, np.iinfo(np.uint64).max, np.uint64)
             least = window_least(np.concatenate([rim, runs, rim]), 2 * SPREAD + 1)
-            new |= (counts[line] > LONG) & (place >= SPREAD) & (place + SPREAD + 3 <= counts[line]) & (runs == least)
+            new |= (place >= SPREAD) & (place + SPREAD + 3 <= counts[text]) & (runs == least)
     first = np.flatnonzero(new)
     n_words = np.diff(np.append(first, n))
     ids = folded(words, n_words, _UNIT)
@@ -100,7 +105,7 @@ def cut_up(data: bytes) -> Cut:
     runs[first[short]] = ids[short]
     use = left >= SHINGLE
     use[first[short]] = True
-    return Cut(line[first], ids, n_words, starts[first], ends[first + n_words - 1], runs[use], np.maximum(n_words - (SHINGLE - 1), 1))
+    return Cut(text[first], ids, n_words, starts[first], ends[first + n_words - 1], runs[use], np.maximum(n_words - (SHINGLE - 1), 1))
 
 
 def bands(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -124,9 +129,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
 
         def done() -> pa.RecordBatch:
-            lines_of = np.array([x.count(b"\n") + 1 for x in held])
             found = cut_up(b"\n".join(held))
-            text = np.searchsorted(np.cumsum(lines_of), found.line, side="right")
+            text = found.text
             of_text = np.bincount(text, minlength=len(held))
             no = np.arange(len(text)) - (np.cumsum(of_text) - of_text)[text]
             keys = bands(found.shingles, found.sizes)
@@ -137,7 +141,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, text in enumerate(batch.column(2)):
             if text := text.as_py():
                 rows.append(row)
-                held.append(text.encode().translate(FOLD))
+                held.append(spaced(text))
                 size += len(held[-1])
                 if size > BLOCK:
                     yield done()
@@ -154,7 +158,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _contents(text: str, numbers: list[int]) -> list[bytes | None]:
-    found = cut_up(text.encode().translate(FOLD))
+    found = cut_up(spaced(text))
     end = np.cumsum(found.sizes)
     return [np.unique(found.shingles[end[i] - found.sizes[i] : end[i]]).tobytes() if i < len(end) else None for i in numbers]
 
@@ -222,21 +226,13 @@ def passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def without_units(text: str, numbers: set[int]) -> str | None:
-    """``text`` without the paragraphs of these numbers and the space or line end behind each; None if no word is left."""
-    data = text.encode()
-    found = cut_up(data.translate(FOLD))
-    # a paragraph reaches to the next one of its line, or to the end of the line
-    out, at = [], 0
-    for i in sorted(n for n in numbers if n < len(found.ids)):
-        begin, line_end = int(found.begin[i]), data.find(b"\n", int(found.end[i]))
-        if i + 1 < len(found.ids) and found.line[i + 1] == found.line[i]:
-            end = int(found.begin[i + 1])
-        else:
-            end = len(data) if line_end < 0 else line_end + 1
-        out.append(data[at:begin])
-        at = end
-    left = b"".join([*out, data[at:]])
-    return left.decode() if left.translate(FOLD).split() else None
+    """``text`` without the paragraphs of these numbers, each up to the next one; None if no word is left."""
+    data, found = text.encode(), cut_up(spaced(text))
+    if len(numbers) == len(found.ids):
+        return None
+    ends = np.append(found.begin[1:], len(data)).tolist()
+    stay = [data[a:b] for i, (a, b) in enumerate(zip(found.begin.tolist(), ends)) if i not in numbers]
+    return b"".join([data[: found.begin[0]], *stay]).decode()
 
 
 def dedup(docs: DataFrame) -> DataFrame:

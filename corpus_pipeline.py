@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from evq.llm import decontaminate, lines, packing, quality, simhash
 from evq.llm.scratch import Scratch, table
-from evq.llm.units import REMOVED
 
 
 def _except(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
@@ -31,10 +30,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; a document that loses its last word that way goes, one that had none stays."""
-    rows = lines.dedup(docs).where((F.col(REMOVED) == 0) | F.col("text").isNotNull())
+    rows = lines.dedup(docs)
+    lost = F.col(rows.columns[-1])
+    rows = rows.where((lost == 0) | F.col("text").isNotNull())
     kept = {c: F.col(c) for c in docs.columns}
     if "n_chars" in kept:
-        kept["n_chars"] = F.when(F.col(REMOVED) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        kept["n_chars"] = F.when(lost > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return rows.select(*kept.values())
 
 

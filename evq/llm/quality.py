@@ -2,9 +2,12 @@
 
 Only DataFrame functions are used. A document is judged by base rules; a host
 (the ``source`` column) is judged by the shares of its documents that fail each
-rule, shrunk towards the mean of all hosts by a beta prior which is fitted to
-the corpus by moments. Documents of a rejected host must pass the strict rules
-as well, so that a clean document survives a bad neighbourhood.
+rule, shrunk towards the corpus' share by a beta prior, which is fitted to the
+hosts by moments: what their shares vary more than chance would have them, each
+host counting by its documents. A host is rejected whose shrunk share lies
+DEVIATIONS of the prior above the corpus' share, but never below LEAST and
+always from MOST on. Documents of a rejected host must pass the strict rules as
+well, so that a clean document survives a bad neighbourhood.
 
 Defined cases: a null text has no words and fails the base rules; a null host
 is a host of its own; repeated rows are judged (and counted) each; an empty
@@ -22,8 +25,12 @@ GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Words of a window for repetition.
 WINDOW = 8
-#: A document rule and the share of a host's documents (after shrinkage) from which the host is rejected.
-HOST_LIMITS = {"few_words": 0.5, "repetitive": 0.5, "symbolic": 0.5, "odd_words": 0.5, "dup_lines": 0.5}
+#: The rules that hosts are judged by.
+HOST_RULES = ("few_words", "repetitive", "symbolic", "odd_words", "dup_lines")
+#: Standard deviations of the prior, and bounds of the share that rejects a host.
+DEVIATIONS, LEAST, MOST = 2.0, 0.25, 0.75
+#: The prior counts as so many documents at least and at most.
+WEIGHTS = (1.0, 1000.0)
 
 
 def _grams(hashes: Column) -> Column:
@@ -94,22 +101,37 @@ def rules() -> dict[str, Column]:
 BASE = ("few_words", "repetitive")
 
 
-def host_verdicts(judged: DataFrame, limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
-    """Hosts with their failures by rule, shrunk rates and the verdict ``rejected``.
+def prior(hosts: int, docs: int, squares: int, failed: int, spread: float) -> tuple[float, float]:
+    """Mean and weight (a + b) of the beta prior, by moments of the beta-binomial law.
 
-    ``judged`` has host and a boolean fail_<rule> for each rule. The prior of a
-    rule has the mean m and variance v of the hosts' raw rates: a + b =
-    m (1 - m) / v - 1, kept between 1 and 1000, and 1 where v is 0.
+    ``squares`` is the sum of the hosts' documents squared, ``spread`` that of
+    their failures squared over their documents. Of what the shares vary, chance
+    makes up (hosts - 1) times mean times its complement; the rest gives the
+    correlation within a host, whose inverse less 1 is the weight.
     """
-    hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.sum(F.col(f"fail_{r}").cast("bigint")).alias(f"k_{r}") for r in limits))
-    rates = [F.col(f"k_{r}") / F.col("n_docs") for r in limits]
-    fitted = hosts.agg(*(F.avg(x).alias(f"m_{r}") for r, x in zip(limits, rates)), *(F.var_pop(x).alias(f"v_{r}") for r, x in zip(limits, rates))).first()
+    if not docs:
+        return 0.0, WEIGHTS[1]
+    mean = failed / docs
+    chance = mean * (1 - mean)
+    excess = spread - failed * failed / docs - chance * (hosts - 1)
+    room = chance * (docs - squares / docs - (hosts - 1))
+    if excess <= 0 or room <= 0:
+        return mean, WEIGHTS[1]
+    return mean, min(WEIGHTS[1], max(WEIGHTS[0], room / excess - 1))
+
+
+def host_verdicts(judged: DataFrame) -> DataFrame:
+    """Hosts with their documents, failures (k_<rule>) and shrunk shares (rate_<rule>) by rule, and the verdict ``rejected``. ``judged`` has host and a boolean fail_<rule> for each rule."""
+    n = F.col("n_docs")
+    hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.sum(F.col(f"fail_{r}").cast("bigint")).alias(f"k_{r}") for r in HOST_RULES))
+    sums = [F.sum(f"k_{r}").alias(f"k_{r}") for r in HOST_RULES] + [F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / n).alias(f"s_{r}") for r in HOST_RULES]
+    fitted = hosts.agg(F.count("*").alias("hosts"), F.sum(n).alias("docs"), F.sum(n * n).alias("squares"), *sums).first()
     out, rejected = hosts, F.lit(False)
-    for r, most in limits.items():
-        m, v = fitted[f"m_{r}"] or 0.0, fitted[f"v_{r}"] or 0.0
-        weight = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1.0
-        out = out.withColumn(f"rate_{r}", (F.col(f"k_{r}") + F.lit(weight * m)) / (F.col("n_docs") + F.lit(weight)))
-        rejected = rejected | (F.col(f"rate_{r}") >= most)
+    for r in HOST_RULES:
+        mean, weight = prior(fitted["hosts"], fitted["docs"] or 0, fitted["squares"] or 0, fitted[f"k_{r}"] or 0, fitted[f"s_{r}"] or 0.0)
+        limit = min(MOST, max(LEAST, mean + DEVIATIONS * (mean * (1 - mean) / (weight + 1)) ** 0.5))
+        out = out.withColumn(f"rate_{r}", (F.col(f"k_{r}") + F.lit(weight * mean)) / (n + F.lit(weight)))
+        rejected = rejected | (F.col(f"rate_{r}") >= limit)
     return out.withColumn("rejected", rejected)
 
 
@@ -149,9 +171,9 @@ j AS (SELECT *, n_words < 20 AS few_words, n_repeat_words * 100 > n_words * 30 A
 k AS (SELECT source, unnest(['few_words', 'repetitive', 'symbolic', 'odd_words', 'dup_lines']) AS rule, count(*) AS n,
         unnest([sum(CAST(few_words AS INT)), sum(CAST(repetitive AS INT)), sum(CAST(symbolic AS INT)), sum(CAST(odd_words AS INT)), sum(CAST(dup_lines AS INT))]) AS k
       FROM j GROUP BY source),
-p AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM k GROUP BY rule),
-q AS (SELECT rule, m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1.0 END AS s FROM p),
-h AS (SELECT source, bool_or((k + s * m) / (n + s) >= 0.5) AS rejected FROM k JOIN q ON k.rule = q.rule GROUP BY source)
+p AS (SELECT rule, sum(k) / sum(n) AS m, sum(k) / sum(n) * (1 - sum(k) / sum(n)) AS c, sum(k * k / n) - sum(k) * sum(k) / sum(n) AS s, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room, count(*) - 1 AS others FROM k GROUP BY rule),
+q AS (SELECT rule, m, c, CASE WHEN s - c * others <= 0 OR c * room <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, c * room / (s - c * others) - 1)) END AS w FROM p),
+h AS (SELECT source, bool_or((k + w * m) / (n + w) >= least(0.75, greatest(0.25, m + 2 * sqrt(c / (w + 1))))) AS rejected FROM k JOIN q ON k.rule = q.rule GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repetitive AS base_failed,
   NOT (few_words OR repetitive) AND NOT (coalesce(h.rejected, false) AND (symbolic OR odd_words OR dup_lines)) AS kept,
   coalesce(h.rejected, false) AS host_rejected

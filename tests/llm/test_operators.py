@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -94,6 +95,41 @@ def test_bad_host_takes_strict_rules(spark):
     assert rows[100]["kept"] and not rows[100]["host_rejected"]
 
 
+def test_hosts_change_rows(spark, tmp_path):
+    """Bad hosts among good ones of all sizes: the SQL agrees in every row, and verdicts differ from the base rules."""
+    rng = random.Random(41)
+    good = [" ".join(words(rng, 40, 5000)) for _ in range(30)]
+    junk = [" ".join("$" + w for w in words(rng, 40, 5000)) for _ in range(30)]
+    rows = []
+    for host in range(30):
+        share = 0.8 if host in (3, 17) else 0.03
+        for _ in range(rng.choice((1, 3, 20, 60)) if host != 3 else 40):
+            rows.append((len(rows), rng.choice(junk if rng.random() < share else good), None if host == 5 else f"h{host}"))
+    rows.append((len(rows), junk[0], "tiny"))  # one document doesn't tell
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents")
+    found = [tuple(r) for r in quality.judge(docs).collect()]
+    want = duckdb.sql(quality.ORACLE.replace("FROM documents", f"FROM '{tmp_path}/documents/*.parquet'")).fetchall()
+    assert sorted(found) == sorted(want)
+    host = {r[0]: r[2] for r in rows}
+    assert {host[r[0]] for r in found if r[8]} >= {"h3"} and "tiny" not in {host[r[0]] for r in found if r[8]}
+    assert any(not r[6] and not r[7] for r in found) and any(r[8] and r[7] for r in found)
+
+
+def test_prior():
+    """Shares that vary by chance alone give the greatest weight; the weight of a beta law is found again, whatever the sizes."""
+    rng = np.random.default_rng(1)
+
+    def fitted(sizes, failed):
+        return quality.prior(len(sizes), int(sizes.sum()), int((sizes**2).sum()), int(failed.sum()), float((failed**2 / sizes).sum()))
+
+    sizes = rng.integers(2, 400, 4000)
+    assert fitted(sizes, rng.binomial(sizes, 0.1))[1] > 500
+    mean, weight = fitted(sizes, rng.binomial(sizes, rng.beta(2, 8, 4000)))
+    assert abs(mean - 0.2) < 0.01 and 8.5 < weight < 11.5
+    assert quality.prior(0, 0, 0, 0, 0.0) == (0.0, 1000.0) and quality.prior(1, 5, 25, 5, 5.0)[0] == 1.0
+
+
 # op2
 
 
@@ -143,6 +179,26 @@ def test_warc_refuses_broken_archives(spark):
         warc.normalise_file(f"{scratch.path}/a.warc.gz", f"{scratch.path}/out")
 
 
+def test_warc_null_page_id(spark):
+    """A page without id is a record without one, and gives way to a page with the same payload."""
+    scratch = Scratch(spark, "test-null-id")
+    archives = warc.write_archives(pages(spark, [(None, "u", "a", 1), (4, "v", "a", 1), (None, "w", "b", 1)]), f"{scratch.path}/m", scratch)
+    index = scratch.save(warc.normalise(archives, f"{scratch.path}/n"), "index")
+    found = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_pages(index).collect()), key=str)
+    assert found == [(4, "response", None), (None, "response", None), (None, "revisit", 4)]
+
+
+def test_warc_many_tasks(spark):
+    """Archives are normalised and read by as many tasks as there are archives or cores."""
+    scratch = Scratch(spark, "test-tasks")
+    rows = pages(spark, [(i, "u", f"page {i}", 1) for i in range(40)]).repartition(6)
+    archives = warc.write_archives(rows, f"{scratch.path}/m", scratch)
+    assert archives.count() == 6
+    index = warc.normalise(archives, f"{scratch.path}/n")
+    assert index.rdd.getNumPartitions() == 4  # the cores of the session
+    assert warc.read_pages(scratch.save(index, "index")).rdd.getNumPartitions() == 4
+
+
 def test_warc_empty(spark):
     scratch = Scratch(spark, "test-empty")
     assert warc.write_archives(pages(spark, []), f"{scratch.path}/m", scratch).count() == 0

@@ -20,6 +20,7 @@ text; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from os.path import commonprefix
 
 import numpy as np
@@ -40,6 +41,7 @@ GRAM = 8
 BANDS, ROWS = 16, 2
 TESTS, AGREE = 7, 2
 _BINS = BANDS * ROWS + TESTS
+_KEYS = [f"key{k}" for k in range(BANDS)]
 #: Steps of the logarithm of a length to one factor of SIMILAR.
 _STEPS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -127,7 +129,7 @@ def minima(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def sketched(least: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The BANDS keys of each line, and its sketch: TESTS bytes and above them a class of its length."""
     pairs = least[:, : BANDS * ROWS].astype(np.uint64)
-    keys = (mixed((pairs[:, ::ROWS] << np.uint64(32) | pairs[:, 1::ROWS]) * _A) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    keys = mixed((pairs[:, ::ROWS] << np.uint64(32) | pairs[:, 1::ROWS]) * _A + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
     sketch = np.minimum(255, np.log(length) / -np.log(SIMILAR) * _STEPS).astype(np.uint64)
     for k in range(TESTS):
         sketch = sketch << np.uint64(8) | (least[:, BANDS * ROWS + k] & np.uint32(255)).astype(np.uint64)
@@ -187,7 +189,7 @@ def _split(prints: np.ndarray) -> np.ndarray:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("keys", pa.list_(pa.int32())), ("doc_id", batch.schema.field(0).type), ("no", pa.int32())])
+        schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("doc_id", batch.schema.field(0).type), ("no", pa.int32()), *((k, pa.int64()) for k in _KEYS)])
         rows: list[int] = []
         held: list[bytes] = []
         size = 0
@@ -200,9 +202,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return pa.RecordBatch.from_pylist([], schema)
             first = np.cumsum(counts) - counts
             keys, prints = sketched(minima(flat, np.add.reduceat(sizes + 1, first)), length)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             text = np.searchsorted(begin, line, side="right") - 1
-            return pa.RecordBatch.from_arrays([pa.array(folded(words, counts, _C).view(np.int64)), pa.array(prints), lists, batch.column(0).take(pa.array(np.array(rows)[text])), pa.array((line - begin[text]).astype(np.int32))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(folded(words, counts, _C).view(np.int64)), pa.array(prints), batch.column(0).take(pa.array(np.array(rows)[text])), pa.array((line - begin[text]).astype(np.int32)), *(pa.array(keys[:, k]) for k in range(BANDS))], schema=schema)
 
         for row, text in enumerate(batch.column(1)):
             if text := text.as_py():
@@ -217,9 +218,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """id, print, keys, doc_id, no of every line that is long enough."""
+    """id, print, doc_id, no and the bands' keys of every line that is long enough."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_occurrences, f"id bigint, print bigint, keys array<int>, doc_id {kind}, no int")
+    return docs.select("doc_id", "text").mapInArrow(_occurrences, f"id bigint, print bigint, doc_id {kind}, no int, {', '.join(f'{k} bigint' for k in _KEYS)}")
 
 
 #: Prints up to which all pairs of a key are compared at once.
@@ -293,14 +294,15 @@ def _bag(a: str, b: str) -> int:
     return max(sum(max(0, x.count(c) - y.count(c)) for c in set(x)) for x, y in ((a, b), (b, a)))
 
 
-def _prepared(content: bytes, band: int, found: int) -> tuple[str, int, list[bytes], int]:
-    keys, line = content.split(b"\n", 1)
-    return line.decode(), found, keys.split(b","), band
+def linked(a: bytes, b: bytes) -> bool:
+    return similar(a.decode(), b.decode())
 
 
-def _first_linked(a: tuple[str, int, list[bytes], int], b: tuple[str, int, list[bytes], int]) -> bool:
-    """As ``similar``, but each pair is only looked at under the first of the keys that it shares."""
-    return next(i for i, (x, y) in enumerate(zip(a[2], b[2])) if x == y) == a[3] and similar(a[0], b[0])
+def split(rows: DataFrame, contents: DataFrame) -> DataFrame:
+    """``rows`` (key, id, print and more) with a row for each AGREE bytes of the sketch, as ``close`` prints agree in so many."""
+    byte = [F.shiftrightunsigned("print", 8 * k).bitwiseAND(F.lit(255)) for k in range(TESTS)]
+    cells = [F.xxhash64("key", F.lit(" ".join(map(str, some))), *(byte[k] for k in some)) for some in combinations(range(TESTS), AGREE)]
+    return rows.withColumn("cell", F.explode(F.array(*cells)))
 
 
 def _contents(text: str, numbers: list[int]) -> list[bytes | None]:
@@ -317,16 +319,23 @@ def without_lines(text: str, numbers: set[int]) -> str | None:
 def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, no, keep_doc, keep_no, class_id: the lines to remove and the one that stays instead."""
     found = scratch.save(occurrences(docs), "occurrences")
-    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "no")).alias("low"), F.count("*").alias("n"), F.min("print").alias("print"), F.first("keys").alias("keys"))
+    # any occurrence of a line will do to fetch it, so that rows are hashed and not sorted
+    distinct = found.groupBy("id").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("print", "doc_id", "no", *_KEYS)))
     distinct = scratch.save(distinct, "distinct")
-    banded = distinct.select("id", "print", F.posexplode("keys").alias("band", "k")).select("band", F.col("k").cast("bigint").alias("key"), "id", "print")
-    members = units.meeting(banded, partnered)
-    members = scratch.save(members, "members")
-    first = members.select("id").distinct().join(distinct, "id").select("id", "low.doc_id", "low.no")
-    texts = units.contents(docs, first, _contents, scratch).join(distinct.select("id", "keys"), "id")
-    texts = texts.select("id", F.concat(F.encode(F.concat_ws(",", F.col("keys").cast("array<string>")), "utf-8"), F.lit(b"\n"), "content").alias("content"))
-    edges = units.verified(members, texts, _prepared, _first_linked, scratch, close)
-    return units.repeated(found, units.classes(distinct.select("id", "n", "low", F.col("low").alias("high")), edges, scratch))
+    banded = distinct.select("id", "print", F.explode(F.array(*_KEYS)).alias("key"))
+    members = scratch.save(units.meeting(banded, partnered), "members")
+    first = members.select("id").distinct().join(distinct.select("id", "doc_id", "no"), "id")
+    texts = units.contents(docs, first, _contents, scratch)
+    edges = units.verified(members, texts, linked, scratch, split, close)
+    repeats = distinct.select("id", "n", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    kept = units.classes(repeats, edges, scratch).select("id", "class_id")
+    rows = scratch.save(found.select("id", "doc_id", "no").join(kept, "id").drop("id"), "repeated")
+    for name in ("occurrences", "distinct", "members", "contents"):
+        scratch.drop(name)
+    least = rows.groupBy(F.col("class_id").alias("c")).agg(F.min(F.struct("doc_id", "no")).alias("keep"))
+    rows = rows.join(scratch.save(least, "least"), F.col("class_id") == F.col("c"))
+    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("no") == F.col("keep.no"))
+    return rows.where(~same).select("doc_id", "no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.no").alias("keep_no"), "class_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

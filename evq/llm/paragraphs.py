@@ -5,7 +5,7 @@ three have the least hash of SPREAD words to either side, so that a passage is
 cut alike wherever it stands and whatever line ends it has. The paragraphs of a
 text make up all its words. Equal ones (words in ASCII lower case) are one from
 then on. BANDS bands of ROWS minima over their shingles of SHINGLE words find a
-pair at Jaccard similarity 0.8 with probability 0.99; pairs that share a band are
+pair at Jaccard similarity 0.8 with probability 0.987; pairs that share a band are
 verified on their whole sets of shingles, and the classes are the connected
 groups. A paragraph of fewer words than a shingle only equals its like.
 
@@ -41,7 +41,7 @@ from evq.llm.suffix import window_least
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 5, 2
+BANDS, ROWS = 6, 3
 #: Words to either side that a cut is the least of.
 SPREAD = 8
 #: Words of consecutive repeating paragraphs that make a passage. A passage's words up to its first cut and behind its last are in no repeating paragraph (17 on average), so this is less than the 50 words that are looked for.
@@ -119,6 +119,7 @@ def bands(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             least = np.minimum.reduceat(shingles * _TIMES[row] + _PLUS[row], starts)
             mix = (keys[:, band] ^ least) * _MIX
             keys[:, band] = mix ^ (mix >> np.uint64(32))
+        keys[:, band] += np.uint64(band)  # bands don't meet
     return keys.view(np.int64)
 
 
@@ -163,12 +164,9 @@ def _contents(text: str, numbers: list[int]) -> list[bytes | None]:
     return [np.unique(found.shingles[end[i] - found.sizes[i] : end[i]]).tobytes() if i < len(end) else None for i in numbers]
 
 
-def _prepared(content: bytes, band: int, found: int) -> np.ndarray:
-    return np.frombuffer(content, np.uint64)
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of two sorted sets."""
+def similar(a: bytes, b: bytes) -> bool:
+    """Jaccard similarity of two sorted sets of 64-bit hashes."""
+    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     small, large = sorted((len(a), len(b)))
     if small < SIMILAR * large:
         return False
@@ -176,8 +174,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (small + large - both) - 1e-9
 
 
-def matrix(sets: list[np.ndarray]) -> np.ndarray:
+def matrix(contents: list[bytes]) -> np.ndarray:
     """Which of the sets are ``similar``, all pairs at once."""
+    sets = [np.frombuffer(x, np.uint64) for x in contents]
     sizes = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), sizes)
     column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
@@ -194,20 +193,43 @@ def matrix(sets: list[np.ndarray]) -> np.ndarray:
     return both >= SIMILAR * (sizes[:, None] + sizes[None, :] - both) - 1e-3
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, id, content: a row for each shingle."""
+    for whole in batches:
+        for cut in range(0, len(whole), 4096):
+            batch = whole.slice(cut, 4096)
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            take = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(sets).view(np.int64))], names=["key", "id", "shingle"])
+
+
+def split(rows: DataFrame, contents: DataFrame) -> DataFrame:
+    """``rows`` (key, id and more) with a row for each cell: sets of a key that are similar share one of their rarest shingles there, as only a fifth of a set may be missing in the other."""
+    shingles = rows.select("key", "id").join(contents, "id").select("key", "id", "content").mapInArrow(_exploded, "key bigint, id bigint, shingle bigint")
+    counts = shingles.groupBy("key", "shingle").agg(F.count("*").alias("many"))
+    order = shingles.join(counts, ["key", "shingle"]).groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("many", "shingle"))).alias("order"))
+    rare = F.slice("order", 1, F.floor(F.size("order") * (1 - SIMILAR) + 1e-9).cast("int") + 1)
+    cells = order.select("key", "id", F.explode(rare["shingle"]).alias("shingle"))
+    return rows.join(cells, ["key", "id"]).withColumn("cell", F.xxhash64("key", "shingle"))
+
+
 def passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_id, no, n_words, class_id, class_size (occurrences), keep_doc, keep_no and kept, for every paragraph of a passage."""
     found = scratch.save(occurrences(docs), "occurrences")
     document = F.xxhash64("doc_id", "text_id")
     # any occurrence of a paragraph will do to fetch it, so that rows are hashed and not sorted
-    distinct = found.groupBy("id").agg(F.min(document).alias("low"), F.max(document).alias("high"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "text_id", "no", *_KEYS)))
+    distinct = found.groupBy("id").agg((F.min(document) < F.max(document)).alias("two"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "text_id", "no", *_KEYS)))
     distinct = scratch.save(distinct, "distinct")
-    banded = distinct.select("id", F.inline(F.array(*(F.struct(F.lit(i).alias("band"), F.col(k).alias("key")) for i, k in enumerate(_KEYS)))))
-    members = scratch.save(units.meeting(banded.select("band", "key", "id", F.lit(0).cast("bigint").alias("print"))), "members")
+    banded = distinct.select("id", F.explode(F.array(*_KEYS)).alias("key"))
+    members = scratch.save(units.meeting(banded.select("key", "id", F.lit(0).cast("bigint").alias("print"))), "members")
     first = members.select("id").distinct().join(distinct.select("id", "doc_id", "text_id", "no"), "id")
     sets = units.contents(docs, first, _contents, scratch, by_text=True)
-    edges = units.verified(members, sets, _prepared, similar, scratch, matrix=matrix)
+    edges = units.verified(members, sets, similar, scratch, split, matrix=matrix)
     # what stands in two documents, and classes that do
-    kept = units.classes(distinct.select("id", "n", "low", "high"), edges, scratch).where("low <> high").select("id", "class_id", "size")
+    # an id that has two documents of its own stands for any two
+    places = distinct.select("id", "n", F.when(F.col("two"), F.least(document, F.bitwise_not(document))).otherwise(document).alias("low"), F.when(F.col("two"), F.greatest(document, F.bitwise_not(document))).otherwise(document).alias("high"))
+    kept = units.classes(places, edges, scratch).where("low <> high").select("id", "class_id", "size")
     rows = scratch.save(found.select("id", "doc_id", "text_id", "no", "n_words").join(kept, "id").drop("id"), "repeated")
     for name in ("occurrences", "distinct", "members", "contents"):
         scratch.drop(name)

@@ -6,11 +6,15 @@ on distinct units. Candidates are units that meet under a key. The members of a
 key get their contents, and a spanning forest of the verified links comes out
 of each key, so that a group of n variants gives n - 1 rows and not n * n.
 
+Keys under which the same units meet are one from then on.
+
 A key with more than CELL members is dealt into chunks. First each chunk is
 compared with itself and with chunk 0, which joins variants of one text in work
-that grows with their number. Only members that are then still outside the
-key's largest group are compared with all others, chunk by chunk, so that no
-link is lost and no task gathers more than two chunks.
+that grows with their number. Members of keys that then still have several
+groups are dealt once more, by what two of them must share to be similar
+(``split``), so that members that only have something common in common don't
+meet. What is still large is compared chunk by chunk, so that no link is lost
+and no task gathers more than two chunks.
 """
 
 from __future__ import annotations
@@ -44,55 +48,61 @@ def fresh(columns: list[str], name: str) -> str:
 
 
 def meeting(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """band, key, id, print of the rows that meet another under their key; ``near`` tells which of the rows of sorted keys (numbers, prints) have a partner. Keys of over HELD rows are read as a stream and keep all their rows."""
-    rows = rows.select("band", "key", "id", "print").repartition("band", "key").sortWithinPartitions("band", "key")
+    """key, id, print of the rows that meet another under their key; ``near`` tells which of the rows of sorted keys (numbers, prints) have a partner. The new keys are hashes of the ids that meet. Keys of over HELD rows are read as a stream and keep all their rows."""
+    # a single sort column of 64 bits is sorted by its bytes, without looking at rows
+    rows = rows.select("key", "id", "print").repartition("key").sortWithinPartitions("key")
 
-    def out(columns: list[np.ndarray], take: np.ndarray | slice) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[take]) for x in columns], names=["band", "key", "id", "print"])
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "print"])
 
     def settled(columns: list[np.ndarray]) -> pa.RecordBatch:
         """Of whole keys."""
-        band, key, ids, prints = columns
-        new = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1
-        sizes = np.diff(np.concatenate([[0], new, [len(ids)]]))
-        keep = np.repeat(sizes > 1, sizes)
+        key, ids, prints = columns
+        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        keep = np.bincount(group)[group] > 1
         if near is not None:
             some = np.flatnonzero(keep)
-            keep[some] = near(np.repeat(np.arange(len(sizes)), sizes)[some], prints[some])
-        return out(columns, np.flatnonzero(keep))
+            keep[some] = near(group[some], prints[some])
+        take = np.flatnonzero(keep)
+        if not len(take):
+            return out([x[:0] for x in columns])
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(group[take]) != 0]))
+        names = np.add.reduceat(_mixed(ids[take].view(np.uint64)), starts)
+        return out([np.repeat(_mixed(names), np.diff(np.append(starts, len(take)))).view(np.int64), ids[take], prints[take]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # rows of the last key, which may go on
         size, passing = 0, None  # rows held, and a long key whose rows pass
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(columns[0]):
-                continue
-            if passing is not None:
-                same = (columns[0] == passing[0]) & (columns[1] == passing[1])
+            if passing is not None and len(columns[0]):
+                same = columns[0] == passing
                 n = int(np.argmin(same)) if not same.all() else len(same)
-                yield out(columns, slice(0, n))
+                yield out([c[:n] for c in columns])
                 columns = [c[n:] for c in columns]
-                if not len(columns[0]):
-                    continue
-                passing = None
-            last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
-            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            if held and (cut or held[0][0][0] != columns[0][0] or held[0][1][0] != columns[1][0]):
+                passing = passing if not len(columns[0]) else None
+            if not len(columns[0]):
+                continue
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut or held and held[0][0][0] != columns[0][0]:
                 yield settled([np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns])])
                 held, size = [], 0
-            elif cut:
-                yield settled([c[:cut] for c in columns])
             held.append([c[cut:] for c in columns])
             size += len(held[-1][0])
             if size > HELD:
-                passing = held[0][0][0], held[0][1][0]
-                yield out([np.concatenate(x) for x in zip(*held)], slice(None))
+                passing = held[0][0][0]
+                yield out([np.concatenate(x) for x in zip(*held)])
                 held, size = [], 0
         if held:
             yield settled([np.concatenate(x) for x in zip(*held)])
 
-    return rows.mapInArrow(run, "band int, key bigint, id bigint, print bigint")
+    met = rows.mapInArrow(run, "key bigint, id bigint, print bigint")
+    return met.groupBy("key", "id").agg(F.first("print").alias("print"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
 
 
 def forest(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], parts: list[int]) -> Iterator[tuple[int, int]]:
@@ -123,39 +133,40 @@ def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bo
                 root[root == root[i]] = root[j]
 
 
-def _solved(rows: DataFrame, contents: DataFrame, prepare, similar, close, matrix) -> DataFrame:
-    """src, dst of the links in each cell of ``rows`` (band, key, cell, id, print, part) between members of different parts."""
-    rows = rows.join(contents, "id").select("band", "key", "cell", "id", "print", "part", "content")
-    rows = rows.repartition("band", "key", "cell").sortWithinPartitions("band", "key", "cell")
+def _solved(rows: DataFrame, contents: DataFrame, similar, close, matrix) -> DataFrame:
+    """src, dst of the links in each cell of ``rows`` (cell, id, print, part) between members of different parts."""
+    rows = rows.join(contents, "id").select("cell", "id", "print", "part", "content").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, prints, parts, held = None, [], [], [], []
 
-        def done() -> pa.RecordBatch:
-            made = [prepare(x, at[0], p) for x, p in zip(held, prints)]
+        def done() -> list[tuple[int, int]]:
             if matrix is not None and len(ids) > 32:
-                edges = list(_spanning(ids, matrix(made), parts))
-            else:
-                edges = list(forest(ids, made, similar, parts) if close is None else sparse(ids, made, similar, parts, np.array(prints), close))
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+                return list(_spanning(ids, matrix(held), parts))
+            return list(forest(ids, held, similar, parts) if close is None else sparse(ids, held, similar, parts, np.array(prints), close))
 
         for batch in batches:
-            keys = list(zip(*(c.to_pylist() for c in batch.columns[:3])))
-            for key, unit, found, part, content in zip(keys, *(batch.column(i).to_pylist() for i in (3, 4, 5)), batch.column(6)):
+            edges = []
+            for key, unit, found, part, content in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if key != at:
                     if len(ids) > 1:
-                        yield done()
+                        edges += done()
                     at, ids, prints, parts, held = key, [], [], [], []
                 ids.append(unit)
                 prints.append(found)
                 parts.append(part)
-                held.append(content.as_py())
+                held.append(content)
+            yield _edges(edges)
         if len(ids) > 1:
-            yield done()
+            yield _edges(done())
 
     return rows.mapInArrow(run, "src bigint, dst bigint")
 
 
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+
 def _spanning(ids: list[int], linked: np.ndarray, parts: list[int]) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links of a symmetric matrix."""
     waiting = np.ones(len(ids), bool)
@@ -171,30 +182,39 @@ def _spanning(ids: list[int], linked: np.ndarray, parts: list[int]) -> Iterator[
                     yield ids[a], ids[b]
 
 
-def verified(members: DataFrame, contents: DataFrame, prepare: Callable[[bytes, int, int], Any], similar: Callable[[Any, Any], bool], scratch: Scratch, close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, matrix: Callable[[list[Any]], np.ndarray] | None = None) -> DataFrame:
-    """src, dst: verified links among the ``members`` (band, key, id, print) of each key; ``contents`` has id and content (binary), and ``prepare`` makes of content, band and print what ``similar`` compares. With ``close`` only members with close prints are compared; ``matrix`` tells all similar pairs of many contents at once."""
-    large = members.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    large = scratch.save(large.select("band", "key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), "large-keys")
+def _chunks(rows: DataFrame, by: str, scratch: Scratch, name: str) -> DataFrame:
+    """``by`` and chunks: how many chunks its values with over CELL rows are dealt into."""
+    many = rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    return scratch.save(many.select(by, F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), name)
+
+
+def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, Any], bool], scratch: Scratch, split: Callable[[DataFrame, DataFrame], DataFrame], close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, matrix: Callable[[list[Any]], np.ndarray] | None = None) -> DataFrame:
+    """src, dst: verified links among the ``members`` (key, id, print) of each key; ``contents`` has id and the content that ``similar`` compares.
+
+    With ``close`` only members with close prints are compared; ``matrix`` tells
+    all similar pairs of many contents at once. ``split`` adds a column cell
+    (bigint) to rows of members, several rows for each, so that two that can be
+    similar share one.
+    """
+    large = _chunks(members, "key", scratch, "large-keys")
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    cells = F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).when(chunk == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
-    rows = members.join(large, ["band", "key"], "left").select("band", "key", "id", "print", F.col("id").alias("part"), F.explode(cells).alias("cell"))
-    links = scratch.save(_solved(rows, contents, prepare, similar, close, matrix), "links")
+    cells = F.when(F.col("chunks").isNull(), F.array(F.col("key"))).otherwise(F.transform(F.when(chunk == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk)), lambda c: F.xxhash64(F.col("key"), c)))
+    rows = members.join(large, "key", "left").select("id", "print", F.col("id").alias("part"), F.explode(cells).alias("cell"))
+    links = scratch.save(_solved(rows, contents, similar, close, matrix), "links")
     if large.isEmpty():
         return links
     parts = scratch.save(components(links), "large-parts").select(F.col("node").alias("id"), "component")
-    rows = members.join(large, ["band", "key"]).join(parts, "id", "left").select("band", "key", "id", "print", F.coalesce("component", "id").alias("part"))
+    rows = members.join(large.select("key"), "key").join(parts, "id", "left").select("key", "id", "print", F.coalesce("component", "id").alias("part"))
     rows = scratch.save(rows, "large-members")
-    sizes = rows.groupBy("band", "key", "part").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    sizes = sizes.select("band", "key", F.col("most.part").alias("main"), F.ceil(F.col("most.n") / CELL).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most.n")) / CELL).cast("int").alias("others"))
-    rows = rows.join(scratch.save(sizes, "large-sizes"), ["band", "key"])
-    # cell (i, j): chunk i of the members outside the main part, and chunk j of those (j < others) or of the main part
-    wide = F.col("mains") + F.col("others")
-    i, j = (F.pmod(F.xxhash64("id"), F.col(c)).cast("int") for c in ("others", "mains"))
-    outside = F.transform(F.sequence(F.lit(0), wide - 1), lambda k: F.when(k < i, k * wide + i).otherwise(i * wide + k))
-    inside = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: k * wide + F.col("others") + j)
-    rows = rows.select("band", "key", "id", "print", "part", F.explode(F.when(F.col("part") == F.col("main"), inside).otherwise(outside)).alias("cell"))
-    return links.union(scratch.save(_solved(rows, contents, prepare, similar, close, matrix), "large-links"))
+    several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    rows = split(rows.join(scratch.save(several, "several-parts"), "key"), contents).select("id", "print", "part", "cell").distinct()
+    rows = scratch.save(rows, "split-members")
+    large = _chunks(rows, "cell", scratch, "large-cells")
+    # each pair of chunks is a cell of its own
+    mates = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64(F.col("cell"), F.least(c, chunk), F.greatest(c, chunk)))
+    cells = F.when(F.col("chunks").isNull(), F.array(F.col("cell"))).otherwise(mates)
+    rows = rows.join(large, "cell", "left").select("id", "print", "part", F.explode(cells).alias("cell"))
+    return links.union(scratch.save(_solved(rows, contents, similar, close, matrix), "large-links"))
 
 
 def contents(docs: DataFrame, first: DataFrame, content: Callable[[str, list[int]], list[bytes | None]], scratch: Scratch, by_text: bool = False) -> DataFrame:
@@ -229,13 +249,6 @@ def classes(distinct: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
     return scratch.save(linked.select("id", "class_id").join(least, F.col("class_id") == F.col("c")).drop("c"), "keepers")
 
 
-def repeated(occurrences: DataFrame, kept: DataFrame) -> DataFrame:
-    """doc_id, no, keep_doc, keep_no, class_id of the ``occurrences`` (id, doc_id, no) that aren't the first (low) of their class."""
-    rows = occurrences.select("id", "doc_id", "no").join(kept, "id")
-    same = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("no") == F.col("low.no"))
-    return rows.where(~same).select("doc_id", "no", F.col("low.doc_id").alias("keep_doc"), F.col("low.no").alias("keep_no"), "class_id")
-
-
 def without(docs: DataFrame, removed: DataFrame, scratch: Scratch, cut: Callable[[str, set[int]], str | None], by_text: bool = False) -> DataFrame:
     """All columns of ``docs``, its text as ``cut`` leaves it without the ``removed`` units (doc_id, no; with ``by_text`` also text_id), and as the last column, REMOVED or ``fresh``, how many it has lost."""
     key, lost, count = (fresh(docs.columns, x) for x in ("__gone_key", "__gone", REMOVED))

@@ -386,26 +386,45 @@ def test_near_paragraphs_meet():
 
 
 def test_large_keys_lose_no_link(spark, monkeypatch):
-    """Members of a key that is dealt into chunks link as if all were compared with all."""
+    """Members of a key that is dealt into chunks, and then by rare shingles, link as if all were compared with all."""
     rng = random.Random(23)
     sets = {i: {rng.randrange(9) for _ in range(6)} | {100 + i % 7 * rng.randrange(2)} for i in range(60)}
     monkeypatch.setattr(units, "CELL", 8)
-    members = spark.createDataFrame([(0, k, i, 0) for i in sets for k in (1, 2) if k == 1 or i % 2], "band int, key long, id long, print long")
+    members = spark.createDataFrame([(k, i, 0) for i in sets for k in (1, 2) if k == 1 or i % 2], "key long, id long, print long")
     held = spark.createDataFrame([(i, np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()], "id long, content binary")
     similar = [(a, b) for a in sets for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
     for how in (None, paragraphs.matrix):
-        edges = units.verified(members, held, paragraphs._prepared, paragraphs.similar, Scratch(spark, "test-cells"), matrix=how)
+        edges = units.verified(members, held, paragraphs.similar, Scratch(spark, "test-cells"), paragraphs.split, matrix=how)
         assert roots(sets, [(r["src"], r["dst"]) for r in edges.collect()]) == roots(sets, similar)
     assert len(set(roots(sets, similar).values())) > 2
 
 
+def test_large_keys_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(units, "CELL", 8)
+    rng = random.Random(25)
+    texts = [" ".join(words(rng, 6, 12)) for _ in range(70)]
+    flat = "".join(t + " " for t in texts).encode()
+    prints = lines.sketched(lines.minima(np.frombuffer(flat, np.uint8), np.array([len(t) + 1 for t in texts])), np.array([len(t) for t in texts]))[1]
+    members = spark.createDataFrame([(1, i, int(p)) for i, p in enumerate(prints)], "key long, id long, print long")
+    held = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, content binary")
+    want = [(i, j) for i in range(70) for j in range(i) if lines.close(prints[i : i + 1], prints[j : j + 1])[0] and edit_similar(texts[i].encode(), texts[j].encode())]
+    edges = units.verified(members, held, lines.linked, Scratch(spark, "test-line-cells"), lines.split, lines.close)
+    assert roots(range(70), [(r["src"], r["dst"]) for r in edges.collect()]) == roots(range(70), want)
+    assert 1 < len(set(roots(range(70), want).values())) < 70
+
+
 def test_long_keys_pass(spark, monkeypatch):
+    """Rows that meet others come out whatever the size of their key, and units that meet under several keys once."""
     monkeypatch.setattr(units, "HELD", 50)
     rng = random.Random(24)
-    rows = [(b, k, i, 0) for i, (b, k) in enumerate([(0, 1)] * 400 + [(rng.randrange(3), rng.randrange(2, 90)) for _ in range(200)])]
-    counts = Counter(r[:2] for r in rows)
-    found = units.meeting(spark.createDataFrame(rows, "band int, key long, id long, print long")).collect()
-    assert sorted(map(tuple, found)) == sorted(r for r in rows if counts[r[:2]] > 1)
+    rows = [(k, i, 0) for i, k in enumerate([1] * 400 + [rng.randrange(2, 200) for _ in range(200)])]
+    rows += [(1000 + k, i, 0) for k in range(5) for i in (1001, 1002)]
+    counts = Counter(r[0] for r in rows)
+    found = defaultdict(set)
+    for r in units.meeting(spark.createDataFrame(rows, "key long, id long, print long")).collect():
+        found[r["key"]].add(r["id"])
+    want = {frozenset(i for k, i, _ in rows if k == key) for key in counts if counts[key] > 1}
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want)) and {1001, 1002} in found.values()
 
 
 def test_clashing_names(spark):

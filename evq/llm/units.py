@@ -123,39 +123,40 @@ def forest(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bo
         made = [*apart, some]
 
 
-def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], parts: list[int], prints: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
-    """As ``forest``, of the links between members with ``close`` prints."""
+def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], parts: list[int], prints: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray], key: int | None, keys: list[set[int]]) -> Iterator[tuple[int, int]]:
+    """As ``forest``, of the links between members with ``close`` prints. Of a pair that meets under several ``keys`` only the least one looks at it, unless there is no ``key``."""
     root = np.unique(parts, return_inverse=True)[1]
     for i in range(1, len(ids)):
         for j in np.flatnonzero(close(prints[:i], prints[i : i + 1]) & (root[:i] != root[i])):
-            if root[i] != root[j] and similar(contents[i], contents[j]):
+            if root[i] != root[j] and (key is None or min(keys[i] & keys[j]) == key) and similar(contents[i], contents[j]):
                 yield ids[i], ids[j]
                 root[root == root[i]] = root[j]
 
 
 def _solved(rows: DataFrame, contents: DataFrame, similar, close, matrix) -> DataFrame:
-    """src, dst of the links in each cell of ``rows`` (cell, id, print, part) between members of different parts."""
-    rows = rows.join(contents, "id").select("cell", "id", "print", "part", "content").repartition("cell").sortWithinPartitions("cell")
+    """src, dst of the links in each cell of ``rows`` (cell, id, print, part, key) between members of different parts; ``contents`` has id, content and keys."""
+    rows = rows.join(contents, "id").select("cell", "id", "print", "part", "content", "key", "keys").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, prints, parts, held = None, [], [], [], []
+        at, key, ids, prints, parts, held, sets = None, None, [], [], [], [], []
 
         def done() -> list[tuple[int, int]]:
             if matrix is not None and len(ids) > 32:
                 return list(_spanning(ids, matrix(held), parts))
-            return list(forest(ids, held, similar, parts) if close is None else sparse(ids, held, similar, parts, np.array(prints), close))
+            return list(forest(ids, held, similar, parts) if close is None else sparse(ids, held, similar, parts, np.array(prints), close, key, sets))
 
         for batch in batches:
             edges = []
-            for key, unit, found, part, content in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if key != at:
+            for cell, unit, found, part, content, of, keys in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if cell != at:
                     if len(ids) > 1:
                         edges += done()
-                    at, ids, prints, parts, held = key, [], [], [], []
+                    at, key, ids, prints, parts, held, sets = cell, of, [], [], [], [], []
                 ids.append(unit)
                 prints.append(found)
                 parts.append(part)
                 held.append(content)
+                sets.append(set(keys))
             yield _edges(edges)
         if len(ids) > 1:
             yield _edges(done())
@@ -197,9 +198,13 @@ def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, An
     similar share one.
     """
     large = _chunks(members, "key", scratch, "large-keys")
+    if close is None:
+        contents = contents.withColumn("keys", F.array().cast("array<bigint>"))
+    else:
+        contents = contents.join(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     cells = F.when(F.col("chunks").isNull(), F.array(F.col("key"))).otherwise(F.transform(F.when(chunk == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk)), lambda c: F.xxhash64(F.col("key"), c)))
-    rows = members.join(large, "key", "left").select("id", "print", F.col("id").alias("part"), F.explode(cells).alias("cell"))
+    rows = members.join(large, "key", "left").select("id", "print", F.col("id").alias("part"), "key", F.explode(cells).alias("cell"))
     links = scratch.save(_solved(rows, contents, similar, close, matrix), "links")
     if large.isEmpty():
         return links
@@ -207,13 +212,13 @@ def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, An
     rows = members.join(large.select("key"), "key").join(parts, "id", "left").select("key", "id", "print", F.coalesce("component", "id").alias("part"))
     rows = scratch.save(rows, "large-members")
     several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    rows = split(rows.join(scratch.save(several, "several-parts"), "key"), contents).select("id", "print", "part", "cell").distinct()
+    rows = split(rows.join(scratch.save(several, "several-parts"), "key"), contents.select("id", "content")).select("id", "print", "part", "cell").distinct()
     rows = scratch.save(rows, "split-members")
     large = _chunks(rows, "cell", scratch, "large-cells")
     # each pair of chunks is a cell of its own
     mates = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64(F.col("cell"), F.least(c, chunk), F.greatest(c, chunk)))
     cells = F.when(F.col("chunks").isNull(), F.array(F.col("cell"))).otherwise(mates)
-    rows = rows.join(large, "cell", "left").select("id", "print", "part", F.explode(cells).alias("cell"))
+    rows = rows.join(large, "cell", "left").select("id", "print", "part", F.lit(None).cast("bigint").alias("key"), F.explode(cells).alias("cell"))
     return links.union(scratch.save(_solved(rows, contents, similar, close, matrix), "large-links"))
 
 

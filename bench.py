@@ -51,7 +51,7 @@ def shipped(engine: Engine, body: str, mode: str) -> int:
     """Records that leave the scans."""
     compiled = compile_source(program(body))
     run = engine.run(compiled, mode="optimized")
-    return sum((engine.scan(s, run.window) if mode == "optimized" else engine.catalog.table(s["entity"])).count() for s in run.plan["streams"])
+    return sum((engine.scan(s, run.window) if mode == "optimized" else engine.catalog.table(s["entity"])).count() for s in run.plan["scans"])
 
 
 def main() -> None:

@@ -65,10 +65,11 @@ def _compile(args) -> int:
         _show(found[args.emit] if args.emit else found["plans"])
     if args.policy:
         targets = args.targets.split(",") if args.targets else [t.text for t in compiled.program.targets or []]
-        decisions = policy.decide_all(policy.load(args.policy), targets, compiled.plan(args.mode)["capabilities"]["required"])
-        for d in decisions:
-            print(f"{d.target}: {d.decision}" + "".join(f"\n  {r}" for r in d.reasons), file=sys.stderr)
-        if not all(d.allowed for d in decisions):
+        rules, needed = policy.load(args.policy), compiled.plan(args.mode)["capabilities"]["required"]
+        refused = {t: policy.refusals(rules, t, needed) for t in targets}
+        for host, found in refused.items():
+            print(f"{host}: {'refused' if found else 'granted'}" + "".join(f"\n  {p}: {why}" for p, why in found.items()), file=sys.stderr)
+        if any(refused.values()):
             return REJECTED
     return OK
 
@@ -80,7 +81,7 @@ def _run(args) -> int:
     if args.out:
         _show(run.write(args.out))
     else:
-        emits = any(x["op"] == "emit" for x in run.body["plan"]["central"])
+        emits = any(x["op"] == "emit" for x in run.body["plan"]["steps"])
         n = run.execution.findings().count() if emits else 0
         _show({"findings": n, "digest": run.execution.digest()})
     return OK
@@ -99,16 +100,16 @@ def _keygen(args) -> int:
     with os.fdopen(os.open(args.out, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as f:
         f.write(secret.hex() + "\n")
     public = ed25519.public_key(secret)
-    _show({"key_id": contract.key_id(public), "public_key": base64.b64encode(public).decode()})
+    _show({"fingerprint": contract.fingerprint(public), "public_key": base64.b64encode(public).decode()})
     return OK
 
 
 def _verify(args) -> int:
     envelope = json.loads(Path(args.contract).read_text(encoding="utf-8"))
-    public = base64.b64decode(args.pubkey or envelope["contract"]["issuer"]["public_key"])
-    out = contract.verify(envelope, public, host=args.host, at=args.at, strict=args.strict)
-    _show(out.checks)
-    return OK if out.ok else UNVERIFIED
+    public = base64.b64decode(args.pubkey) if args.pubkey else contract.own_key(envelope)
+    failed = contract.failures(envelope, public, at=args.at, strict=args.strict, host=args.host)
+    _show({"contract": envelope["claims"]["id"], "failed": failed})
+    return UNVERIFIED if failed else OK
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -20,11 +20,11 @@ def compare(spark: SparkSession, program: str, catalog: Catalog, at: str | None
     for mode in MODES:
         start = time.time()
         run = Run(spark, program, catalog, secret, mode=mode, at=at)
-        sizes = [run.evidence(s).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("json") + 1), F.lit(0))).first() for s in run.body["plan"]["streams"]]
+        sizes = [run.evidence(s).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("json") + 1), F.lit(0))).first() for s in run.body["plan"]["scans"]]
         out[mode] = {"records": sum(x[0] for x in sizes), "bytes": sum(x[1] for x in sizes), "digest": run.execution.digest(), "seconds": round(time.time() - start, 3)}
     small, large = out["optimized"], out["naive"]
     saved = lambda k: round(100 * (1 - small[k] / large[k]), 2) if large[k] else 0.0
     return out | {
         "same_digest": small["digest"] == large["digest"], "records_saved_percent": saved("records"), "bytes_saved_percent": saved("bytes"),
-        "speed_up": round(large["seconds"] / max(small["seconds"], 1e-3), 2), "rewrites": Run(spark, program, catalog, secret, at=at).body["plan"]["rewrites"],
+        "speed_up": round(large["seconds"] / max(small["seconds"], 1e-3), 2), "notes": Run(spark, program, catalog, secret, at=at).body["plan"]["notes"],
     }

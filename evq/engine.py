@@ -113,20 +113,20 @@ class Execution:
         return self.streams.get(node) or self.nodes[node]
 
     def _node(self, op: str, binding: str | None) -> dict:
-        found = [x for x in self.plan["central"] if x["op"] == op and binding in (None, x["binding"])]
+        found = [x for x in self.plan["steps"] if x["op"] == op and binding in (None, x["binding"])]
         if not found:
             raise LookupError(f"the program has no `{op}` of {binding or 'anything'}")
         return found[0]
 
     def frame(self, binding: str) -> DataFrame:
         """What a binding holds: flat records, or a struct for each alias."""
-        for x in reversed(self.plan["central"]):
+        for x in reversed(self.plan["steps"]):
             if x.get("binding") == binding and x["op"] not in ("emit", "preserve"):
                 return self.nodes[x["id"]].df
-        for s in self.plan["streams"]:
+        for s in self.plan["scans"]:
             if s["id"] == f"s_{binding}":
                 return self.streams[s["id"]].df
-        outputs = [x for x in self.plan["central"] if x.get("binding") == binding]
+        outputs = [x for x in self.plan["steps"] if x.get("binding") == binding]
         if outputs:
             return self.value(outputs[0]["inputs"][0]).df
         raise LookupError(f"'{binding}' reaches no output")
@@ -134,7 +134,7 @@ class Execution:
     def findings(self, binding: str | None = None) -> DataFrame:
         """All findings, or those of one binding."""
         made = None
-        for x in self.plan["central"]:
+        for x in self.plan["steps"]:
             if x["op"] == "emit" and binding in (None, x["binding"]):
                 frame = self.value(x["inputs"][0])
                 aliases = [c["alias"] for c in x["components"]]
@@ -160,7 +160,7 @@ class Execution:
 
     def digest(self) -> str:
         """SHA-256 of the sorted finding digests; of an empty list if nothing is emitted."""
-        if not any(x["op"] == "emit" for x in self.plan["central"]):
+        if not any(x["op"] == "emit" for x in self.plan["steps"]):
             return digest([])
         return fd.list_digest(self.findings().select("digest"))
 
@@ -178,9 +178,9 @@ class Engine:
     def execute(self, chosen: dict, window: dict | None, frozen: dict[str, DataFrame] | None = None) -> Execution:
         """``frozen`` gives the streams as they were, by id; else they are scanned."""
         out = Execution(chosen, window, cap=self.cap)
-        for s in chosen["streams"]:
+        for s in chosen["scans"]:
             out.streams[s["id"]] = self.stream(s, chosen, window, out) if frozen is None else self._shaped(frozen[s["id"]], s)
-        for x in chosen["central"]:
+        for x in chosen["steps"]:
             inputs = [out.value(i) for i in x["inputs"]]
             out.nodes[x["id"]] = self.node(x, inputs, window)
         return out
@@ -200,12 +200,12 @@ class Engine:
     def scan(self, s: dict, window: dict | None) -> DataFrame:
         """The table's records in the plan's bounds of time that meet its predicate."""
         df = self.catalog.table(s["entity"])
-        if s["time"]:
-            df = self._in_time(df, self._bounds(window, s["time"]["within_seconds"]))
-        return df.where(to_column(s["predicate"], F.col)) if s["predicate"] else df
+        if s["bound"]:
+            df = self._in_time(df, self._bounds(window, s["bound"]["seconds"]))
+        return df.where(to_column(s["where"], F.col)) if s["where"] else df
 
     def stream(self, s: dict, chosen: dict, window: dict | None, out: Execution) -> Frame:
-        readers = [x for x in chosen["central"] if s["id"] in x["inputs"]]
+        readers = [x for x in chosen["steps"] if s["id"] in x["inputs"]]
         keys = readers[0]["keys"] if len(readers) == 1 and readers[0]["op"] in ("join", "sequence") and chosen["mode"] == "optimized" else ()
         df = records.first_of_key(self.scan(s, window), s["entity"], keys)
         df = records.labelled(df, s["entity"], self.catalog.name)
@@ -217,7 +217,7 @@ class Engine:
         return self._shaped(df, s)
 
     def _shaped(self, df: DataFrame, s: dict) -> Frame:
-        names = s["fields"] if s["fields"] is not None else list(ENTITIES[s["entity"]].fields)
+        names = s["columns"] if s["columns"] is not None else list(ENTITIES[s["entity"]].fields)
         schema = {f: k for f, k in ENTITIES[s["entity"]].schema.items() if f in (*names, "host", "time")}
         labels = [c for c in ("observed_at", "collector", "collector_version", "source") if c in df.columns]
         return Frame(df.select("evidence_id", "host", "time", "time_source", *labels, *(f for f in schema if f not in ("host", "time"))), {"": s["entity"]}, {"": schema}, True)
@@ -256,10 +256,10 @@ class Engine:
         compiled = compile_source(program)
         chosen, window = compiled.plan(), resolved_window(compiled.analysis.window, at or self.catalog.reference_time)
         made = None
-        for s in chosen["streams"]:
-            bounds = s["time"] and self._bounds(window, s["time"]["within_seconds"])
+        for s in chosen["scans"]:
+            bounds = s["bound"] and self._bounds(window, s["bound"]["seconds"])
             in_time = F.col("time").between(*(F.lit(b).cast("timestamp_ntz") for b in bounds)) if bounds else F.lit(True)
-            meets = F.coalesce(to_column(s["predicate"], F.col), F.lit(False)) if s["predicate"] else F.lit(True)
+            meets = F.coalesce(to_column(s["where"], F.col), F.lit(False)) if s["where"] else F.lit(True)
             rows = self.catalog.table(s["entity"]).select(*ENTITIES[s["entity"]].natural_key, in_time.alias("__time"), (in_time & meets).alias("__meets"))
             total = rows.agg(F.count("*").alias("collected"), F.count_if("__time").alias("after_time"), F.count_if("__meets").alias("after_predicate"))
             unique = rows.where("__meets").select(*ENTITIES[s["entity"]].natural_key).distinct().agg(F.count("*").alias("after_dedupe"))

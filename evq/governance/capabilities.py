@@ -12,10 +12,10 @@ CONTENT = "acquire:file.content"
 def stream_capabilities(stream: dict) -> set[str]:
     """The entity's own privilege and those of gated fields that are shipped or compared; all fields if none are named."""
     entity = ENTITIES[stream["entity"]]
-    named = stream.get("fields")
-    read = set(entity.fields) if named is None else set(named) | fields_of(stream.get("predicate"))
+    named = stream.get("columns")
+    read = set(entity.fields) if named is None else set(named) | fields_of(stream.get("where"))
     found = {entity.capability} | {need for field, need in entity.gated.items() if field in read}
-    return found | ({CONTENT} if stream.get("acquire_content") else set())
+    return found | ({CONTENT} if stream.get("content") else set())
 
 
 def plan_capabilities(streams: list[dict], central: list[dict]) -> dict:

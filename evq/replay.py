@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import base64
 import json
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evq.catalog import ENTITIES, Catalog
-from evq.engine import Compiled, Engine, Execution, compile_source
+from evq.engine import Compiled, Engine, Execution, compile_source, digest
 from evq.governance import contract as ct
 from evq.operators import findings as fd
 from evq.operators.correlate import key_intersection
@@ -26,23 +26,23 @@ class Run:
     def __init__(self, spark: SparkSession, program: str | Compiled, catalog: Catalog, secret: bytes, host: str = "OFFLINE-01", mode: str = "optimized", at: str | None = None):
         self.spark, self.catalog = spark, catalog
         self.compiled = compile_source(program) if isinstance(program, str) else program
-        self.envelope = ct.build(self.compiled, [{"host": host, "platform": "offline"}], secret, mode=mode, at=at or catalog.reference_time)
-        self.body = self.envelope["contract"]
+        self.contract = ct.issue(self.compiled, {host: "offline"}, secret, mode=mode, at=at or catalog.reference_time)
+        self.body = self.contract["claims"]
         self.execution: Execution = Engine(catalog).execute(self.body["plan"], self.body["window"])
 
-    def reduced(self, stream: dict) -> DataFrame:
-        """The stream's records that can be part of its correlation: those whose keys all of its inputs have."""
-        frames, plan = self.execution.streams, self.body["plan"]
-        group = next((g for g in plan["reduce_groups"] if g["id"] == stream["reduce_group"]), None)
-        if group is None:
-            return frames[stream["id"]].df
-        return key_intersection([frames[s].df for s in group["streams"]], group["keys"])[group["streams"].index(stream["id"])]
+    def reduced(self, scan: dict) -> DataFrame:
+        """The scan's records that can be part of its correlation: those whose keys all of its inputs have."""
+        frames, feeds = self.execution.streams, scan["feeds"]
+        if feeds is None:
+            return frames[scan["id"]].df
+        inputs = next(x["inputs"] for x in self.body["plan"]["steps"] if x["id"] == feeds["step"])
+        return key_intersection([frames[i].df for i in inputs], feeds["keys"])[inputs.index(scan["id"])]
 
     def evidence(self, stream: dict) -> DataFrame:
         """The stream's sealed records: evidence_id, time, sha256, json."""
         frame = self.execution.streams[stream["id"]]
         names = [f for f in frame.schemas[""] if f not in ("host", "time")]
-        return sealed(self.reduced(stream), stream["entity"], names, self.body["execution_id"], ct.contract_hash(self.envelope))
+        return sealed(self.reduced(stream), stream["entity"], names, self.body["run"], digest(self.body))
 
     def write(self, folder: str) -> dict:
         """contract.json, evidence/<stream>.jsonl, findings.json, provenance/<finding>.json and result.json below a local folder.
@@ -53,19 +53,17 @@ class Run:
         top = Path(folder)
         (top / "evidence").mkdir(parents=True, exist_ok=True)
         (top / "provenance").mkdir(exist_ok=True)
-        _dump(top / "contract.json", self.envelope)
-        plan, counts = self.body["plan"], {}
-        records = None
-        for s in plan["streams"]:
+        _dump(top / "contract.json", self.contract)
+        plan, counts, kept = self.body["plan"], {}, []
+        for s in plan["scans"]:
             rows = self.evidence(s).persist()
             with (top / "evidence" / f"{s['id']}.jsonl").open("w", encoding="utf-8") as out:
                 counts[s["id"]] = sum(1 for r in rows.orderBy("time", "evidence_id").toLocalIterator() if out.write(r["json"] + "\n"))
-            records = rows if records is None else records.unionByName(rows)
-        digest = self.execution.digest()
-        n = 0
+            kept.append(rows)
+        n, records = 0, reduce(DataFrame.unionByName, kept)
         with (top / "findings.json").open("w", encoding="utf-8") as out:
             out.write("[")
-            for x in plan["central"]:
+            for x in plan["steps"]:
                 if x["op"] == "emit":
                     found = self.execution.findings(x["binding"]).persist()
                     for r in found.orderBy("first_seen", "digest").toLocalIterator():
@@ -75,20 +73,22 @@ class Run:
                         _dump(top / "provenance" / f"{r['finding_id']}.json", self._provenance(r))
                     found.unpersist()
             out.write("\n]\n")
-        result = {"digest": digest, "findings": n, "records": counts, "mode": plan["mode"]}
+        result = {"digest": self.execution.digest(), "findings": n, "records": counts, "mode": plan["mode"]}
         result["preserved"] = {}
-        for x in plan["central"]:
+        for x in plan["steps"]:
             if x["op"] == "preserve":
                 ids = self.execution.preserved(x["binding"])
                 result["preserved"][x["binding"]] = {"count": ids.count(), "digest": fd.list_digest(ids), "with_content": x["with_content"]}
+        for rows in kept:
+            rows.unpersist()
         _dump(top / "result.json", result)
         return result
 
     def write_tables(self, folder: str) -> None:
         """evidence (by entity and stream) and findings as Parquet, anywhere Spark can write."""
-        for s in self.body["plan"]["streams"]:
+        for s in self.body["plan"]["scans"]:
             self.evidence(s).write.mode("overwrite").parquet(f"{folder}/evidence/entity={s['entity']}/stream={s['id']}")
-        if any(x["op"] == "emit" for x in self.body["plan"]["central"]):
+        if any(x["op"] == "emit" for x in self.body["plan"]["steps"]):
             self.execution.findings().write.mode("overwrite").parquet(f"{folder}/findings")
 
     def _provenance(self, r) -> dict:
@@ -96,10 +96,10 @@ class Run:
         for e in raw:
             if "collector" in e:
                 e["collector"] = {"name": e["collector"], "version": e["collector_version"]}
-        keep = ("contract_id", "execution_id", "plan_hash", "issued_at", "expires_at", "required_capabilities", "investigation")
+        keep = ("id", "run", "question", "sums", "from", "until", "privileges")
         return {
             "finding": json.loads(r["document"]) | {"finding_id": r["finding_id"]}, "derived": [{"links": [x.asDict() for x in chain]} for chain in r["links"]], "evidence": raw,
-            "hosts": sorted({e["host"] for e in raw if "host" in e}), "contract": {k: self.body[k] for k in keep} | {"signature": self.envelope["signature"]},
+            "hosts": sorted({e["host"] for e in raw if "host" in e}), "contract": {k: self.body[k] for k in keep} | {"proof": self.contract["proof"]},
         }
 
 
@@ -132,25 +132,29 @@ def frozen(spark: SparkSession, path: str, entity: str) -> DataFrame:
     return rows.select("r.evidence_id", "r.host", time, "r.time_source", *(F.col(f"r.fields.`{f}`").alias(f) for f in fields), intact.alias("__intact"))
 
 
+#: Damaged records that a replay names; it counts them all.
+NAMED = 100
+
+
 def replay(spark: SparkSession, folder: str, public: bytes | None = None) -> dict:
-    """Checks the contract as of its issue, every record's hash, and whether the plan over the frozen records gives the same digest."""
+    """Whether a run folder is what it was and gives the same findings again.
+
+    failed: checks that its contract fails as of its first second. damaged: how
+    many of the records don't have their hash, and some of them by id. digest:
+    as it was written, and of the plan over the records.
+    """
     top = Path(folder)
-    envelope = json.loads((top / "contract.json").read_text(encoding="utf-8"))
-    original = json.loads((top / "result.json").read_text(encoding="utf-8"))["digest"]
-    body = envelope["contract"]
-    checked = ct.verify(envelope, public or base64.b64decode(body["issuer"]["public_key"]), at=body["issued_at"])
-    tampered, streams, total = [], {}, 0
-    for s in body["plan"]["streams"]:
-        rows = frozen(spark, str(top / "evidence" / f"{s['id']}.jsonl"), s["entity"])
-        # a good run has none of these
-        tampered += [r[0] for r in rows.where(~F.coalesce("__intact", F.lit(False))).select("evidence_id").collect()]
-        total += rows.count()
-        streams[s["id"]] = rows.drop("__intact")
-    run = Engine(Catalog()).execute(body["plan"], body["window"], streams)
-    again = run.digest()
+    contract, written = (json.loads((top / f"{name}.json").read_text(encoding="utf-8")) for name in ("contract", "result"))
+    claims = contract["claims"]
+    tables = {s["id"]: frozen(spark, str(top / "evidence" / f"{s['id']}.jsonl"), s["entity"]) for s in claims["plan"]["scans"]}
+    hashes = reduce(DataFrame.unionByName, (t.select("evidence_id", F.coalesce("__intact", F.lit(False)).alias("intact")) for t in tables.values()))
+    seen, damaged = hashes.agg(F.count("*"), F.count_if(~F.col("intact"))).first()
+    names = hashes.where(~F.col("intact")).orderBy("evidence_id").limit(NAMED) if damaged else None
+    again = Engine(Catalog()).execute(claims["plan"], claims["window"], {k: t.drop("__intact") for k, t in tables.items()}).digest()
+    failed = ct.failures(contract, public or ct.own_key(contract), at=claims["from"])
     return {
-        "contract_verified": checked.ok, "contract_checks": checked.checks, "records_checked": total, "tampered_records": sorted(tampered),
-        "original_digest": original, "replay_digest": again, "match": checked.ok and not tampered and again == original,
+        "match": not failed and not damaged and again == written["digest"], "failed": failed, "digest": {"written": written["digest"], "again": again},
+        "records": seen, "damaged": damaged, "damaged_ids": [r["evidence_id"] for r in names.collect()] if damaged else [],
     }
 
 

@@ -17,14 +17,14 @@ _RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("evidence_id"
 
 def put(run: Run, folder: str) -> None:
     """Insert or replace the run's records and findings."""
-    execution = run.body["execution_id"]
-    for i, s in enumerate(run.body["plan"]["streams"]):
+    execution = run.body["run"]
+    for i, s in enumerate(run.body["plan"]["scans"]):
         frame = run.execution.streams[s["id"]].df.select("evidence_id", "host")
         rows = run.evidence(s).join(frame, "evidence_id").withColumns({"stream": F.lit(s["id"]), "execution_id": F.lit(execution), "entity": F.lit(s["entity"])})
-        earlier = any(x["entity"] == s["entity"] for x in run.body["plan"]["streams"][:i])
+        earlier = any(x["entity"] == s["entity"] for x in run.body["plan"]["scans"][:i])
         writer = rows.select(*_RECORD.names).write.partitionBy("execution_id", "entity").option("partitionOverwriteMode", "dynamic")
         writer.mode("append" if earlier else "overwrite").parquet(f"{folder}/evidence")
-    if any(x["op"] == "emit" for x in run.body["plan"]["central"]):
+    if any(x["op"] == "emit" for x in run.body["plan"]["steps"]):
         found = run.execution.findings().withColumn("execution_id", F.lit(execution))
         found.write.partitionBy("execution_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/findings")
 

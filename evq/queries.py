@@ -48,9 +48,9 @@ def _chains(body: str, name: str, columns: dict[str, str], sql: str, window: str
 
 
 _NET = "direction = 'outbound' AND NOT starts_with(remote_ip, '127.')"
-SHELLS = 'let p = observe Process | filter name in ["PowerShell.exe", "pwsh"]'
-DROPS = 'let f = observe File | filter action == "create"'
-BEACONS = 'let n = observe NetworkConnection | filter direction == "outbound" and not remote_ip in cidr("127.0.0.0/8")'
+CONSOLES = 'let p = observe Process | filter name in ["PowerShell.exe", "pwsh"]'
+WRITES = 'let f = observe File | filter action == "create"'
+OUTWARD = 'let n = observe NetworkConnection | filter not remote_ip in cidr("127.0.0.0/8") and direction == "outbound"'
 _P = scan("Process", "name IN ('PowerShell.exe', 'pwsh')")
 _F = scan("File", "action = 'create'")
 _N = scan("NetworkConnection", _NET)
@@ -77,7 +77,7 @@ def _three(days: int, cap: int = correlate.CAP, where: str = "true") -> str:
 
 
 def _sequence3(stages: str = "", days: int = 30, cap: int = correlate.CAP, where: str = "true") -> Query:
-    body = f"{SHELLS}\n{DROPS}\n{BEACONS}\nlet s = sequence p -> f -> n on host, pid within {days}d {stages}\nemit finding s"
+    body = f"{CONSOLES}\n{WRITES}\n{OUTWARD}\nlet s = sequence p -> f -> n on host, pid within {days}d {stages}\nemit finding s"
     return _chains(body, "s", _PFN, _three(days, cap, where), cap=cap)
 
 
@@ -94,12 +94,12 @@ def _preserve(body: str, name: str, sql: str) -> Query:
 
 
 def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = f"{SHELLS}\n{DROPS} | within 1200d\nlet j = join p, f on host, pid\nemit finding j"
+    body = f"{CONSOLES}\n{WRITES} | within 1200d\nlet j = join p, f on host, pid\nemit finding j"
     return Engine(catalog(spark, sf_dir)).counters(_program(body, "window last 1500d"))
 
 
 def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = Engine(catalog(spark, sf_dir)).run(_program(f"{SHELLS}\n{DROPS}\n{BEACONS}\nlet s = sequence p -> f -> n on host, pid within 30d\nemit finding s"))
+    run = Engine(catalog(spark, sf_dir)).run(_program(f"{CONSOLES}\n{WRITES}\n{OUTWARD}\nlet s = sequence p -> f -> n on host, pid within 30d\nemit finding s"))
     frames = [run.streams[f"s_{x}"].df for x in "pfn"]
     kept = correlate.key_intersection(frames, ["host", "pid"])
     rows = [df.select(F.lit(x).alias("stream"), "evidence_id") for x, df in zip("pfn", kept)]
@@ -157,11 +157,11 @@ QUERIES: dict[str, Query] = {
         f"SELECT evidence_id, time, domain FROM {scan('User')} WHERE time <= TIMESTAMP '1998-06-01'",
     ),
     "dedupe_after_window": _records("User", "", "time >= TIMESTAMP '1998-06-01' AND time <= TIMESTAMP '1999-06-01'", 'window from "1998-06-01T00:00:00Z" to "1999-06-01T00:00:00Z"'),
-    "join_inner": _chains(f"{SHELLS}\n{DROPS}\nlet j = join p, f on host, pid\nemit finding j", "j", _PF, f"SELECT {_listed(_PF)} FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid"),
-    "join_within": _chains(f"{SHELLS}\n{DROPS}\nlet j = join p, f on host, pid within 20d\nemit finding j", "j", _PF, f"SELECT {_listed(_PF)} FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time BETWEEN p.time - INTERVAL 20 DAY AND p.time + INTERVAL 20 DAY"),
+    "join_inner": _chains(f"{CONSOLES}\n{WRITES}\nlet j = join p, f on host, pid\nemit finding j", "j", _PF, f"SELECT {_listed(_PF)} FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid"),
+    "join_within": _chains(f"{CONSOLES}\n{WRITES}\nlet j = join p, f on host, pid within 20d\nemit finding j", "j", _PF, f"SELECT {_listed(_PF)} FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time BETWEEN p.time - INTERVAL 20 DAY AND p.time + INTERVAL 20 DAY"),
     "join_no_host": _chains(f"{_event('a', 'signup')}\n{_event('c', 'error')}\nlet v = c | select pid, message\nlet j = join a, v on pid within 1h\nemit finding j", "j", {"a": "a.evidence_id", "v": "v.evidence_id"}, f"SELECT a.evidence_id AS a, v.evidence_id AS v FROM {_events('signup')} a JOIN {_events('error')} v ON a.pid = v.pid AND v.time BETWEEN a.time - INTERVAL 1 HOUR AND a.time + INTERVAL 1 HOUR"),
     "join_null_keys": _chains("let f = observe File | filter size > 45\nlet g = observe File | filter size < 3\nlet j = join f, g on pid\nemit finding j", "j", {"f": "f.evidence_id", "g": "g.evidence_id"}, f"SELECT f.evidence_id AS f, g.evidence_id AS g FROM {scan('File', 'size > 45')} f JOIN {scan('File', 'size < 3')} g ON f.pid = g.pid"),
-    "sequence_2": _chains(f"{SHELLS}\n{DROPS}\nlet s = sequence p -> f on host, pid within 30d\nemit finding s", "s", _PF, f"SELECT {_listed(_PF)} FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time >= p.time AND f.time <= p.time + INTERVAL 30 DAY"),
+    "sequence_2": _chains(f"{CONSOLES}\n{WRITES}\nlet s = sequence p -> f on host, pid within 30d\nemit finding s", "s", _PF, f"SELECT {_listed(_PF)} FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time >= p.time AND f.time <= p.time + INTERVAL 30 DAY"),
     "sequence_3": _sequence3(),
     "sequence_3_wide": _sequence3(days=90),
     "sequence_capped": _sequence3(days=2000, cap=2),
@@ -174,17 +174,17 @@ QUERIES: dict[str, Query] = {
   QUALIFY row_number() OVER (PARTITION BY a.evidence_id ORDER BY b.time, b.evidence_id, c.time, c.evidence_id, d.time, d.evidence_id) <= 100"""),
     "derived_filter": _sequence3('| filter f.size > 20 and (n.remote_port == 443 or p.ppid < 400)', 90, where="f.size > 20 AND (n.remote_port = 443 OR p.ppid < 400)"),
     "derived_filter_below_cap": _sequence3('| filter f.size > 20 and n.remote_port == 443', 2000, 2, "f.size > 20 AND n.remote_port = 443"),
-    "derived_select": _chains(f"{SHELLS}\n{DROPS}\nlet j = join p, f on host, pid within 9d | select p.name, f.path\nlet k = j | filter f.path like \"*7\"\nemit finding k", "k", {"p": "p.evidence_id", "name": "p.name", "path": "f.path", "host": "f.host", "f_time": "f.time"}, f"SELECT p.evidence_id AS p, p.name AS name, f.path AS path, f.host AS host, f.time AS f_time FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time BETWEEN p.time - INTERVAL 9 DAY AND p.time + INTERVAL 9 DAY WHERE ends_with(f.path, '7')"),
+    "derived_select": _chains(f"{CONSOLES}\n{WRITES}\nlet j = join p, f on host, pid within 9d | select p.name, f.path\nlet k = j | filter f.path like \"*7\"\nemit finding k", "k", {"p": "p.evidence_id", "name": "p.name", "path": "f.path", "host": "f.host", "f_time": "f.time"}, f"SELECT p.evidence_id AS p, p.name AS name, f.path AS path, f.host AS host, f.time AS f_time FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time BETWEEN p.time - INTERVAL 9 DAY AND p.time + INTERVAL 9 DAY WHERE ends_with(f.path, '7')"),
     "alias_reuse": _records("Process", '| filter ppid < 900\nlet b = a | filter name == "pwsh"\nlet c = a | select pid\npreserve c\nemit finding b', "ppid < 900"),
-    "shared_stream": _chains(f"{SHELLS}\n{DROPS}\nlet j = join p, f on host, pid within 5d\nlet s = sequence p -> f on host, pid within 5d\nemit finding j\nemit finding s", "j", _PF, f"SELECT {_listed(_PF)} FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time BETWEEN p.time - INTERVAL 5 DAY AND p.time + INTERVAL 5 DAY"),
+    "shared_stream": _chains(f"{CONSOLES}\n{WRITES}\nlet j = join p, f on host, pid within 5d\nlet s = sequence p -> f on host, pid within 5d\nemit finding j\nemit finding s", "j", _PF, f"SELECT {_listed(_PF)} FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time BETWEEN p.time - INTERVAL 5 DAY AND p.time + INTERVAL 5 DAY"),
     "semi_join_reduced": Query(_reduced, " UNION ALL ".join(f"SELECT '{x}' AS stream, evidence_id FROM {t} WHERE (host, pid) IN (SELECT host, pid FROM {_P} INTERSECT SELECT host, pid FROM {_F} INTERSECT SELECT host, pid FROM {_N})" for x, t in zip("pfn", (_P, _F, _N)))),
-    "preserve_ids": _preserve(f"{SHELLS}\n{DROPS}\nlet j = join p, f on host, pid within 15d\npreserve j", "j", f"WITH j AS (SELECT p.evidence_id AS a, f.evidence_id AS b FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time BETWEEN p.time - INTERVAL 15 DAY AND p.time + INTERVAL 15 DAY) SELECT a AS evidence_id FROM j UNION SELECT b FROM j"),
+    "preserve_ids": _preserve(f"{CONSOLES}\n{WRITES}\nlet j = join p, f on host, pid within 15d\npreserve j", "j", f"WITH j AS (SELECT p.evidence_id AS a, f.evidence_id AS b FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time BETWEEN p.time - INTERVAL 15 DAY AND p.time + INTERVAL 15 DAY) SELECT a AS evidence_id FROM j UNION SELECT b FROM j"),
     "emit_evidence": _findings('let a = observe User | filter domain == "copy"\nemit finding a as "copied" severity low', f"SELECT evidence_id AS anchor, host, CAST(1 AS BIGINT) AS n_chains, CAST(1 AS BIGINT) AS n_records, time AS first_seen, time AS last_seen, 'low' AS severity, 'copied' AS title FROM {scan('User', 'domain = ' + chr(39) + 'copy' + chr(39))}", "a"),
-    "emit_derived": _findings(f'{SHELLS}\n{DROPS}\n{BEACONS}\nlet s = sequence p -> f -> n on host, pid within 90d\nemit finding s severity high', f"""WITH c AS (SELECT p.evidence_id AS anchor, p.host AS host, [p.evidence_id, f.evidence_id, n.evidence_id] AS ids, p.time AS a, n.time AS z FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time >= p.time
+    "emit_derived": _findings(f'{CONSOLES}\n{WRITES}\n{OUTWARD}\nlet s = sequence p -> f -> n on host, pid within 90d\nemit finding s severity high', f"""WITH c AS (SELECT p.evidence_id AS anchor, p.host AS host, [p.evidence_id, f.evidence_id, n.evidence_id] AS ids, p.time AS a, n.time AS z FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time >= p.time
   JOIN {_N} n ON n.host = p.host AND n.pid = p.pid AND n.time >= f.time AND n.time <= p.time + INTERVAL 90 DAY QUALIFY row_number() OVER (PARTITION BY p.evidence_id ORDER BY f.time, f.evidence_id, n.time, n.evidence_id) <= 100)
 SELECT anchor, host, count(*) AS n_chains, CAST(len(list_distinct(flatten(list(ids)))) AS BIGINT) AS n_records, min(a) AS first_seen, max(z) AS last_seen, 'high' AS severity, 's' AS title FROM c GROUP BY anchor, host""", "s"),
     "chains_at_cap": Query(
-        lambda spark, sf_dir: Engine(catalog(spark, sf_dir), cap=2).run(_program(f"{SHELLS}\n{DROPS}\nlet s = sequence p -> f on host, pid within 900d\nemit finding s")).chains_at_cap("s"),
+        lambda spark, sf_dir: Engine(catalog(spark, sf_dir), cap=2).run(_program(f"{CONSOLES}\n{WRITES}\nlet s = sequence p -> f on host, pid within 900d\nemit finding s")).chains_at_cap("s"),
         f"WITH c AS (SELECT p.evidence_id AS anchor, count(*) AS n FROM {_P} p JOIN {_F} f ON p.host = f.host AND p.pid = f.pid AND f.time >= p.time AND f.time <= p.time + INTERVAL 900 DAY GROUP BY 1) SELECT anchor, CAST(2 AS BIGINT) AS chains FROM c WHERE n >= 2",
     ),
     "stream_counters": Query(_counters, " UNION ALL ".join(
@@ -201,6 +201,6 @@ SELECT anchor, host, count(*) AS n_chains, CAST(len(list_distinct(flatten(list(i
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shell starts, drops a file, connects out: the findings."""
-    program = _program(f'{SHELLS}\n{DROPS}\n{BEACONS}\nlet s = sequence p -> f -> n on host, pid within 90d\nemit finding s as "shell, file, connection" severity high')
+    program = _program(f'{CONSOLES}\n{WRITES}\n{OUTWARD}\nlet s = sequence p -> f -> n on host, pid within 90d\nemit finding s as "shell, file, connection" severity high')
     found = Engine(catalog(spark, sf_dir)).run(program).findings("s")
     return found.select("finding_id", "digest", "anchor", "host", F.size("chains").alias("n_chains"), "first_seen", "last_seen", "severity", "title")

@@ -65,7 +65,7 @@ def meant(p, row):
     if how == "in":
         return any(type(have) is type(v) and have == fold(v) for v in value)
     if how == "cidr":
-        block = ipaddress.ip_network(value)
+        block = ipaddress.ip_network(value, strict=False)
         return kind == "ip" and ipaddress.ip_address(have) in block
     if how == "like":
         return re.fullmatch("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in fold(value)), have, re.S) is not None

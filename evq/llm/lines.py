@@ -19,7 +19,7 @@ text; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from os.path import commonprefix
 
@@ -294,6 +294,34 @@ def _bag(a: str, b: str) -> int:
     return max(sum(max(0, x.count(c) - y.count(c)) for c in set(x)) for x, y in ((a, b), (b, a)))
 
 
+def _counted(codes: np.ndarray, row: np.ndarray, rows: int, bins: int) -> np.ndarray:
+    """How often each row has codes of each bin."""
+    place = row * bins + (mixed(codes.astype(np.uint64) * _A) % np.uint64(bins)).astype(np.int64)
+    return np.bincount(place, minlength=rows * bins).reshape(rows, bins).astype(np.int32)
+
+
+def screened(contents: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Tells which of other lines may be similar to one: an edit changes one character and two pairs of neighbours at most, and lines differ by no fewer edits than their counts of both (in bins) say."""
+    texts = [np.frombuffer(x.decode().encode("utf-32-le"), np.uint32) for x in contents]
+    sizes = np.array([len(t) for t in texts])
+    codes, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+    inner = row[1:] == row[:-1]
+    pairs = (codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:])[inner]
+    counts = [(1, _counted(codes, row, len(texts), 64)), (2, _counted(pairs, row[1:][inner], len(texts), 256))]
+
+    def may(i: int, others: np.ndarray) -> np.ndarray:
+        limit = (1 - SIMILAR) * np.maximum(sizes[others], sizes[i]) + 1e-9
+        out = np.abs(sizes[others] - sizes[i]) <= limit
+        for each, found in counts:
+            some = np.flatnonzero(out)
+            apart = found[others[some]] - found[i]
+            more = np.maximum(apart, 0).sum(axis=1)
+            out[some] = np.maximum(more, more - apart.sum(axis=1)) <= each * limit[some]
+        return out
+
+    return may
+
+
 def linked(a: bytes, b: bytes) -> bool:
     return similar(a.decode(), b.decode())
 
@@ -302,7 +330,16 @@ def split(rows: DataFrame, contents: DataFrame) -> DataFrame:
     """``rows`` (key, id, print and more) with a row for each AGREE bytes of the sketch, as ``close`` prints agree in so many."""
     byte = [F.shiftrightunsigned("print", 8 * k).bitwiseAND(F.lit(255)) for k in range(TESTS)]
     cells = [F.xxhash64("key", F.lit(" ".join(map(str, some))), *(byte[k] for k in some)) for some in combinations(range(TESTS), AGREE)]
-    return rows.withColumn("cell", F.explode(F.array(*cells)))
+    return rows.select("*", F.posexplode(F.array(*cells)).alias("nth", "cell"))
+
+
+def owner(nth: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of prints share the ``nth`` cell and none before it."""
+    some = list(combinations(range(TESTS), AGREE))[nth]
+    out, x = np.ones(len(a), bool), (a ^ b).view(np.uint64)
+    for k in range(some[-1] + 1):
+        out &= ((x >> np.uint64(8 * k) & np.uint64(255)) == 0) == (k in some)
+    return out
 
 
 def _contents(text: str, numbers: list[int]) -> list[bytes | None]:
@@ -326,7 +363,7 @@ def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.save(units.meeting(banded, partnered), "members")
     first = members.select("id").distinct().join(distinct.select("id", "doc_id", "no"), "id")
     texts = units.contents(docs, first, _contents, scratch)
-    edges = units.verified(members, texts, linked, scratch, split, close)
+    edges = units.verified(members, texts, linked, scratch, split, close, screened, owner)
     repeats = distinct.select("id", "n", F.lit(0).alias("low"), F.lit(0).alias("high"))
     kept = units.classes(repeats, edges, scratch).select("id", "class_id")
     rows = scratch.save(found.select("id", "doc_id", "no").join(kept, "id").drop("id"), "repeated")

@@ -211,7 +211,7 @@ def split(rows: DataFrame, contents: DataFrame) -> DataFrame:
     order = shingles.join(counts, ["key", "shingle"]).groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("many", "shingle"))).alias("order"))
     rare = F.slice("order", 1, F.floor(F.size("order") * (1 - SIMILAR) + 1e-9).cast("int") + 1)
     cells = order.select("key", "id", F.explode(rare["shingle"]).alias("shingle"))
-    return rows.join(cells, ["key", "id"]).withColumn("cell", F.xxhash64("key", "shingle"))
+    return rows.join(cells, ["key", "id"]).withColumns({"nth": F.lit(-1), "cell": F.xxhash64("key", "shingle")})
 
 
 def passages(docs: DataFrame, scratch: Scratch) -> DataFrame:

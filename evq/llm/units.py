@@ -19,6 +19,7 @@ and no task gathers more than two chunks.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -123,35 +124,48 @@ def forest(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bo
         made = [*apart, some]
 
 
-def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], parts: list[int], prints: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray], key: int | None, keys: list[set[int]]) -> Iterator[tuple[int, int]]:
-    """As ``forest``, of the links between members with ``close`` prints. Of a pair that meets under several ``keys`` only the least one looks at it, unless there is no ``key``."""
+def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], parts: list[int], prints: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray], key: int, keys: list[set[int]], nth: int, owner: Callable[[int, np.ndarray, np.ndarray], np.ndarray], screen: Callable[[int, np.ndarray], np.ndarray] | None) -> Iterator[tuple[int, int]]:
+    """As ``forest``, of the links between members with ``close`` prints; ``screen`` leaves those out that can't be similar to a member. Of a pair that meets under several ``keys`` only the least one looks at it, and of the cells that a key is split into the one that ``owner`` says."""
     root = np.unique(parts, return_inverse=True)[1]
+    # lesser keys that two members or more have: a pair that shares one is looked at there
+    times = Counter(k for some in keys for k in some if k < key)
+    column = {k: c for c, k in enumerate(k for k, n in times.items() if n > 1)}
+    lesser = np.zeros((len(ids), len(column)), bool)
+    for i, some in enumerate(keys):
+        lesser[i, [column[k] for k in some if k in column]] = True
     for i in range(1, len(ids)):
-        for j in np.flatnonzero(close(prints[:i], prints[i : i + 1]) & (root[:i] != root[i])):
-            if root[i] != root[j] and (key is None or min(keys[i] & keys[j]) == key) and similar(contents[i], contents[j]):
+        others = np.flatnonzero(close(prints[:i], prints[i : i + 1]) & (root[:i] != root[i]))
+        if nth >= 0:
+            others = others[owner(nth, prints[others], prints[i : i + 1])]
+        if len(column) and len(others):
+            others = others[~lesser[np.ix_(others, np.flatnonzero(lesser[i]))].any(axis=1)]
+        if screen is not None and len(others):
+            others = others[screen(i, others)]
+        for j in others:
+            if root[i] != root[j] and similar(contents[i], contents[j]):
                 yield ids[i], ids[j]
                 root[root == root[i]] = root[j]
 
 
-def _solved(rows: DataFrame, contents: DataFrame, similar, close, matrix) -> DataFrame:
-    """src, dst of the links in each cell of ``rows`` (cell, id, print, part, key) between members of different parts; ``contents`` has id, content and keys."""
-    rows = rows.join(contents, "id").select("cell", "id", "print", "part", "content", "key", "keys").repartition("cell").sortWithinPartitions("cell")
+def _solved(rows: DataFrame, contents: DataFrame, similar, close, matrix, owner) -> DataFrame:
+    """src, dst of the links in each cell of ``rows`` (cell, id, print, part, key, nth) between members of different parts; ``contents`` has id, content and keys."""
+    rows = rows.join(contents, "id").select("cell", "id", "print", "part", "content", "key", "keys", "nth").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, key, ids, prints, parts, held, sets = None, None, [], [], [], [], []
+        at, key, nth, ids, prints, parts, held, sets = None, 0, -1, [], [], [], [], []
 
         def done() -> list[tuple[int, int]]:
-            if matrix is not None and len(ids) > 32:
+            if close is None and matrix is not None and len(ids) > 32:
                 return list(_spanning(ids, matrix(held), parts))
-            return list(forest(ids, held, similar, parts) if close is None else sparse(ids, held, similar, parts, np.array(prints), close, key, sets))
+            return list(forest(ids, held, similar, parts) if close is None else sparse(ids, held, similar, parts, np.array(prints), close, key, sets, nth, owner, matrix(held) if matrix is not None and len(ids) > 4 else None))
 
         for batch in batches:
             edges = []
-            for cell, unit, found, part, content, of, keys in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for cell, unit, found, part, content, of, keys, number in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if cell != at:
                     if len(ids) > 1:
                         edges += done()
-                    at, key, ids, prints, parts, held, sets = cell, of, [], [], [], [], []
+                    at, key, nth, ids, prints, parts, held, sets = cell, of, number, [], [], [], [], []
                 ids.append(unit)
                 prints.append(found)
                 parts.append(part)
@@ -189,13 +203,15 @@ def _chunks(rows: DataFrame, by: str, scratch: Scratch, name: str) -> DataFrame:
     return scratch.save(many.select(by, F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), name)
 
 
-def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, Any], bool], scratch: Scratch, split: Callable[[DataFrame, DataFrame], DataFrame], close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, matrix: Callable[[list[Any]], np.ndarray] | None = None) -> DataFrame:
+def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, Any], bool], scratch: Scratch, split: Callable[[DataFrame, DataFrame], DataFrame], close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, matrix: Callable[[list[Any]], np.ndarray] | None = None, owner: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """src, dst: verified links among the ``members`` (key, id, print) of each key; ``contents`` has id and the content that ``similar`` compares.
 
-    With ``close`` only members with close prints are compared; ``matrix`` tells
-    all similar pairs of many contents at once. ``split`` adds a column cell
+    ``matrix`` tells all similar pairs of many contents at once. With ``close``
+    only members with close prints are compared, and ``matrix`` gives a screen for
+    ``sparse`` instead. ``split`` adds a column cell
     (bigint) to rows of members, several rows for each, so that two that can be
-    similar share one.
+    similar share one; with ``close`` also which of a row's cells each is (nth),
+    and ``owner`` tells which is the first that two prints share.
     """
     large = _chunks(members, "key", scratch, "large-keys")
     if close is None:
@@ -204,22 +220,22 @@ def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, An
         contents = contents.join(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     cells = F.when(F.col("chunks").isNull(), F.array(F.col("key"))).otherwise(F.transform(F.when(chunk == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk)), lambda c: F.xxhash64(F.col("key"), c)))
-    rows = members.join(large, "key", "left").select("id", "print", F.col("id").alias("part"), "key", F.explode(cells).alias("cell"))
-    links = scratch.save(_solved(rows, contents, similar, close, matrix), "links")
+    rows = members.join(large, "key", "left").select("id", "print", F.col("id").alias("part"), "key", F.lit(-1).alias("nth"), F.explode(cells).alias("cell"))
+    links = scratch.save(_solved(rows, contents, similar, close, matrix, owner), "links")
     if large.isEmpty():
         return links
     parts = scratch.save(components(links), "large-parts").select(F.col("node").alias("id"), "component")
     rows = members.join(large.select("key"), "key").join(parts, "id", "left").select("key", "id", "print", F.coalesce("component", "id").alias("part"))
     rows = scratch.save(rows, "large-members")
     several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    rows = split(rows.join(scratch.save(several, "several-parts"), "key"), contents.select("id", "content")).select("id", "print", "part", "cell").distinct()
+    rows = split(rows.join(scratch.save(several, "several-parts"), "key"), contents.select("id", "content")).select("id", "print", "part", "key", "nth", "cell").distinct()
     rows = scratch.save(rows, "split-members")
     large = _chunks(rows, "cell", scratch, "large-cells")
     # each pair of chunks is a cell of its own
     mates = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64(F.col("cell"), F.least(c, chunk), F.greatest(c, chunk)))
     cells = F.when(F.col("chunks").isNull(), F.array(F.col("cell"))).otherwise(mates)
-    rows = rows.join(large, "cell", "left").select("id", "print", "part", F.lit(None).cast("bigint").alias("key"), F.explode(cells).alias("cell"))
-    return links.union(scratch.save(_solved(rows, contents, similar, close, matrix), "large-links"))
+    rows = rows.join(large, "cell", "left").select("id", "print", "part", "key", "nth", F.explode(cells).alias("cell"))
+    return links.union(scratch.save(_solved(rows, contents, similar, close, matrix, owner), "large-links"))
 
 
 def contents(docs: DataFrame, first: DataFrame, content: Callable[[str, list[int]], list[bytes | None]], scratch: Scratch, by_text: bool = False) -> DataFrame:

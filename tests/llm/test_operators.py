@@ -408,11 +408,22 @@ def test_large_keys_of_lines(spark, monkeypatch):
     members = spark.createDataFrame([(1, i, int(p)) for i, p in enumerate(prints)], "key long, id long, print long")
     held = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, content binary")
     want = [(i, j) for i in range(70) for j in range(i) if lines.close(prints[i : i + 1], prints[j : j + 1])[0] and edit_similar(texts[i].encode(), texts[j].encode())]
-    edges = units.verified(members, held, lines.linked, Scratch(spark, "test-line-cells"), lines.split, lines.close)
+    edges = units.verified(members, held, lines.linked, Scratch(spark, "test-line-cells"), lines.split, lines.close, lines.screened, lines.owner)
     assert roots(range(70), [(r["src"], r["dst"]) for r in edges.collect()]) == roots(range(70), want)
     assert 1 < len(set(roots(range(70), want).values())) < 70
 
 
+def test_screen_keeps_what_is_similar():
+    rng = random.Random(26)
+    base = [" ".join(words(rng, 8, 30)) + "ß𝒳" * (i % 3) for i in range(25)]
+    texts = [x.encode() for b in base for x in (b, b[:9] + "q" + b[12:], b[5:] + "zz", b[::-1])]
+    may = lines.screened(texts)
+    others = np.arange(len(texts))
+    kept = {(i, int(j)) for i in range(len(texts)) for j in others[may(i, others)]}
+    similar = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if edit_similar(texts[i], texts[j])}
+    assert similar <= kept and len(kept) < len(texts) ** 2 / 2
+
+
 def test_long_keys_pass(spark, monkeypatch):
     """Rows that meet others come out whatever the size of their key, and units that meet under several keys once."""
     monkeypatch.setattr(units, "HELD", 50)

@@ -19,7 +19,7 @@ text; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 from os.path import commonprefix
 
@@ -300,26 +300,120 @@ def _counted(codes: np.ndarray, row: np.ndarray, rows: int, bins: int) -> np.nda
     return np.bincount(place, minlength=rows * bins).reshape(rows, bins).astype(np.int32)
 
 
-def screened(contents: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Tells which of other lines may be similar to one: an edit changes one character and two pairs of neighbours at most, and lines differ by no fewer edits than their counts of both (in bins) say."""
-    texts = [np.frombuffer(x.decode().encode("utf-32-le"), np.uint32) for x in contents]
-    sizes = np.array([len(t) for t in texts])
-    codes, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
-    inner = row[1:] == row[:-1]
-    pairs = (codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:])[inner]
-    counts = [(1, _counted(codes, row, len(texts), 64)), (2, _counted(pairs, row[1:][inner], len(texts), 256))]
-
-    def may(i: int, others: np.ndarray) -> np.ndarray:
-        limit = (1 - SIMILAR) * np.maximum(sizes[others], sizes[i]) + 1e-9
-        out = np.abs(sizes[others] - sizes[i]) <= limit
-        for each, found in counts:
+class Screen:
+    """Many lines, of which one at a time is held against others.
+
+    ``may`` leaves out what can't be similar: an edit changes one character and two
+    pairs of neighbours at most, and lines differ by no fewer edits than their
+    counts of both (in bins) say. ``sure`` finds most similar pairs cheaply,
+    ``within`` decides the rest, by the distances of many pairs at once.
+    """
+
+    def __init__(self, contents: list[bytes]):
+        self.strings = [x.decode() for x in contents]
+        texts = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in self.strings]
+        self.sizes = np.array([len(t) for t in texts])
+        codes, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), self.sizes)
+        inner = row[1:] == row[:-1]
+        pairs = (codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:])[inner]
+        self.counts = [(1, _counted(codes, row, len(texts), 64)), (2, _counted(pairs, row[1:][inner], len(texts), 256))]
+        kind = np.uint8 if codes.max() < 1 << 8 else np.uint16 if codes.max() < 1 << 16 else np.uint32
+        self.texts = [t.astype(kind) for t in texts]
+
+    def limits(self, i: int, others: np.ndarray) -> np.ndarray:
+        return (1 - SIMILAR) * np.maximum(self.sizes[others], self.sizes[i]) + 1e-9
+
+    def may(self, i: int, others: np.ndarray) -> np.ndarray:
+        limit = self.limits(i, others)
+        out = np.abs(self.sizes[others] - self.sizes[i]) <= limit
+        for each, found in self.counts:
             some = np.flatnonzero(out)
             apart = found[others[some]] - found[i]
             more = np.maximum(apart, 0).sum(axis=1)
             out[some] = np.maximum(more, more - apart.sum(axis=1)) <= each * limit[some]
         return out
 
-    return may
+    def sure(self, i: int, j: int) -> bool:
+        return _at_most(self.strings[i], self.strings[j], (1 - SIMILAR) * max(self.sizes[i], self.sizes[j]) + 1e-9)
+
+    def within(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` are similar to line i; all may be by their sizes."""
+        limits = self.limits(i, others).astype(np.int64)
+        out = np.zeros(len(others), bool)
+        order = np.argsort(self.sizes[others], kind="stable")
+        for at in range(0, len(order), _TOGETHER):
+            block = order[at : at + _TOGETHER]
+            if len(block) < _FEW:
+                out[block] = [distance(self.strings[i], self.strings[others[k]]) <= limits[k] for k in block]
+            else:
+                out[block] = _near(self.texts[i], [self.texts[others[k]] for k in block], limits[block])
+        return out
+
+
+#: Pairs whose distances are found at once, and the number below which one by one is faster.
+_TOGETHER, _FEW = 512, 12
+#: Antidiagonals between looks at which pairs are out of reach.
+_LOOK = 48
+
+
+def _near(a: np.ndarray, others: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
+    """Which of ``others`` (sorted by size) are at most so many edits from ``a``.
+
+    The matrices of all pairs are filled together, antidiagonal by antidiagonal, and
+    only where a path within the limit can pass. Cells are named by their diagonal
+    (place in the other text less place in ``a``); a cell's neighbours are then the
+    diagonals beside it, and what stands in its own is the cell before it.
+    """
+    sizes = np.array([len(b) for b in others])
+    n, most = len(a), int(sizes[-1])
+    heads = [b[:16] for b in others]
+    if 2 * sum(np.array_equal(h, a[:16]) for h in heads) > len(others):  # pairs that differ at once are out of reach sooner
+        a, others = a[::-1], [b[::-1] for b in others]
+    out, alive, last = np.zeros(len(others), bool), np.arange(len(others)), sizes - n
+    low, high = -int(((limits - last) // 2).max()), int(((limits + last) // 2).max())
+    kind = np.int16 if n + most + high - low < 30000 else np.int32
+    back = a[::-1].copy()
+    grid = np.zeros((len(others), most), a.dtype)
+    for k, b in enumerate(others):
+        grid[k, : len(b)] = b
+    grid = np.ascontiguousarray(grid.T)
+    # rows of one parity of the diagonal each, with a row out of reach at both ends
+    base = low - 2 - (low % 2)  # an even diagonal below all
+    count = (high - base) // 2 + 3
+    diagonals = [base + odd + 2 * np.arange(count) for odd in (0, 1)]
+    far = np.iinfo(kind).max // 2
+    rows = []
+    for d in diagonals:
+        start = np.where((d >= low) & (d <= high), np.abs(d), far).astype(kind)
+        rows.append(np.repeat(start[:, None], len(others), axis=1))
+    for s in range(1, n + most + 1):
+        odd = s & 1
+        first = max(low, -(s - 2), s - 2 * n)
+        final = min(high, s - 2, 2 * most - s)
+        first += (first ^ s) & 1
+        final -= (final ^ s) & 1
+        if first <= final:
+            at, size = (first - base - odd) // 2, (final - first) // 2 + 1
+            here, beside = rows[odd][at : at + size], rows[1 - odd]
+            under = at - 1 + odd  # row of the diagonal below the first
+            i, j = (s - first) // 2, (s + first) // 2
+            differ = grid[j - 1 : j - 1 + size] != back[n - i : n - i + size, None]
+            step = np.minimum(beside[under : under + size], beside[under + 1 : under + 1 + size])
+            step += 1
+            here += differ
+            np.minimum(here, step, out=here)
+        done = slice(*np.searchsorted(sizes, (s - n, s - n + 1)))
+        if done.stop > done.start:
+            out[alive[done]] = rows[odd][(last[done.start] - base - odd) // 2, done] <= limits[done]
+        if s % _LOOK == 0:
+            least = np.minimum(*((r + np.abs(d[:, None] - last)).min(axis=0) for r, d in zip(rows, diagonals)))
+            stay = (least <= limits) & (sizes > s - n)
+            if not stay.any():
+                break
+            if 4 * stay.sum() < 3 * len(stay):
+                alive, sizes, last, limits = alive[stay], sizes[stay], last[stay], limits[stay]
+                grid, rows = np.ascontiguousarray(grid[:, stay]), [np.ascontiguousarray(r[:, stay]) for r in rows]
+    return out
 
 
 def linked(a: bytes, b: bytes) -> bool:
@@ -363,7 +457,7 @@ def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.save(units.meeting(banded, partnered), "members")
     first = members.select("id").distinct().join(distinct.select("id", "doc_id", "no"), "id")
     texts = units.contents(docs, first, _contents, scratch)
-    edges = units.verified(members, texts, linked, scratch, split, close, screened, owner)
+    edges = units.verified(members, texts, linked, scratch, split, close, Screen, owner)
     repeats = distinct.select("id", "n", F.lit(0).alias("low"), F.lit(0).alias("high"))
     kept = units.classes(repeats, edges, scratch).select("id", "class_id")
     rows = scratch.save(found.select("id", "doc_id", "no").join(kept, "id").drop("id"), "repeated")

@@ -10,10 +10,10 @@ Keys under which the same units meet are one from then on.
 
 A key with more than CELL members is dealt into chunks. First each chunk is
 compared with itself and with chunk 0, which joins variants of one text in work
-that grows with their number. Members of keys that then still have several
-groups are dealt once more, by what two of them must share to be similar
-(``split``), so that members that only have something common in common don't
-meet. What is still large is compared chunk by chunk, so that no link is lost
+that grows with their number. Where several groups are left and chunks that have
+not met, members of a few chunks are compared chunk by chunk, those of many are
+dealt once more, by what two of them must share to be similar (``split``), so
+that members that only have something common in common don't meet. What is still large is compared chunk by chunk, so that no link is lost
 and no task gathers more than two chunks.
 """
 
@@ -34,6 +34,8 @@ from evq.llm.scratch import Scratch
 
 #: Members of a chunk.
 CELL = 1024
+#: Chunks up to which each pair of a key's chunks is compared, and the key is not split.
+FEW = 16
 #: Rows of one key that are held at once; a longer key passes without a look at its members.
 HELD = 1 << 16
 #: The column that tells how many units a document has lost; ``without`` adds underscores while the table has one of that name.
@@ -124,9 +126,13 @@ def forest(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bo
         made = [*apart, some]
 
 
-def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], parts: list[int], prints: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray], key: int, keys: list[set[int]], nth: int, owner: Callable[[int, np.ndarray, np.ndarray], np.ndarray], screen: Callable[[int, np.ndarray], np.ndarray] | None) -> Iterator[tuple[int, int]]:
-    """As ``forest``, of the links between members with ``close`` prints; ``screen`` leaves those out that can't be similar to a member. Of a pair that meets under several ``keys`` only the least one looks at it, and of the cells that a key is split into the one that ``owner`` says."""
+def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bool], parts: list[int], prints: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray], key: int, keys: list[set[int]], nth: int, owner: Callable[[int, np.ndarray, np.ndarray], np.ndarray], screen: Any, chunk: np.ndarray) -> Iterator[tuple[int, int]]:
+    """As ``forest``, of the links between members with ``close`` prints. ``screen`` leaves those out that can't be similar to a member, tells most that are, and decides about many at once.
+
+    Of a pair that meets under several ``keys`` only the least one looks at it, of the cells that a key is split into the one that ``owner`` says, and of the cells of chunks the one that has to: members of chunk 0 are guests among another chunk (nth -1), and once that is done only different chunks but the first are left (nth -2 and more).
+    """
     root = np.unique(parts, return_inverse=True)[1]
+    guest = (chunk == 0) & (chunk.max() > 0)
     # lesser keys that two members or more have: a pair that shares one is looked at there
     times = Counter(k for some in keys for k in some if k < key)
     column = {k: c for c, k in enumerate(k for k, n in times.items() if n > 1)}
@@ -134,43 +140,60 @@ def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bo
     for i, some in enumerate(keys):
         lesser[i, [column[k] for k in some if k in column]] = True
     for i in range(1, len(ids)):
-        others = np.flatnonzero(close(prints[:i], prints[i : i + 1]) & (root[:i] != root[i]))
+        may = close(prints[:i], prints[i : i + 1]) & (root[:i] != root[i])
+        if nth != -1:
+            may &= (chunk[:i] != chunk[i]) & (chunk[:i] != 0) & (chunk[i] != 0)
+        others = np.flatnonzero(may)
         if nth >= 0:
             others = others[owner(nth, prints[others], prints[i : i + 1])]
         if len(column) and len(others):
             others = others[~lesser[np.ix_(others, np.flatnonzero(lesser[i]))].any(axis=1)]
         if screen is not None and len(others):
-            others = others[screen(i, others)]
+            others = others[screen.may(i, others)]
+        left = []
         for j in others:
-            if root[i] != root[j] and similar(contents[i], contents[j]):
-                yield ids[i], ids[j]
-                root[root == root[i]] = root[j]
+            if root[i] != root[j]:
+                if screen.sure(i, j) if screen is not None else similar(contents[i], contents[j]):
+                    yield ids[i], ids[j]
+                    root[root == root[i]] = root[j]
+                elif screen is not None and not (guest[i] and guest[j]):
+                    left.append(j)
+        rest, many = np.array(left, np.int64), 64
+        while len(rest := rest[root[rest] != root[i]]):
+            some, rest, many = rest[:many], rest[many:], many * 4
+            for j in some[screen.within(i, some)]:
+                if root[i] != root[j]:
+                    yield ids[i], ids[j]
+                    root[root == root[i]] = root[j]
 
 
 def _solved(rows: DataFrame, contents: DataFrame, similar, close, matrix, owner) -> DataFrame:
-    """src, dst of the links in each cell of ``rows`` (cell, id, print, part, key, nth) between members of different parts; ``contents`` has id, content and keys."""
-    rows = rows.join(contents, "id").select("cell", "id", "print", "part", "content", "key", "keys", "nth").repartition("cell").sortWithinPartitions("cell")
+    """src, dst of the links in each cell of ``rows`` (cell, id, print, part, key, nth, chunk) between members of different parts; ``contents`` has id, content and keys."""
+    rows = rows.join(contents, "id").select("cell", "id", "print", "part", "content", "key", "keys", "nth", "chunk")
+    # the work of a cell grows faster than its bytes, by which adaptive execution would merge the partitions
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, key, nth, ids, prints, parts, held, sets = None, 0, -1, [], [], [], [], []
+        at, key, nth, ids, prints, parts, held, sets, chunks = None, 0, -1, [], [], [], [], [], []
 
         def done() -> list[tuple[int, int]]:
             if close is None and matrix is not None and len(ids) > 32:
                 return list(_spanning(ids, matrix(held), parts))
-            return list(forest(ids, held, similar, parts) if close is None else sparse(ids, held, similar, parts, np.array(prints), close, key, sets, nth, owner, matrix(held) if matrix is not None and len(ids) > 4 else None))
+            return list(forest(ids, held, similar, parts) if close is None else sparse(ids, held, similar, parts, np.array(prints), close, key, sets, nth, owner, matrix(held) if matrix is not None and len(ids) > 4 else None, np.array(chunks)))
 
         for batch in batches:
             edges = []
-            for cell, unit, found, part, content, of, keys, number in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            for cell, unit, found, part, content, of, keys, number, chunk in zip(*(batch.column(i).to_pylist() for i in range(9))):
                 if cell != at:
                     if len(ids) > 1:
                         edges += done()
-                    at, key, nth, ids, prints, parts, held, sets = cell, of, number, [], [], [], [], []
+                    at, key, nth, ids, prints, parts, held, sets, chunks = cell, of, number, [], [], [], [], [], []
                 ids.append(unit)
                 prints.append(found)
                 parts.append(part)
                 held.append(content)
                 sets.append(set(keys))
+                chunks.append(chunk)
             yield _edges(edges)
         if len(ids) > 1:
             yield _edges(done())
@@ -203,12 +226,12 @@ def _chunks(rows: DataFrame, by: str, scratch: Scratch, name: str) -> DataFrame:
     return scratch.save(many.select(by, F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), name)
 
 
-def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, Any], bool], scratch: Scratch, split: Callable[[DataFrame, DataFrame], DataFrame], close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, matrix: Callable[[list[Any]], np.ndarray] | None = None, owner: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, Any], bool], scratch: Scratch, split: Callable[[DataFrame, DataFrame], DataFrame], close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, matrix: Callable[[list[Any]], Any] | None = None, owner: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """src, dst: verified links among the ``members`` (key, id, print) of each key; ``contents`` has id and the content that ``similar`` compares.
 
     ``matrix`` tells all similar pairs of many contents at once. With ``close``
-    only members with close prints are compared, and ``matrix`` gives a screen for
-    ``sparse`` instead. ``split`` adds a column cell
+    only members with close prints are compared, and ``matrix`` makes a screen for
+    ``sparse`` instead (``lines.Screen``). ``split`` adds a column cell
     (bigint) to rows of members, several rows for each, so that two that can be
     similar share one; with ``close`` also which of a row's cells each is (nth),
     and ``owner`` tells which is the first that two prints share.
@@ -220,22 +243,31 @@ def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, An
         contents = contents.join(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     cells = F.when(F.col("chunks").isNull(), F.array(F.col("key"))).otherwise(F.transform(F.when(chunk == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk)), lambda c: F.xxhash64(F.col("key"), c)))
-    rows = members.join(large, "key", "left").select("id", "print", F.col("id").alias("part"), "key", F.lit(-1).alias("nth"), F.explode(cells).alias("cell"))
+    held = F.coalesce(chunk, F.lit(0)).alias("chunk")
+    rows = members.join(large, "key", "left").select("id", "print", F.col("id").alias("part"), "key", F.lit(-1).alias("nth"), held, F.explode(cells).alias("cell"))
     links = scratch.save(_solved(rows, contents, similar, close, matrix, owner), "links")
+    large = large.where("chunks > 2")  # chunks 0 and 1 are compared with each other and themselves
     if large.isEmpty():
         return links
     parts = scratch.save(components(links), "large-parts").select(F.col("node").alias("id"), "component")
-    rows = members.join(large.select("key"), "key").join(parts, "id", "left").select("key", "id", "print", F.coalesce("component", "id").alias("part"))
+    rows = members.join(large, "key").join(parts, "id", "left").select("key", "id", "print", held, "chunks", F.coalesce("component", "id").alias("part"))
     rows = scratch.save(rows, "large-members")
     several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    rows = split(rows.join(scratch.save(several, "several-parts"), "key"), contents.select("id", "content")).select("id", "print", "part", "key", "nth", "cell").distinct()
+    rows = rows.join(scratch.save(several, "several-parts"), "key")
+    few = F.lit(close is not None) & (F.col("chunks") <= FEW)
+    # of a few chunks each pair is a cell, which costs fewer rows than a split
+    mates = F.transform(F.sequence(F.lit(1), F.col("chunks") - 1), lambda c: F.xxhash64(F.col("key"), F.least(c, F.col("chunk")), F.greatest(c, F.col("chunk"))))
+    mates = F.filter(mates, lambda c: c != F.xxhash64(F.col("key"), F.col("chunk"), F.col("chunk")))
+    paired = rows.where(few & (F.col("chunk") > 0)).select("id", "print", "part", "key", F.lit(-2).alias("nth"), "chunk", F.explode(mates).alias("cell"))
+    rows = split(rows.where(~few).drop("chunks"), contents.select("id", "content")).select("id", "print", "part", "key", "nth", "chunk", "cell").distinct()
     rows = scratch.save(rows, "split-members")
     large = _chunks(rows, "cell", scratch, "large-cells")
     # each pair of chunks is a cell of its own
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     mates = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64(F.col("cell"), F.least(c, chunk), F.greatest(c, chunk)))
     cells = F.when(F.col("chunks").isNull(), F.array(F.col("cell"))).otherwise(mates)
-    rows = rows.join(large, "cell", "left").select("id", "print", "part", "key", "nth", F.explode(cells).alias("cell"))
-    return links.union(scratch.save(_solved(rows, contents, similar, close, matrix, owner), "large-links"))
+    rows = rows.join(large, "cell", "left").select("id", "print", "part", "key", "nth", "chunk", F.explode(cells).alias("cell"))
+    return links.union(scratch.save(_solved(rows.union(paired), contents, similar, close, matrix, owner), "large-links"))
 
 
 def contents(docs: DataFrame, first: DataFrame, content: Callable[[str, list[int]], list[bytes | None]], scratch: Scratch, by_text: bool = False) -> DataFrame:

@@ -227,6 +227,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 PAIRS = 4096
 
 
+#: Members of a chunk of a key; two of them are one task's work at most.
+CHUNK = 512
 #: Characters that must agree for an alignment to go on.
 ANCHOR = 8
 
@@ -381,7 +383,7 @@ def _near(a: np.ndarray, others: list[np.ndarray], limits: np.ndarray) -> np.nda
     base = low - 2 - (low % 2)  # an even diagonal below all
     count = (high - base) // 2 + 3
     diagonals = [base + odd + 2 * np.arange(count) for odd in (0, 1)]
-    far = np.iinfo(kind).max // 2
+    far, due = np.iinfo(kind).max // 2, set((sizes + n).tolist())
     rows = []
     for d in diagonals:
         start = np.where((d >= low) & (d <= high), np.abs(d), far).astype(kind)
@@ -402,9 +404,9 @@ def _near(a: np.ndarray, others: list[np.ndarray], limits: np.ndarray) -> np.nda
             step += 1
             here += differ
             np.minimum(here, step, out=here)
-        done = slice(*np.searchsorted(sizes, (s - n, s - n + 1)))
-        if done.stop > done.start:
-            out[alive[done]] = rows[odd][(last[done.start] - base - odd) // 2, done] <= limits[done]
+        if s in due:
+            done = slice(*np.searchsorted(sizes, (s - n, s - n + 1)))
+            out[alive[done]] = rows[odd][(s - 2 * n - base - odd) // 2, done] <= limits[done]
         if s % _LOOK == 0:
             least = np.minimum(*((r + np.abs(d[:, None] - last)).min(axis=0) for r, d in zip(rows, diagonals)))
             stay = (least <= limits) & (sizes > s - n)
@@ -457,7 +459,7 @@ def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.save(units.meeting(banded, partnered), "members")
     first = members.select("id").distinct().join(distinct.select("id", "doc_id", "no"), "id")
     texts = units.contents(docs, first, _contents, scratch)
-    edges = units.verified(members, texts, linked, scratch, split, close, Screen, owner)
+    edges = units.verified(members, texts, linked, scratch, split, close, Screen, owner, CHUNK)
     repeats = distinct.select("id", "n", F.lit(0).alias("low"), F.lit(0).alias("high"))
     kept = units.classes(repeats, edges, scratch).select("id", "class_id")
     rows = scratch.save(found.select("id", "doc_id", "no").join(kept, "id").drop("id"), "repeated")

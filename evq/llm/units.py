@@ -8,7 +8,7 @@ of each key, so that a group of n variants gives n - 1 rows and not n * n.
 
 Keys under which the same units meet are one from then on.
 
-A key with more than CELL members is dealt into chunks. First each chunk is
+A key with more than CELL members (or what the caller says) is dealt into chunks. First each chunk is
 compared with itself and with chunk 0, which joins variants of one text in work
 that grows with their number. Where several groups are left and chunks that have
 not met, members of a few chunks are compared chunk by chunk, those of many are
@@ -34,6 +34,8 @@ from evq.llm.scratch import Scratch
 
 #: Members of a chunk.
 CELL = 1024
+#: Members that are tried one by one before many are looked at together.
+TRIES = 6
 #: Chunks up to which each pair of a key's chunks is compared, and the key is not split.
 FEW = 16
 #: Rows of one key that are held at once; a longer key passes without a look at its members.
@@ -150,15 +152,19 @@ def sparse(ids: list[int], contents: list[Any], similar: Callable[[Any, Any], bo
             others = others[~lesser[np.ix_(others, np.flatnonzero(lesser[i]))].any(axis=1)]
         if screen is not None and len(others):
             others = others[screen.may(i, others)]
-        left = []
-        for j in others:
-            if root[i] != root[j]:
-                if screen.sure(i, j) if screen is not None else similar(contents[i], contents[j]):
-                    yield ids[i], ids[j]
-                    root[root == root[i]] = root[j]
-                elif screen is not None and not (guest[i] and guest[j]):
-                    left.append(j)
-        rest, many = np.array(left, np.int64), 64
+        tries, failed = len(others) if screen is None else TRIES, []
+        while tries and len(others):
+            j, others, tries = others[0], others[1:], tries - 1
+            if screen.sure(i, j) if screen is not None else similar(contents[i], contents[j]):
+                yield ids[i], ids[j]
+                root[root == root[i]] = root[j]
+                others = others[root[others] != root[i]]
+            else:
+                failed.append(j)
+        if screen is None:
+            continue
+        rest, many = np.concatenate([np.array(failed, np.int64), others]), 64
+        rest = rest[~(guest[rest] & guest[i])]
         while len(rest := rest[root[rest] != root[i]]):
             some, rest, many = rest[:many], rest[many:], many * 4
             for j in some[screen.within(i, some)]:
@@ -220,13 +226,13 @@ def _spanning(ids: list[int], linked: np.ndarray, parts: list[int]) -> Iterator[
                     yield ids[a], ids[b]
 
 
-def _chunks(rows: DataFrame, by: str, scratch: Scratch, name: str) -> DataFrame:
-    """``by`` and chunks: how many chunks its values with over CELL rows are dealt into."""
-    many = rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    return scratch.save(many.select(by, F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), name)
+def _chunks(rows: DataFrame, by: str, scratch: Scratch, name: str, cell: int) -> DataFrame:
+    """``by`` and chunks: how many chunks its values with over ``cell`` rows are dealt into."""
+    many = rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    return scratch.save(many.select(by, F.ceil(F.col("n") / cell).cast("int").alias("chunks")), name)
 
 
-def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, Any], bool], scratch: Scratch, split: Callable[[DataFrame, DataFrame], DataFrame], close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, matrix: Callable[[list[Any]], Any] | None = None, owner: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, Any], bool], scratch: Scratch, split: Callable[[DataFrame, DataFrame], DataFrame], close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, matrix: Callable[[list[Any]], Any] | None = None, owner: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None, cell: int | None = None) -> DataFrame:
     """src, dst: verified links among the ``members`` (key, id, print) of each key; ``contents`` has id and the content that ``similar`` compares.
 
     ``matrix`` tells all similar pairs of many contents at once. With ``close``
@@ -236,7 +242,8 @@ def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, An
     similar share one; with ``close`` also which of a row's cells each is (nth),
     and ``owner`` tells which is the first that two prints share.
     """
-    large = _chunks(members, "key", scratch, "large-keys")
+    cell = cell or CELL
+    large = _chunks(members, "key", scratch, "large-keys", cell)
     if close is None:
         contents = contents.withColumn("keys", F.array().cast("array<bigint>"))
     else:
@@ -261,7 +268,7 @@ def verified(members: DataFrame, contents: DataFrame, similar: Callable[[Any, An
     paired = rows.where(few & (F.col("chunk") > 0)).select("id", "print", "part", "key", F.lit(-2).alias("nth"), "chunk", F.explode(mates).alias("cell"))
     rows = split(rows.where(~few).drop("chunks"), contents.select("id", "content")).select("id", "print", "part", "key", "nth", "chunk", "cell").distinct()
     rows = scratch.save(rows, "split-members")
-    large = _chunks(rows, "cell", scratch, "large-cells")
+    large = _chunks(rows, "cell", scratch, "large-cells", cell)
     # each pair of chunks is a cell of its own
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     mates = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64(F.col("cell"), F.least(c, chunk), F.greatest(c, chunk)))

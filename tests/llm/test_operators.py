@@ -399,8 +399,12 @@ def test_large_keys_lose_no_link(spark, monkeypatch):
     assert len(set(roots(sets, similar).values())) > 2
 
 
-def test_large_keys_of_lines(spark, monkeypatch):
-    monkeypatch.setattr(units, "CELL", 8)
+@pytest.mark.parametrize(("cell", "few"), [(8, 0), (8, 99), (30, 99), (40, 99)])
+def test_large_keys_of_lines(spark, monkeypatch, cell, few):
+    """Split, or chunk by chunk, or two chunks that have met already; looked at one by one or many at once."""
+    monkeypatch.setattr(units, "FEW", few)
+    monkeypatch.setattr(units, "TRIES", 1)
+    monkeypatch.setattr(lines, "_FEW", 2)
     rng = random.Random(25)
     texts = [" ".join(words(rng, 6, 12)) for _ in range(70)]
     flat = "".join(t + " " for t in texts).encode()
@@ -408,16 +412,36 @@ def test_large_keys_of_lines(spark, monkeypatch):
     members = spark.createDataFrame([(1, i, int(p)) for i, p in enumerate(prints)], "key long, id long, print long")
     held = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, content binary")
     want = [(i, j) for i in range(70) for j in range(i) if lines.close(prints[i : i + 1], prints[j : j + 1])[0] and edit_similar(texts[i].encode(), texts[j].encode())]
-    edges = units.verified(members, held, lines.linked, Scratch(spark, "test-line-cells"), lines.split, lines.close, lines.screened, lines.owner)
+    edges = units.verified(members, held, lines.linked, Scratch(spark, "test-line-cells"), lines.split, lines.close, lines.Screen, lines.owner, cell)
     assert roots(range(70), [(r["src"], r["dst"]) for r in edges.collect()]) == roots(range(70), want)
     assert 1 < len(set(roots(range(70), want).values())) < 70
 
 
+def test_distances_of_many_pairs():
+    """Many pairs at once give what each alone gives: texts of all sizes, with common heads, and pairs that are dropped early."""
+    rng = random.Random(27)
+    for size, letters in [(1, "ab"), (30, "ab"), (120, "abcdefgh"), (400, "abcdeя𝒳"), (300, "abcdefghijklmnopqrst")]:
+        texts = ["".join(rng.choice(letters) for _ in range(size))]
+        for k in range(60):
+            b = list(texts[0]) if k % 3 else list(texts[0][: size // 2]) + [rng.choice(letters) for _ in range(size - size // 2)]
+            for _ in range(rng.randrange(size // 3 + 1)):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randrange(2)] = [rng.choice(letters)] * rng.randrange(1, 3)
+            texts.append("".join(b))
+        screen = lines.Screen([x.encode() for x in texts])
+        others = np.arange(1, len(texts))
+        others = others[np.abs(screen.sizes[others] - size) <= screen.limits(0, others)]
+        want = [plain_distance(texts[0], texts[j]) <= screen.limits(0, np.array([j]))[0] for j in others]
+        assert screen.within(0, others).tolist() == want
+        if size > 30:
+            assert any(want) and not all(want)
+
+
 def test_screen_keeps_what_is_similar():
     rng = random.Random(26)
     base = [" ".join(words(rng, 8, 30)) + "ß𝒳" * (i % 3) for i in range(25)]
     texts = [x.encode() for b in base for x in (b, b[:9] + "q" + b[12:], b[5:] + "zz", b[::-1])]
-    may = lines.screened(texts)
+    may = lines.Screen(texts).may
     others = np.arange(len(texts))
     kept = {(i, int(j)) for i in range(len(texts)) for j in others[may(i, others)]}
     similar = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if edit_similar(texts[i], texts[j])}

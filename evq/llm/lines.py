@@ -455,15 +455,19 @@ def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # any occurrence of a line will do to fetch it, so that rows are hashed and not sorted
     distinct = found.groupBy("id").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("print", "doc_id", "no", *_KEYS)))
     distinct = scratch.save(distinct, "distinct")
+    found = scratch.save(found.select("id", "doc_id", "no"), "places")
+    scratch.drop("occurrences")
     banded = distinct.select("id", "print", F.explode(F.array(*_KEYS)).alias("key"))
     members = scratch.save(units.meeting(banded, partnered), "members")
     first = members.select("id").distinct().join(distinct.select("id", "doc_id", "no"), "id")
     texts = units.contents(docs, first, _contents, scratch)
+    repeats = scratch.save(distinct.select("id", "n", F.lit(0).alias("low"), F.lit(0).alias("high")), "counts")
+    for name in ("distinct", "wanted"):
+        scratch.drop(name)
     edges = units.verified(members, texts, linked, scratch, split, close, Screen, owner, CHUNK)
-    repeats = distinct.select("id", "n", F.lit(0).alias("low"), F.lit(0).alias("high"))
     kept = units.classes(repeats, edges, scratch).select("id", "class_id")
-    rows = scratch.save(found.select("id", "doc_id", "no").join(kept, "id").drop("id"), "repeated")
-    for name in ("occurrences", "distinct", "members", "contents"):
+    rows = scratch.save(found.join(kept, "id").drop("id"), "repeated")
+    for name in ("places", "counts", "members", "contents"):
         scratch.drop(name)
     least = rows.groupBy(F.col("class_id").alias("c")).agg(F.min(F.struct("doc_id", "no")).alias("keep"))
     rows = rows.join(scratch.save(least, "least"), F.col("class_id") == F.col("c"))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from evq.llm import lines
+from evq.llm import lines, units
 from evq.llm.scratch import Scratch
 from tests.llm.test_operators import DOCS
 
@@ -78,3 +78,27 @@ def test_numbers_and_marks_are_told_apart(spark):
     table = ["2021-03-04 1234.50 77.1", "1998-12-31 9876.99 50.8", "2007-06-15 4402.17 13.4"]
     same = ["The quick brown fox, they said, jumped.", "the quick  brown fox they said jumped", "the QUICK brown fox, they said, jumped. "]
     assert removed(spark, table + same + ["-" * 40] * 2) == {(4, 0), (5, 0)}
+
+
+def test_pairs_of_small_groups_are_aligned_together(monkeypatch):
+    """Pairs of many small groups, of all sizes, link as edit distance alone says, and hardly any is aligned by itself."""
+    rng = random.Random(31)
+    texts, cells = [], []
+    for cell in range(150):
+        base = [word(rng) for _ in range(rng.randrange(6, 20))]
+        for _ in range(rng.randrange(2, 5)):
+            texts.append(" ".join(x if rng.random() > rng.choice([0.05, 0.1, 0.4]) else word(rng) for x in base))
+            cells.append(cell)
+    alone, distance = [], lines.distance
+    monkeypatch.setattr(lines, "distance", lambda a, b: alone.append(1) or distance(a, b))
+    cell, ids, none = np.array(cells), np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    keys = (cell[ids], ids)
+    src, dst = units.sparse(cell, ids, [t.encode() for t in texts], ids, none, lines.close, cell, keys, none - 1, lines.owner, lines.Screen, none)
+    assert len(alone) < len(ids) / 5
+    group = {i: i for i in ids.tolist()}
+    want = dict(group)
+    for found, links in ((group, zip(src.tolist(), dst.tolist())), (want, ((i, j) for i in want for j in range(i) if cells[i] == cells[j] and distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-9))):
+        for i, j in links:
+            low, high = sorted((found[i], found[j]))
+            found.update((k, low) for k in found if found[k] == high)
+    assert group == want and 150 < len(set(want.values())) < len(texts)

@@ -40,12 +40,12 @@ def words(text: Column) -> Column:
 
 
 def windows(items: DataFrame) -> DataFrame:
-    """window_id, terms (the window's words) and items (ids that have it), one row for each distinct window."""
+    """window_id (numbers that hold once this is stored), terms (the window's words) and items (ids that have it), one row for each distinct window."""
     rows = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW - 1), F.lit(1)))
     rows = rows.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i"), WINDOW).alias("terms"))
     rows = rows.groupBy("terms").agg(F.collect_set("item_id").alias("items"))
-    return rows.select(F.sha2(F.array_join("terms", " ").cast("binary"), 256).alias("window_id"), "terms", "items")
+    return rows.select(F.monotonically_increasing_id().alias("window_id"), "terms", "items")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -116,17 +116,20 @@ def phrases(met: DataFrame, others: DataFrame, stored: DataFrame) -> DataFrame:
     return found.where("n = len").select("key", "window_id", "begin", "len")
 
 
-def proximity(met: DataFrame, others: DataFrame, stored: DataFrame, within: int = WINDOW - 1) -> DataFrame:
-    """key, window_id, at: where all terms of a window stand within so many places of its rarest one, in any order; not more than ``meetings`` looked at."""
+def proximity(met: DataFrame, others: DataFrame, stored: DataFrame, found: DataFrame, within: int = WINDOW - 1) -> DataFrame:
+    """key, window_id, at: where all terms of a window stand within so many places (WINDOW - 1 or more) of its rarest one, in any order; not more than ``meetings`` looked at. The terms of a phrase that is ``found`` do, so only the other meetings are looked at again."""
+    phrase = found.select("key", "window_id", "begin", F.lit(True).alias("whole"))
+    met = met.select("key", "window_id", "at", F.when(F.col("in_step"), F.col("begin")).alias("begin")).join(phrase, ["key", "window_id", "begin"], "left")
+    met = met.groupBy("key", "window_id", "at").agg(F.max("whole").alias("whole"))
     terms = stored.select("window_id", F.array_distinct("terms").alias("t")).select("window_id", F.size("t").alias("many"), F.explode("t").alias("term"))
-    wanted = met.select("key", "window_id", "at").join(small_side(terms), "window_id")
-    found = close_by(wanted, others, within).select("key", "window_id", "at", "many", "term").distinct()
-    found = found.groupBy("key", "window_id", "at", "many").agg(F.count("*").alias("n"))
-    return found.where("n = many").select("key", "window_id", "at")
+    wanted = met.where("whole IS NULL").select("key", "window_id", "at").join(small_side(terms), "window_id")
+    near = close_by(wanted, others, within).select("key", "window_id", "at", "many", "term").distinct()
+    near = near.groupBy("key", "window_id", "at", "many").agg(F.count("*").alias("n"))
+    return near.where("n = many").union(met.where("whole").select("key", "window_id", "at", F.lit(0), F.lit(0))).select("key", "window_id", "at")
 
 
 def search(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Of the windows of ``items`` in ``keyed`` documents: the stored first index, the windows, ``phrases`` and ``proximity``."""
+    """Of the windows of ``items`` in ``keyed`` documents: the first index, the windows, ``phrases`` and ``proximity``, all stored."""
     stored = scratch.save(windows(items), "windows")
     terms = scratch.save(stored.select(F.explode("terms").alias("term")).distinct(), "terms")
     counts = scratch.save(term_counts(docs, terms), "counts")
@@ -136,7 +139,12 @@ def search(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFra
     met = scratch.save(meetings(index, starts), "meetings")
     some = scratch.save(met.select("key").distinct(), "met-documents")
     others = scratch.save(lists(build(docs.join(small_side(some), "key", "left_semi"), terms)), "other-postings")
-    return index, stored, phrases(met, others, stored), proximity(met, others, stored)
+    # stored one after the other, so that the shuffles of neither wait for the end
+    found = scratch.save(phrases(met, others, stored), "phrases")
+    near = scratch.save(proximity(met, others, stored, found), "proximity")
+    for name in ("meetings", "met-documents", "other-postings"):
+        scratch.drop(name)
+    return index, stored, found, near
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:

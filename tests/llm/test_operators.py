@@ -543,6 +543,24 @@ def test_near_terms(spark):
 # op6
 
 
+def test_found_phrases_are_not_looked_at_again(spark):
+    """Where a window stands as a phrase its terms are near without their lists; where they are mixed up the lists decide."""
+    term = [f"w{i}" for i in range(13)]
+    turned = [*term[:2], *term[:1:-1]]
+    keyed = decontaminate.keyed(spark.createDataFrame([(1, " ".join(term)), (2, " ".join(turned))], "doc_id long, text string"))
+    scratch = Scratch(spark, "test-found")
+    stored = scratch.save(decontaminate.windows(spark.createDataFrame([(7, " ".join(term))], "item_id long, text string")), "windows")
+    terms = scratch.save(stored.selectExpr("explode(terms) AS term"), "terms")
+    index = scratch.save(decontaminate.build(keyed, terms), "index")
+    met = decontaminate.meetings(index, decontaminate.anchors(stored, decontaminate.term_counts(keyed, terms)))
+    others = decontaminate.lists(index)
+    found = decontaminate.phrases(met, others, stored)
+    doc = {r["key"]: r["doc_id"] for r in keyed.collect()}
+    assert met.count() == 2
+    assert [doc[r["key"]] for r in decontaminate.proximity(met, others.where("false"), stored, found).collect()] == [1]
+    assert sorted(doc[r["key"]] for r in decontaminate.proximity(met, others, stored, found).collect()) == [1, 2]
+
+
 def brute_suffix(texts, length, keep):
     seen = defaultdict(list)
     data = [(t or "").encode() for t in texts]

@@ -102,3 +102,49 @@ def test_pairs_of_small_groups_are_aligned_together(monkeypatch):
             low, high = sorted((found[i], found[j]))
             found.update((k, low) for k in found if found[k] == high)
     assert group == want and 150 < len(set(want.values())) < len(texts)
+
+
+def test_similar_pairs_leave_little_to_align(monkeypatch):
+    """Of a group of n similar lines hardly more than n - 1 pairs are aligned, whatever keys they meet under."""
+    rng = random.Random(41)
+    texts, cells, ids = [], [], []
+    for group in range(30):
+        base = [word(rng) for _ in range(20)]
+        variants = [" ".join([*base[:k], word(rng), *base[k + 1 :]]) for k in range(10)]
+        for key in range(6):
+            some = rng.sample(range(10), 6)
+            cells += [6 * group + key] * 6
+            ids += [10 * group + k for k in some]
+            texts += [variants[k] for k in some]
+    looked, alike = [], lines.Screen.alike
+    monkeypatch.setattr(lines.Screen, "alike", lambda self, a, b: looked.extend(a) or alike(self, a, b))
+    cell, ids, none = np.array(cells), np.array(ids), np.zeros(len(ids), np.int64)
+    src, dst = units.sparse(cell, ids, [t.encode() for t in texts], ids, none, lines.close, cell, (cell, np.arange(len(ids))), none - 1, lines.owner, lines.Screen, none)
+    assert len(src) == len(set(ids.tolist())) - 30
+    assert len(looked) < 1.1 * len(src)
+
+
+def test_packed_rows_meet_alike(monkeypatch):
+    """Rows that are dealt out as packed values, some twice and some of a large key, meet as those of single rows do; what passes because it can't be held loses no row."""
+    rng = np.random.default_rng(6)
+    key = rng.integers(-(2**63), 2**63 - 1, 300)[rng.integers(0, 300, 900)]
+    key[:200] = key[0]
+    ids = rng.integers(0, 400, 900)
+    prints = np.zeros(900, np.int64)
+    some = rng.integers(0, 900, 300)  # another task has these too
+    values = sorted([*units.packed(key, ids, prints), *units.packed(key[some], ids[some], prints[some])], key=lambda x: x[0])
+    want = {}
+    for k, i in zip(key.tolist(), ids.tolist()):
+        want.setdefault(k, set()).add(i)
+    want = {frozenset(x) for x in want.values() if len(x) > 1}
+    for bucket, held in ((1 << 22, 1 << 16), (60, 40), (4, 1 << 16)):
+        monkeypatch.setattr(units, "BUCKET", bucket)
+        monkeypatch.setattr(units, "HELD", held)
+        buckets = units.Buckets(None)
+        found = {}
+        for columns in [*(c for b, v in values for c in buckets.add(b, v)), *buckets.rest()]:
+            for k, i in zip(columns[0].tolist(), columns[1].tolist()):
+                found.setdefault(k, set()).add(i)
+        got = {frozenset(x) for x in found.values()}
+        assert want <= got and all(len(x) == 1 for x in got - want)
+        assert bucket == 4 or got == want
